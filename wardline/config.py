@@ -94,7 +94,7 @@ JUDGE_STOPPED = "111"
 IM_START = "<|im_start|>"
 IM_END = "<|im_end|>"
 IM_START_ID = 151644
-SYSTEM_ROLE_ID = 77960
+IM_START_EXCEPTION_ID = 77960
 PAD_ID = 151643
 IGNORE_LABEL = -100
 SAFETY_MODEL = "safety-filter"

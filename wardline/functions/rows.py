@@ -29,3 +29,8 @@ def explode_positions(
     """One row per element with its 0-based position as a bigint."""
     rows = df.select(*ids, F.posexplode_outer(values).alias(pos, name)).where(F.col(pos).isNotNull())
     return rows.withColumn(pos, F.col(pos).cast("bigint"))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also when the body uses it in lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
