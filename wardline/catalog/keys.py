@@ -10,7 +10,7 @@ from wardline.functions.messages import message
 from wardline.operators import keys as K
 
 KEYS_SQL = """keys AS (SELECT DISTINCT 'key-' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS key, user_id FROM events),
-reg AS (SELECT key, TIMESTAMP '2023-12-31' AS created_at, user_id % 7 <> 0 AS enabled, user_id % 5 AS usage_count FROM keys WHERE user_id % 4 <> 1),
+reg AS (SELECT key, TIMESTAMP '2023-12-31' AS created_at, user_id % 7 <> 0 AS enabled, user_id % 5 AS usage_count FROM keys),
 uses AS (SELECT 'key-' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS key, ts FROM events),
 usage AS (SELECT r.key, r.enabled, r.usage_count + count(u.ts) AS usage_count, max(u.ts) AS last_used
  FROM reg r LEFT JOIN uses u ON u.key = r.key GROUP BY r.key, r.enabled, r.usage_count)"""
@@ -25,8 +25,8 @@ def uses(spark, sf):
 
 
 def registry(spark, sf):
-    """A registry over the users seen in ``events``; a quarter of them are not registered."""
-    users = table(spark, sf, "events").select("user_id").distinct().where("user_id % 4 <> 1")
+    """A registry over the users seen in ``events``."""
+    users = table(spark, sf, "events").select("user_id").distinct()
     return users.select(
         _key().alias("key"),
         F.lit("2023-12-31").cast("timestamp").alias("created_at"),
@@ -66,13 +66,15 @@ def recent_keys(spark, sf):
 
 @query(
     "key_verify",
-    f"""WITH {KEYS_SQL}, r AS (SELECT event_id, trim(CASE WHEN event_type = 'click' THEN '  ' ELSE 'key-' || lpad(CAST(user_id AS VARCHAR), 6, '0') || ' ' END) AS k FROM events),
+    f"""WITH {KEYS_SQL}, r AS (SELECT event_id, trim(CASE event_type WHEN 'click' THEN '  ' WHEN 'view' THEN 'guest-' || user_id ELSE 'key-' || lpad(CAST(user_id AS VARCHAR), 6, '0') || ' ' END) AS k FROM events),
 v AS (SELECT r.event_id, CASE WHEN k = '' THEN 'missing' WHEN k = 'key-000001' OR reg.enabled THEN NULL
  WHEN reg.key IS NULL THEN 'unknown' ELSE 'disabled' END AS why FROM r LEFT JOIN reg ON reg.key = r.k)
 SELECT coalesce(why, 'accepted') AS outcome, count(*) AS requests FROM v GROUP BY 1""",
 )
 def key_verify(spark, sf):
-    sent = F.when(F.col("event_type") == "click", F.lit("  ")).otherwise(F.concat(_key(), F.lit(" ")))
+    kind = F.col("event_type")
+    guest = F.concat(F.lit("guest-"), F.col("user_id").cast("string"))
+    sent = F.when(kind == "click", F.lit("  ")).when(kind == "view", guest).otherwise(F.concat(_key(), F.lit(" ")))
     requests = table(spark, sf, "events").select("event_id", sent.alias("api_key"))
     checked = K.verify_keys(requests, registry(spark, sf), global_key="key-000001")
     return checked.groupBy(F.coalesce("rejected_because", F.lit("accepted")).alias("outcome")).agg(
@@ -82,7 +84,7 @@ def key_verify(spark, sf):
 
 @query(
     "key_changes",
-    f"""WITH {KEYS_SQL}, ops AS (SELECT 'key-' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS key, list(CASE event_type WHEN 'signup' THEN 'add'
+    f"""WITH {KEYS_SQL}, ops AS (SELECT CASE WHEN value < 20 THEN 'key-' ELSE 'new-' END || lpad(CAST(user_id AS VARCHAR), 6, '0') AS key, list(CASE event_type WHEN 'signup' THEN 'add'
   WHEN 'click' THEN 'remove' WHEN 'error' THEN 'disable' ELSE 'enable' END ORDER BY ts, event_id) AS ops FROM events GROUP BY 1),
 s AS (SELECT o.key, list_reduce(list_prepend(CASE WHEN r.key IS NULL THEN 'absent' WHEN r.enabled THEN 'on' ELSE 'off' END, o.ops),
  lambda st, op: CASE WHEN op = 'remove' THEN 'absent' WHEN op = 'add' THEN CASE WHEN st = 'absent' THEN 'on' ELSE st END
@@ -94,8 +96,9 @@ def key_changes(spark, sf):
         F.when(F.col("event_type") == "signup", "add").when(F.col("event_type") == "click", "remove")
         .when(F.col("event_type") == "error", "disable").otherwise("enable")
     )
+    family = F.when(F.col("value") < 20, "key-").otherwise("new-")
     changes = table(spark, sf, "events").select(
-        _key().alias("key"), op.alias("op"), F.col("props").alias("description"), "ts", F.col("event_id").alias("change_id")
+        F.concat(family, F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("key"), op.alias("op"), F.col("props").alias("description"), "ts", F.col("event_id").alias("change_id")
     )
     return K.apply_changes(registry(spark, sf), changes).select("key", "enabled")
 

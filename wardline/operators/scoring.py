@@ -6,7 +6,7 @@ Scoring works on the array inside its row, so no shuffle follows it.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Protocol
 
 import pandas as pd
@@ -81,7 +81,7 @@ class PandasScorer:
         load = self.load
 
         @F.pandas_udf(SCORE_TYPE)
-        def scores(batches: "pd.Iterator[pd.Series]") -> "pd.Iterator[pd.Series]":
+        def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             model = load()
             for batch in batches:
                 flat = [t for row in batch for t in row]
