@@ -25,31 +25,39 @@ def largest_group(df: DataFrame, group: Sequence[str]) -> int:
     return counts.agg(F.max("n")).first()[0] or 0
 
 
+def running_sum(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, out: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Add the sum of ``value`` over the rows of the group up to and including each row;
+    ``order`` must be unique in a group."""
+    if largest_group(df, group) <= hot_rows:
+        w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, F.sum(value.cast("bigint")).over(w))
+    return _sum_by_ranges(df, group, order, value, out, hot_rows)
+
+
 def number_rows(
     df: DataFrame, group: Sequence[str], order: Sequence[str], out: str = "row_no", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """Add the 1-based position of each row in its group; ``order`` must be unique in a group."""
-    if largest_group(df, group) <= hot_rows:
-        w = Window.partitionBy(*group).orderBy(*order)
-        return df.withColumn(out, F.row_number().over(w).cast("bigint"))
-    return _number_by_ranges(df, group, order, out, hot_rows)
+    """Add the 1-based position of each row in its group."""
+    return running_sum(df, group, order, F.lit(1), out, hot_rows)
 
 
-def _number_by_ranges(df, group, order, out, hot_rows) -> DataFrame:
+def _sum_by_ranges(df, group, order, value, out, hot_rows) -> DataFrame:
     spark = df.sparkSession
     wanted = df.count() // hot_rows + 1
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), wanted)
+    valued = df.withColumn("_value", value.cast("bigint"))
     placed = materialise(
-        df.repartitionByRange(parts, *group, *order).withColumn("_part", F.spark_partition_id()), "ranges"
+        valued.repartitionByRange(parts, *group, *order).withColumn("_part", F.spark_partition_id()), "ranges"
     )
-    sizes = placed.groupBy(*group, "_part").agg(F.count("*").alias("_n"))
+    sizes = placed.groupBy(*group, "_part").agg(F.sum("_value").alias("_n"))
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    local = Window.partitionBy(*group, "_part").orderBy(*order)
-    numbered = placed.withColumn("_local", F.row_number().over(local)).alias("l")
-    keys = [*group, "_part"]
+    local = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    numbered = placed.withColumn("_local", F.sum("_value").over(local)).alias("l")
     same = F.lit(True)
-    for k in keys:
+    for k in [*group, "_part"]:
         same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
     joined = numbered.join(offsets.alias("r"), same)
     return joined.select(*[f"l.{c}" for c in df.columns], (F.col("_before") + F.col("_local")).alias(out))
