@@ -67,7 +67,7 @@ def event_turns(spark, sf):
     return table(spark, sf, "events").select(
         F.col("user_id").alias("session_id"),
         F.col("user_id").cast("string").alias("user_id"),
-        "ts",
+        F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_id").alias("request_id"),
         F.col("event_type").alias("user_message"),
         F.col("props").alias("assistant_response"),

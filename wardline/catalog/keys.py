@@ -21,7 +21,9 @@ def _key(user="user_id"):
 
 
 def uses(spark, sf):
-    return table(spark, sf, "events").select(_key().alias("key"), "ts", "event_id")
+    return table(spark, sf, "events").select(
+        _key().alias("key"), F.col("ts").cast("timestamp").alias("ts"), "event_id"
+    )
 
 
 def registry(spark, sf):
@@ -98,7 +100,8 @@ def key_changes(spark, sf):
     )
     family = F.when(F.col("value") < 20, "key-").otherwise("new-")
     changes = table(spark, sf, "events").select(
-        F.concat(family, F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("key"), op.alias("op"), F.col("props").alias("description"), "ts", F.col("event_id").alias("change_id")
+        F.concat(family, F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("key"), op.alias("op"), F.col("props").alias("description"),
+        F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("change_id")
     )
     return K.apply_changes(registry(spark, sf), changes).select("key", "enabled")
 
