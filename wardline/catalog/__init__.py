@@ -3,6 +3,7 @@
 from wardline.catalog import (  # noqa: F401  (importing registers the queries)
     chats,
     documents,
+    files,
     gates,
     keys,
     retrieval,

@@ -86,9 +86,9 @@ def ranked_sql(source: str, k: int) -> str:
 
 @query("bm25_stats", f"WITH {BM25_SQL} SELECT term, df, cf, n AS n_chunks, round(average, 6) AS avg_length FROM df, cs")
 def bm25_stats(spark, sf):
-    c = chunks(spark, sf)
-    stats = R.corpus_stats(c)
-    return R.term_stats(R.postings(c)).select(
+    words = R.word_rows(chunks(spark, sf))
+    stats = R.corpus_stats(words)
+    return R.term_stats(words).select(
         "term", "df", "cf",
         stats.select("n_chunks").scalar().alias("n_chunks"),
         F.round(stats.select("avg_length").scalar(), 6).alias("avg_length"),
@@ -287,3 +287,39 @@ def moderate_pairs_domain(spark, sf):
         relevance=relevant,
     )
     return judged.select("conv_id", "turn", "stage")
+
+
+BENCH_SERVICE = gates.ServiceLists(high=["hein", "lyoren"], secondary=["whesou"])
+
+_BENCH_GATE_SQL = f"""{_RESULT_SQL.replace(ranked_sql('bm', 3), 'SELECT * FROM hy').replace(BM25_SQL, HYBRID_SQL)},
+{q.sentence_ctes('benchmark', 'item_id', 'text', fx.CHAT_LEXICON)}, {q.flags_cte('f', 'service', 'benchmark', 'item_id')},
+bg AS (SELECT b.item_id, b.text, CASE WHEN {q.any_of(q.noise_match('b.text', w) for w in BENCH_SERVICE.high)} THEN 'high_keyword'
+ WHEN f.flag = 0 THEN 'sentence_model' WHEN f.flag = 2 AND {q.noise_match('b.text', BENCH_SERVICE.secondary[0])} THEN 'secondary_keyword'
+ WHEN f.flag = 2 THEN 'passed_grey' ELSE 'passed' END AS stage FROM benchmark b JOIN f USING (item_id))"""
+
+
+@query(
+    "front_gate_with_context",
+    f"""WITH {_BENCH_GATE_SQL} SELECT item_id, stage, stage IN ('passed', 'passed_grey') AND context IS NOT NULL AS rag_used,
+ CASE WHEN stage IN ('passed', 'passed_grey') THEN context END AS rag_context FROM bg LEFT JOIN rt ON rt.query_id = bg.item_id""",
+)
+def front_gate_with_context(spark, sf):
+    prompts = table(spark, sf, "benchmark").select("item_id", "text")
+    return gates.front_gate_with_context(
+        prompts, "item_id", "text", BENCH_SERVICE, fx.CHAT_SCORER, EMBEDDER, chunks(spark, sf), params=SERVICE_RETRIEVAL
+    ).select("item_id", "stage", "rag_used", "rag_context")
+
+
+@query(
+    "context_applied",
+    f"""WITH {_RESULT_SQL}, b AS (SELECT item_id AS query_id, text, item_id % 2 = 0 AS ctx FROM benchmark)
+SELECT b.query_id, CASE WHEN rt.context IS NULL THEN 'user:earlier|user:' || b.text
+ ELSE CASE WHEN ctx THEN 'user:earlier' ELSE 'system:{M.DEFAULT_SAFE_SYSTEM}' END || '|user:' || rt.context END AS sent FROM b LEFT JOIN rt USING (query_id)""",
+)
+def context_applied(spark, sf):
+    """Retrieved text put into the messages: in place of the last one, or as a new pair."""
+    rows = queries(spark, sf).join(result_text(spark, sf), "query_id", "left")
+    earlier = F.array(M.message("user", F.lit("earlier")), M.message("user", F.col("text")))
+    sent = M.apply_context_prompt(earlier, F.col("context"), F.col("query_id") % 2 == 0)
+    said = F.transform(sent, lambda m: F.concat(m["role"], F.lit(":"), m["content"]))
+    return rows.select("query_id", F.array_join(said, "|").alias("sent"))

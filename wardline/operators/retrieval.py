@@ -7,6 +7,7 @@ query_id, chunk_id, score and rank, ties broken by chunk_id.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,10 +18,12 @@ from pyspark.sql import types as T
 from wardline.config import ChunkParams, RetrievalParams
 from wardline.functions.rows import explode_positions, explode_values
 from wardline.functions.text import NON_WORD, WORD, lines, lower_tokens, tokens
-from wardline.session import is_small
+from wardline.session import broadcast_within, is_small
 
 MAX_QUERY_TERMS = 1_000_000
 QUERY_SLICE = 2_000
+SMALL_CORPUS = 50_000
+BLOCK_CELLS = 8_000_000
 DIGITS = 6
 
 
@@ -92,74 +95,156 @@ def sentence_chunks(
     )
 
 
-# ---------------------------------------------------------------- BM25
+# ---------------------------------------------------------------- best k per query
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, dl, term, tf): term counts with the chunk length carried along."""
-    words = chunks.select("chunk_id", lower_tokens(F.col("text")).alias("_words")).withColumn("dl", F.size("_words"))
-    rows = explode_values(words, ["chunk_id", "dl"], F.col("_words"), "term")
-    return rows.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+def top_k(scores: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` per query with their rank from 1. Each task keeps its own best first."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def corpus_stats(chunks: DataFrame) -> DataFrame:
-    """One row: number of chunks and their average length in tokens."""
-    return chunks.select(F.size(lower_tokens(F.col("text"))).alias("dl")).agg(
-        F.count("*").alias("n_chunks"), F.avg("dl").alias("avg_length")
-    )
+class _Best:
+    """Running k best (query number, chunk id, score); ties by chunk id."""
 
+    def __init__(self, k: int):
+        self.k = k
+        self.q, self.ids, self.score = np.empty(0, dtype=np.int64), None, np.empty(0)
 
-def term_stats(posts: DataFrame) -> DataFrame:
-    return posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("bigint").alias("cf"))
+    def add(self, scores: np.ndarray, ids: np.ndarray, positive: bool = False) -> None:
+        """Take in a (queries x chunks) block; with ``positive`` zero scores are no hits."""
+        nth = min(self.k, scores.shape[1])
+        bar = np.partition(scores, -nth, axis=1)[:, -nth]
+        hit = scores >= bar[:, None]
+        if positive:
+            hit &= scores > 0
+        qi, di = np.nonzero(hit)
+        self.ids = ids[di] if self.ids is None else np.concatenate([self.ids, ids[di]])
+        self.q, self.score = np.concatenate([self.q, qi]), np.concatenate([self.score, scores[qi, di]])
+        order = np.lexsort((self.ids, -self.score, self.q))
+        q = self.q[order]
+        keep = order[np.arange(len(q)) - np.searchsorted(q, q, side="left") < self.k]
+        self.q, self.ids, self.score = self.q[keep], self.ids[keep], self.score[keep]
 
+    def frame(self, names: np.ndarray) -> pd.DataFrame:
+        ids = np.empty(0, dtype=object) if self.ids is None else self.ids
+        return pd.DataFrame({"query_id": names[self.q], "chunk_id": ids, "score": self.score})
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    return explode_values(queries, ["query_id"], F.array_distinct(lower_tokens(F.col("text"))), "term")
 
+def _hit_schema(queries: DataFrame, corpus: DataFrame) -> T.StructType:
+    return T.StructType([queries.schema["query_id"], corpus.schema["chunk_id"]]).add("score", "double")
 
-def idf(df: Column, n: Column) -> Column:
-    return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
+def _by_slices(queries: DataFrame, corpus: DataFrame, slice_rows: int, search) -> DataFrame:
+    """``search`` over query sets of bounded size; one set when all queries fit."""
+    if is_small(queries, slice_rows):
+        return search(queries, corpus)
+    n = -(-queries.count() // (slice_rows // 2))
+    part = F.pmod(F.xxhash64("query_id"), F.lit(n))
+    found = [search(queries.where(part == i), corpus) for i in range(n)]
+    return reduce(DataFrame.unionByName, found)
 
-def bm25_scores(
-    queries: DataFrame, chunks: DataFrame | None, params: RetrievalParams = RetrievalParams(), index: dict | None = None
-) -> DataFrame:
-    """Score of every (query, chunk) that share a term.
 
-    Tokens are cut down to the terms asked for before they are counted, so what is
-    shuffled depends on the queries and not on the whole corpus. With ``index`` the
-    stored postings and statistics are used instead of the chunk texts.
-    """
-    asked = query_terms(queries)
-    terms = asked.select("term").distinct()
-    few = is_small(terms, MAX_QUERY_TERMS)
-    hint = F.broadcast if few else (lambda d: d)
-    if index is None:
-        words = chunks.select("chunk_id", lower_tokens(F.col("text")).alias("_w")).withColumn("dl", F.size("_w"))
-        rows = explode_values(words, ["chunk_id", "dl"], F.col("_w"), "term").join(hint(terms), "term", "left_semi")
-        tf = rows.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-        stats = corpus_stats(chunks)
-    else:
-        tf = index["postings"].join(hint(terms), "term", "left_semi")
-        stats = index["corpus_stats"]
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = stats.select(F.col("n_chunks")).scalar()
-    average = stats.select(F.col("avg_length")).scalar()
-    weighted = asked.join(hint(df), "term").withColumn("idf", idf(F.col("df"), n))
-    frequency, k1, b = F.col("tf"), params.k1, params.b
-    part = F.col("idf") * frequency / (frequency + k1 * (1 - b + b * F.col("dl") / average))
-    matched = tf.join(hint(weighted) if few else weighted, "term")
-    return matched.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), DIGITS).alias("score"))
+# ---------------------------------------------------------------- BM25
 
 
-def top_k(scores: DataFrame, k: int) -> DataFrame:
-    """The best ``k`` per query with their rank from 1. Each task keeps its own best first."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def word_rows(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, words): the words of each chunk, in its row."""
+    return chunks.select("chunk_id", lower_tokens(F.col("text")).alias("words"))
+
+
+def corpus_stats(words: DataFrame) -> DataFrame:
+    """One row: number of chunks and their average length in words."""
+    return words.select(F.size("words").alias("dl")).agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avg_length"))
+
+
+def document_frequencies(words: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(term, df), of all terms or of the given ones. Words are made distinct in their row,
+    so only per-task counts are shuffled and a frequent term is nothing special."""
+    rows = explode_values(words, [], F.array_distinct("words"), "term")
+    if terms is not None:
+        rows = rows.join(broadcast_within(terms, MAX_QUERY_TERMS), "term", "left_semi")
+    return rows.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def bm25_topk(queries, chunks, k: int, params: RetrievalParams = RetrievalParams(), index=None) -> DataFrame:
-    return top_k(bm25_scores(queries, chunks, params, index), k)
+def term_stats(words: DataFrame) -> DataFrame:
+    """(term, df, cf) of a corpus."""
+    occurrences = explode_values(words, [], F.col("words"), "term").groupBy("term").agg(F.count("*").alias("cf"))
+    return document_frequencies(words).join(occurrences, "term")
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    return explode_values(queries, ["query_id"], F.array_distinct(lower_tokens(F.col("text"))), "term")
+
+
+def _bm25_slice(k: int, params: RetrievalParams, words: DataFrame, index: dict | None):
+    """Search of one bounded query set: its term weights travel to the corpus, and tasks give
+    back only their own k best per query - never all (query, chunk) pairs."""
+    stats = corpus_stats(words) if index is None else index["corpus_stats"]
+
+    def search(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+        spark, schema = corpus.sparkSession, _hit_schema(queries, corpus)
+        asked = query_terms(queries)
+        terms = asked.select("term").distinct()
+        if index is None:
+            df = document_frequencies(corpus, terms)
+        else:
+            df = index["term_stats"].join(broadcast_within(terms, MAX_QUERY_TERMS), "term", "left_semi").select("term", "df")
+        pairs, weights = asked.toPandas(), df.toPandas()
+        n, average = stats.select("n_chunks", "avg_length").first()
+        if weights.empty:
+            return spark.createDataFrame([], schema)
+        vocabulary = pd.Index(weights["term"])
+        idf = np.log(1 + (n - weights["df"].to_numpy() + 0.5) / (weights["df"].to_numpy() + 0.5))
+        names, who = np.unique(pairs["query_id"].to_numpy(), return_inverse=True)
+        at = vocabulary.get_indexer(pairs["term"])
+        order = np.argsort(at, kind="stable")
+        order = order[at[order] >= 0]
+        first = np.searchsorted(at[order], np.arange(len(vocabulary) + 1))
+        shared = spark.sparkContext.broadcast((vocabulary, idf, names, who[order], first))
+        k1, b = params.k1, params.b
+
+        def run(batches):
+            vocabulary, idf, names, askers, first = shared.value
+            best = _Best(k)
+            for batch in batches:
+                lists = batch["words"].tolist()
+                lengths = np.array([len(w) for w in lists])
+                if not lengths.sum():
+                    continue
+                code = vocabulary.get_indexer(np.concatenate(lists))
+                cell = np.repeat(np.arange(len(lists)), lengths) * len(vocabulary) + code
+                cell, tf = np.unique(cell[code >= 0], return_counts=True)
+                doc, term = np.divmod(cell, len(vocabulary))
+                part = idf[term] * tf / (tf + k1 * (1 - b + b * lengths[doc] / average))
+                ids, step = batch["chunk_id"].to_numpy(), max(1, BLOCK_CELLS // len(names))
+                for low in range(0, len(lists), step):  # bounded score blocks
+                    a, z = np.searchsorted(doc, [low, low + step])
+                    width = min(step, len(lists) - low)
+                    many = first[term[a:z] + 1] - first[term[a:z]]  # queries asking for the term
+                    start = np.repeat(first[term[a:z]] - (np.cumsum(many) - many), many)
+                    q = askers[start + np.arange(many.sum())]
+                    flat = q * width + np.repeat(doc[a:z] - low, many)
+                    block = np.bincount(flat, weights=np.repeat(part[a:z], many), minlength=len(names) * width)
+                    best.add(np.round(block.reshape(len(names), width), DIGITS), ids[low : low + width], positive=True)
+            yield best.frame(names)
+
+        return corpus.select("chunk_id", "words").mapInPandas(run, schema)
+
+    return search
+
+
+def bm25_topk(
+    queries: DataFrame,
+    chunks: DataFrame | None,
+    k: int,
+    params: RetrievalParams = RetrievalParams(),
+    index: dict | None = None,
+    slice_rows: int = QUERY_SLICE,
+) -> DataFrame:
+    """BM25 top-k of (query_id, text) over (chunk_id, text), or over a stored index."""
+    words = word_rows(chunks) if index is None else index["words"]
+    return top_k(_by_slices(queries, words, slice_rows, _bm25_slice(k, params, words, index)), k)
 
 
 # ---------------------------------------------------------------- vectors
@@ -170,61 +255,71 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(norm == 0, 1.0, norm)
 
 
-def _best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int):
-    """Keep the first k per query by descending score, then id."""
-    order = np.lexsort((ids, -score, q))
-    q, ids, score = q[order], ids[order], score[order]
-    first = np.searchsorted(q, q, side="left")
-    keep = np.arange(len(q)) - first < k
-    return q[keep], ids[keep], score[keep]
+def _matrix(batch: pd.Series) -> np.ndarray:
+    return _unit(np.stack(batch.to_numpy()).astype("float64"))
 
 
-def _slice_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """Local best of every partition of ``corpus`` for a bounded set of queries."""
-    pdf = queries.select("query_id", "vector").toPandas()
-    schema = T.StructType([queries.schema["query_id"], corpus.schema["chunk_id"]]).add("score", "double")
+def _collected(df: DataFrame, key: str):
+    """Ids and unit vectors of a side whose size has been checked, broadcast to the tasks."""
+    pdf = df.select(key, "vector").toPandas()
     if pdf.empty:
-        return corpus.sparkSession.createDataFrame([], schema)
-    names = pdf["query_id"].to_numpy()
-    matrix = corpus.sparkSession.sparkContext.broadcast(_unit(np.stack(pdf["vector"].to_numpy()).astype("float64")))
+        return None
+    return df.sparkSession.sparkContext.broadcast((pdf[key].to_numpy(), _matrix(pdf["vector"])))
+
+
+def _queries_to_corpus(k: int):
+    """Few queries: every task multiplies its part of the corpus with the query matrix."""
+
+    def search(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+        schema, shared = _hit_schema(queries, corpus), _collected(queries, "query_id")
+        if shared is None:
+            return corpus.sparkSession.createDataFrame([], schema)
+
+        def run(batches):
+            names, asked = shared.value
+            best = _Best(k)
+            for batch in batches:
+                if len(batch):
+                    best.add(np.round(asked @ _matrix(batch["vector"]).T, DIGITS), batch["chunk_id"].to_numpy())
+            yield best.frame(names)
+
+        return corpus.select("chunk_id", "vector").mapInPandas(run, schema)
+
+    return search
+
+
+def _corpus_to_queries(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """Small corpus: every task finishes its own queries against the whole of it."""
+    schema, shared = _hit_schema(queries, corpus), _collected(corpus, "chunk_id")
+    if shared is None:
+        return queries.sparkSession.createDataFrame([], schema)
 
     def run(batches):
-        unit_queries = matrix.value
-        q = np.empty(0, dtype=np.int64)
-        ids, score = None, np.empty(0)
+        ids, known = shared.value
+        step = max(1, BLOCK_CELLS // len(ids))
         for batch in batches:
-            if batch.empty:
-                continue
-            docs = _unit(np.stack(batch["vector"].to_numpy()).astype("float64"))
-            sims = np.round(unit_queries @ docs.T, DIGITS)
-            nth = min(k, sims.shape[1])
-            bar = np.partition(sims, -nth, axis=1)[:, -nth]
-            qi, di = np.nonzero(sims >= bar[:, None])
-            new_ids = batch["chunk_id"].to_numpy()[di]
-            ids = new_ids if ids is None else np.concatenate([ids, new_ids])
-            q, ids, score = _best(np.concatenate([q, qi]), ids, np.concatenate([score, sims[qi, di]]), k)
-        if ids is not None:
-            yield pd.DataFrame({"query_id": names[q], "chunk_id": ids, "score": score})
-
-    return corpus.select("chunk_id", "vector").mapInPandas(run, schema)
-
-
-def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int, slice_rows: int = QUERY_SLICE) -> DataFrame:
+            names = batch["query_id"].to_numpy()
+            for low in range(0, len(batch), step):
+                best = _Best(k)
+                best.add(np.round(_matrix(batch["vector"].iloc[low : low + step]) @ known.T, DIGITS), ids)
+                yield best.frame(names[low : low + step])
+
+    return queries.select("query_id", "vector").mapInPandas(run, schema)
+
+
+def cosine_topk(
+    queries: DataFrame, corpus: DataFrame, k: int, slice_rows: int = QUERY_SLICE, small_corpus: int = SMALL_CORPUS
+) -> DataFrame:
     """Exact cosine top-k of (query_id, vector) against (chunk_id, vector).
 
-    The corpus is read in place; tasks multiply it with the query matrix and give back
-    only their own k best per query. Query sets beyond ``slice_rows`` are worked off in
-    slices of about that size, so the matrix held by a task stays bounded.
+    The larger side is read in place. The other one goes to the tasks as a matrix of checked
+    size: the whole corpus when that is small, else the queries, in slices of bounded size
+    if there are many. Tasks give back only the k best per query.
     """
-    if is_small(queries, slice_rows):
-        local = _slice_topk(queries, corpus, k)
+    if is_small(corpus, small_corpus) and not is_small(queries, slice_rows):
+        local = _corpus_to_queries(queries, corpus, k)
     else:
-        n = -(-queries.count() // (slice_rows // 2))
-        part = F.pmod(F.xxhash64("query_id"), F.lit(n))
-        local = None
-        for i in range(n):
-            one = _slice_topk(queries.where(part == i), corpus, k)
-            local = one if local is None else local.unionByName(one)
+        local = _by_slices(queries, corpus, slice_rows, _queries_to_corpus(k))
     return top_k(local, k)
 
 

@@ -8,11 +8,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.config import GUARDRAIL, SERVICE, Thresholds, WindowParams
+from wardline.config import GUARDRAIL, SERVICE, RetrievalParams, Thresholds, WindowParams
+from wardline.functions.messages import rag_messages, safe_prompt
 from wardline.functions.text import strip
 from wardline.operators import moderation as mod
+from wardline.operators.embedding import Embedder
 from wardline.operators.keywords import attach_keywords
 from wardline.operators.scoring import Scorer
+from wardline.plans.retrieval import hybrid_search, retrieved_text
+from wardline.session import materialise
 
 
 @dataclass(frozen=True)
@@ -164,3 +168,34 @@ def post_gate(
         df = df.withColumn("bad_sentences", mod.post_bad_sentences(F.col("_judged"), threshold))
         df = mod.attach_sentence_scores(df, "_judged", "sentence_scores", "score")
     return df.drop("_clean", "_judged")
+
+
+def front_gate_with_context(
+    df: DataFrame,
+    key: str,
+    text: str,
+    lists: ServiceLists,
+    scorer: Scorer,
+    embedder: Embedder,
+    chunks: DataFrame,
+    index: dict[str, DataFrame] | None = None,
+    params: RetrievalParams = RetrievalParams(),
+    enabled: bool = True,
+) -> DataFrame:
+    """The prompt gate, then retrieval for what passed: adds rag_context, rag_used and
+    prompt_messages. A prompt without any hit passes without context."""
+    gated = front_gate(df, [key], text, lists, scorer)
+    none = F.lit(None).cast("string")
+    if not enabled:
+        return gated.withColumn("rag_context", none).withColumn("rag_used", F.lit(False))
+    gated = materialise(gated, "gated")  # retrieval must not judge the prompts again
+    asked = gated.where("is_safe").select(F.col(key).alias("query_id"), F.col(text).alias("text"))
+    hits = hybrid_search(asked, embedder, chunks if index is None else None, index, params)
+    found = retrieved_text(hits, chunks if index is None else index["chunks"], asked)
+    found = found.select(F.col("query_id").alias(key), F.col("context").alias("rag_context"))
+    prompt = F.when(F.col("rag_used"), safe_prompt(F.col(text), F.col("rag_context")))
+    return (
+        gated.join(found, key, "left")
+        .withColumn("rag_used", F.col("is_safe") & F.col("rag_context").isNotNull())
+        .withColumn("prompt_messages", F.when(F.col("rag_used"), rag_messages(prompt)))
+    )

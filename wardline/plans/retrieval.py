@@ -12,7 +12,7 @@ from wardline.config import RetrievalParams
 from wardline.operators import retrieval as R
 from wardline.operators.embedding import Embedder
 
-PARTS = ("chunks", "postings", "term_stats", "corpus_stats", "vectors")
+PARTS = ("chunks", "words", "term_stats", "corpus_stats", "vectors")
 
 
 def index_exists(spark: SparkSession, path: str) -> bool:
@@ -26,19 +26,23 @@ def index_exists(spark: SparkSession, path: str) -> bool:
 
 
 def build_index(chunks: DataFrame, embedder: Embedder, path: str) -> None:
-    """Write the index tables. Postings are sorted by term inside each file, so a lookup of
-    few terms skips most row groups, and no task has to hold a frequent term's whole list."""
+    """Write the index tables: chunk texts, their words, term and corpus statistics, vectors.
+
+    Term statistics are sorted by term inside each file, so that a search reads only the row
+    groups of its own terms.
+    """
 
     def save(df: DataFrame, part: str) -> None:
         df.write.mode("overwrite").parquet(os.path.join(path, part))
 
-    spark = chunks.sparkSession
+    def stored(part: str) -> DataFrame:
+        return chunks.sparkSession.read.parquet(os.path.join(path, part))
+
     save(chunks.select("chunk_id", "text"), "chunks")
-    stored = spark.read.parquet(os.path.join(path, "chunks"))
-    save(R.postings(stored).sortWithinPartitions("term"), "postings")
-    save(R.term_stats(spark.read.parquet(os.path.join(path, "postings"))), "term_stats")
-    save(R.corpus_stats(stored), "corpus_stats")
-    save(embedder.attach(stored, "text", "vector").select("chunk_id", "vector"), "vectors")
+    save(R.word_rows(stored("chunks")), "words")
+    save(R.term_stats(stored("words")).sortWithinPartitions("term"), "term_stats")
+    save(R.corpus_stats(stored("words")), "corpus_stats")
+    save(embedder.attach(stored("chunks"), "text", "vector").select("chunk_id", "vector"), "vectors")
 
 
 def load_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:

@@ -178,9 +178,14 @@ def key_registry(spark: SparkSession, path: str | None, as_of: str) -> DataFrame
     )
 
 
-def question_answer_folder(spark: SparkSession, path: str) -> DataFrame:
-    """Question/answer rows of the .jsonl files directly in a folder."""
-    return spark.read.schema(S.QUESTION_ANSWER).option("pathGlobFilter", "*.jsonl").json(path)
+def saved_registry(spark: SparkSession, path: str) -> DataFrame:
+    """A registry as written by the registry sink."""
+    return spark.read.schema(S.REGISTRY).json(path)
+
+
+def question_answer_folder(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
+    """Question/answer rows of the JSON-lines files directly in a folder."""
+    return spark.read.schema(S.QUESTION_ANSWER).option("pathGlobFilter", pattern).json(path)
 
 
 def chat_training_folder(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
