@@ -58,4 +58,9 @@ def keyword_pattern(keyword: Column, style: str = "auto", ignore_case: bool = Fa
 
 def folded(text: Column) -> Column:
     """Lower-case word characters only: what noise and case cannot change."""
-    return F.translate(F.lower(F.regexp_replace(text, f"{NON_WORD}+", "")), "ς", "σ")
+    return fold_case(F.regexp_replace(text, f"{NON_WORD}+", ""))
+
+
+def fold_case(text: Column) -> Column:
+    """Lower case with one form of the sigma."""
+    return F.replace(F.lower(text), F.lit("ς"), F.lit("σ"))

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 WORD = r"[\p{L}\p{N}_]"
 NON_WORD = r"[^\p{L}\p{N}_]"
 SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())  # the characters of SPACE
 CJK = "[一-鿿]"
 TOKEN = f"({WORD}+)"
 
 
 def strip(text: Column) -> Column:
-    """Remove Unicode white space from both ends (``trim`` only knows the blank)."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    """Remove Unicode white space from both ends (plain ``trim`` only knows the blank)."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def is_blank(text: Column) -> Column:

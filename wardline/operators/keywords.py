@@ -1,25 +1,36 @@
 """Keyword and category matching.
 
-A handful of keywords is tested in the row with constant patterns. Longer lists are
-matched without comparing every text with every keyword: each keyword is filed under
-one *anchor* that any text it matches must contain, texts are exploded to their
-distinct anchors, the two meet in an equi-join, and only those candidates are verified
-with the pattern. Each keyword has one anchor and a text's anchors are distinct, so a
+No text is compared with every keyword of a long list. Three exact ways, by list size:
+
+* a handful of keywords is tested in the row with constant patterns;
+* up to a checked number of keywords go to the tasks as one search automaton, which finds
+  the keywords contained in a text in a single pass;
+* beyond that - or without the automaton library - each keyword is filed under one *anchor*
+  that any text it matches must contain, texts are exploded to their distinct anchors, and
+  the two meet in an equi-join.
+
+The last two yield candidates, which the keyword's pattern then verifies. Either way a
 (text, keyword) pair arises once and needs no de-duplication.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.functions.patterns import folded, keyword_pattern, uses_characters
+from wardline.functions.patterns import fold_case, folded, keyword_pattern, uses_characters
 from wardline.functions.rows import explode_values
-from wardline.functions.text import NON_WORD, lower_tokens
+from wardline.functions.text import NON_WORD, lower_tokens, tokens
 from wardline.session import is_small
 
+try:
+    import ahocorasick
+except ImportError:  # the anchor join takes over
+    ahocorasick = None
+
 INLINE_LIMIT = 24
 BROADCAST_KEYWORDS = 200_000
 GRAM = 4
@@ -40,7 +51,7 @@ def compile_keywords(keywords: DataFrame, style: str = "auto", ignore_case: bool
     anchor = (
         F.when(F.length(core) == 0, F.concat(F.lit("s:"), F.substring(F.regexp_replace(k, r"^\s+", ""), 1, 1)))
         .when(by_characters, F.concat(F.lit("g:"), F.left(core, gram)))
-        .otherwise(F.concat(F.lit("w:"), F.translate(F.get(lower_tokens(k), 0), "ς", "σ")))
+        .otherwise(F.concat(F.lit("w:"), fold_case(F.get(lower_tokens(k), 0))))
     )
     return (
         keywords.where(k.isNotNull())
@@ -68,7 +79,7 @@ def text_anchors(text: Column, folded_text: Column, kinds: Sequence[tuple[str, i
     parts = []
     for kind, size in kinds:
         if kind == "w":
-            parts.append(tagged("w:", F.transform(lower_tokens(text), lambda t: F.translate(t, "ς", "σ"))))
+            parts.append(tagged("w:", tokens(fold_case(text))))
         elif kind == "s":
             parts.append(tagged("s:", F.regexp_extract_all(text, F.lit(f"({NON_WORD})"), F.lit(1))))
         else:  # a look-ahead finds every overlapping gram in one pass
@@ -76,6 +87,43 @@ def text_anchors(text: Column, folded_text: Column, kinds: Sequence[tuple[str, i
     return F.concat(*parts)
 
 
+def _contained(cores: Sequence[str]):
+    """UDF: the distinct cores that a folded text contains."""
+
+    @F.pandas_udf("array<string>")
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        search = ahocorasick.Automaton()
+        for core in cores:
+            search.add_word(core, core)
+        search.make_automaton()
+        for batch in batches:
+            yield pd.Series([sorted({core for _, core in search.iter(text)}) for text in batch])
+
+    return find
+
+
+def _by_patterns(body: DataFrame, compiled: DataFrame, few: Sequence, ids: Sequence[str]) -> DataFrame:
+    tests = [F.when(F.regexp_like("_text", F.lit(r["pattern"])), F.lit(r["keyword"])) for r in few]
+    either = F.lit("|".join(f"(?:{r['pattern']})" for r in few))
+    found = F.when(F.regexp_like("_text", either), F.array(*tests)).otherwise(F.array().cast("array<string>"))
+    return explode_values(body, ids, found, "keyword").join(F.broadcast(compiled), "keyword")
+
+
+def _by_automaton(body: DataFrame, compiled: DataFrame, ids: Sequence[str]) -> DataFrame:
+    cores = sorted(r[0] for r in compiled.select("core").where(F.length("core") > 0).distinct().collect())
+    found = explode_values(body, [*ids, "_text"], _contained(cores)("_folded"), "core")
+    return found.join(F.broadcast(compiled), "core").where(F.expr("_text rlike pattern"))
+
+
+def _by_anchors(body: DataFrame, compiled: DataFrame, ids: Sequence[str], small: bool) -> DataFrame:
+    anchors = text_anchors(F.col("_text"), F.col("_folded"), _anchor_kinds(compiled))
+    if small:
+        hits = explode_values(body, [*ids, "_text", "_folded"], anchors, "anchor").join(F.broadcast(compiled), "anchor")
+    else:  # shuffle narrow rows only, fetch the text again for the candidates
+        hits = explode_values(body, ids, anchors, "anchor").join(compiled, "anchor").join(body, list(ids))
+    return hits.where(F.contains(F.col("_folded"), F.col("core")) & F.expr("_text rlike pattern"))
+
+
 def keyword_hits(
     texts: DataFrame,
     keywords: DataFrame,
@@ -83,25 +131,27 @@ def keyword_hits(
     text: str = "text",
     style: str = "auto",
     ignore_case: bool = False,
+    inline_limit: int = INLINE_LIMIT,
     broadcast_rows: int = BROADCAST_KEYWORDS,
+    use_automaton: bool = ahocorasick is not None,
 ) -> DataFrame:
     """One row per (text, matching keyword), with any further columns of ``keywords``."""
     compiled = compile_keywords(keywords, style, ignore_case)
-    kinds = _anchor_kinds(compiled)
     extra = [c for c in keywords.columns if c not in ("keyword", "list_name")]
     out = [*ids, "keyword", *extra]
+    few = compiled.select("keyword", "pattern").distinct().limit(inline_limit + 1).collect()
+    if len(few) <= inline_limit:
+        body = texts.select(*ids, F.col(text).alias("_text"))
+        return _by_patterns(body, compiled, few, ids).select(*out) if few else body.join(
+            compiled, F.lit(False)
+        ).select(*out)
     body = texts.select(*ids, F.col(text).alias("_text"), folded(F.col(text)).alias("_folded"))
-    if not kinds:
-        return body.join(compiled.limit(0), F.lit(False)).select(*out)
-    anchors = text_anchors(F.col("_text"), F.col("_folded"), kinds)
-    verified = F.contains(F.col("_folded"), F.col("core")) & F.expr("_text rlike pattern")
-    if is_small(compiled, broadcast_rows):
-        filed = explode_values(body, [*ids, "_text", "_folded"], anchors, "anchor")
-        hits = filed.join(F.broadcast(compiled), "anchor")
-    else:  # shuffle narrow rows only, fetch the text again for the candidates
-        candidates = explode_values(body, ids, anchors, "anchor").join(compiled, "anchor")
-        hits = candidates.join(body, list(ids))
-    return hits.where(verified).select(*out)
+    small = is_small(compiled, broadcast_rows)
+    if not (small and use_automaton):
+        return _by_anchors(body, compiled, ids, small).select(*out)
+    hits = _by_automaton(body, compiled, ids).select(*out)
+    bare = compiled.where(F.length("core") == 0)  # keywords of symbols only have nothing to search for
+    return hits if is_small(bare, 0) else hits.unionByName(_by_anchors(body, bare, ids, True).select(*out))
 
 
 def any_pattern(keywords: Sequence[str], style: str, ignore_case: bool) -> Column:
