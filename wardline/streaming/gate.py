@@ -6,6 +6,7 @@ gate expressions serve batch tables and streams.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,61 +21,59 @@ from wardline.operators import moderation as mod
 from wardline.operators.scoring import Scorer
 from wardline.streaming.lines import DONE, PREFIX, parse_lines, replacement_lines
 
-ANSWER = """request_id string, content string, finish_reason string, error string, status string,
-n_lines int, first_ms bigint, last_ms bigint, lines array<string>"""
-HELD = """seqs array<int>, pieces array<string>, lines array<string>, end_seq int, finish_reason string,
-error string, first_ms bigint, last_ms bigint, released boolean"""
+# One answer as the stream job hands it on. Rows and state cross to Python as one JSON string
+# each: converting many narrow columns for every small group would cost more than the work.
+ANSWER = """struct<content:string,finish_reason:string,error:string,status:string,n_lines:int,
+first_ms:bigint,last_ms:bigint,lines:array<string>>"""
 
 
 class _Answer:
-    """What is known of one answer so far."""
-
-    def __init__(self, held: tuple | None):
-        (self.seqs, self.pieces, self.lines, self.end_seq, self.finish, self.error, self.first, self.last,
-         self.released) = held or ([], [], [], None, None, None, None, None, False)
-        self.by_seq = {s: (p, ln) for s, p, ln in zip(self.seqs, self.pieces, self.lines)}
-
-    def add(self, rows: pd.DataFrame) -> None:
-        for r in rows.itertuples(index=False):
-            if r.seq in self.by_seq:
-                continue
-            kept = r.kind in ("delta", "error")
-            self.by_seq[r.seq] = (r.content if isinstance(r.content, str) else "", r.line if kept else "")
-            if r.kind == "done" or isinstance(r.finish_reason, str) or r.kind == "error":
-                self.end_seq = r.seq if self.end_seq is None else min(self.end_seq, r.seq)
-            if isinstance(r.finish_reason, str):
-                self.finish = r.finish_reason
-            if isinstance(r.error, str):
-                self.error = r.error
-        low, high = int(rows["ms"].min()), int(rows["ms"].max())
-        self.first = low if self.first is None else min(self.first, low)
-        self.last = high if self.last is None else max(self.last, high)
+    """What is known of one answer so far: its lines by number, its end, and its time span."""
+
+    def __init__(self, held: str | None = None):
+        known = json.loads(held) if held else {}
+        self.lines: dict[int, list] = {int(s): x for s, x in known.get("lines", {}).items()}
+        self.end: int | None = known.get("end")
+        self.finish: str | None = known.get("finish")
+        self.error: str | None = known.get("error")
+        self.first: int | None = known.get("first")
+        self.last: int | None = known.get("last")
+        self.released: bool = known.get("released", False)
+
+    def add(self, row: dict) -> None:
+        seq, kind, ms = row["seq"], row["kind"], row["ms"]
+        self.first = ms if self.first is None else min(self.first, ms)
+        self.last = ms if self.last is None else max(self.last, ms)
+        if self.released or seq in self.lines:
+            return
+        self.lines[seq] = [row.get("content") or "", row["line"] if kind in ("delta", "error") else ""]
+        if kind in ("done", "error") or row.get("finish_reason"):
+            self.end = seq if self.end is None else min(self.end, seq)
+        self.finish = row.get("finish_reason") or self.finish
+        self.error = row.get("error") or self.error
 
     def complete(self) -> bool:
-        return self.end_seq is not None and all(s in self.by_seq for s in range(self.end_seq + 1))
+        return self.end is not None and all(s in self.lines for s in range(self.end + 1))
 
-    def row(self, request_id: str, status: str) -> pd.DataFrame:
-        order = [s for s in sorted(self.by_seq) if self.end_seq is None or s <= self.end_seq]
-        return pd.DataFrame([{
-            "request_id": request_id,
-            "content": "".join(self.by_seq[s][0] for s in order),
+    def release(self, status: str) -> str:
+        used = [self.lines[s] for s in sorted(self.lines) if self.end is None or s <= self.end]
+        self.released = True
+        return json.dumps({
+            "content": "".join(content for content, _ in used),
             "finish_reason": self.finish,
             "error": self.error,
             "status": "error" if self.error else status,
-            "n_lines": len(order),
+            "n_lines": len(used),
             "first_ms": self.first,
             "last_ms": self.last,
-            "lines": [self.by_seq[s][1] for s in order if self.by_seq[s][1]],
-        }])
+            "lines": [line for _, line in used if line],
+        })
 
-    def held(self) -> tuple:
+    def held(self) -> str:
+        span = {"first": self.first, "last": self.last}
         if self.released:
-            return ([], [], [], None, None, None, self.first, self.last, True)
-        order = sorted(self.by_seq)
-        return (
-            order, [self.by_seq[s][0] for s in order], [self.by_seq[s][1] for s in order],
-            self.end_seq, self.finish, self.error, self.first, self.last, False,
-        )
+            return json.dumps({"released": True, **span})
+        return json.dumps({"lines": self.lines, "end": self.end, "finish": self.finish, "error": self.error, **span})
 
 
 def assemble_stream(lines: DataFrame, delay: str = "10 minutes", idle_seconds: int = 600) -> DataFrame:
@@ -84,30 +83,33 @@ def assemble_stream(lines: DataFrame, delay: str = "10 minutes", idle_seconds: i
     stragglers cannot emit an answer again. State per request is bounded by its answer.
     """
     parsed = parse_lines(lines.withWatermark("ts", delay)).where(F.col("kind") != "other")
-    slim = parsed.select(
-        "request_id", "seq", "line", "ts", "kind", "content", "finish_reason", "error", F.unix_millis("ts").alias("ms")
+    fields = ("seq", "kind", "content", "line", "finish_reason", "error")
+    packed = parsed.select(
+        "request_id", "ts", F.to_json(F.struct(*fields, F.unix_millis("ts").alias("ms"))).alias("row")
     )
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        answer = _Answer(state.get if state.exists else None)
+        answer = _Answer(state.get[0] if state.exists else None)
+        out = None
         if state.hasTimedOut:
             state.remove()
-            if not answer.released:
-                yield answer.row(key[0], "incomplete")
-            return
-        for rows in batches:
-            if not answer.released:
-                answer.add(rows)
-        if not answer.released and answer.complete():
-            yield answer.row(key[0], "complete")
-            answer.released = True
-        state.update(answer.held())
-        due = answer.last + idle_seconds * 1000
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-
-    answers = slim.groupBy("request_id").applyInPandasWithState(
-        step, ANSWER, HELD, "append", GroupStateTimeout.EventTimeTimeout
+            out = None if answer.released else answer.release("incomplete")
+        else:
+            for rows in batches:
+                for row in rows["row"].tolist():
+                    answer.add(json.loads(row))
+            if not answer.released and answer.complete():
+                out = answer.release("complete")
+            state.update((answer.held(),))
+            due = answer.last + idle_seconds * 1000
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        if out is not None:
+            yield pd.DataFrame({"request_id": [key[0]], "answer": [out]})
+
+    found = packed.groupBy("request_id").applyInPandasWithState(
+        step, "request_id string, answer string", "held string", "append", GroupStateTimeout.EventTimeTimeout
     )
+    answers = found.select("request_id", F.from_json("answer", ANSWER).alias("a")).select("request_id", "a.*")
     times = {"first_ts": F.timestamp_millis("first_ms"), "last_ts": F.timestamp_millis("last_ms")}
     return answers.withColumns(times).drop("first_ms", "last_ms")
 
