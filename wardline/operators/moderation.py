@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wardline.config import POST_THRESHOLD, Thresholds, WindowParams
 from wardline.functions.rows import explode_structs
-from wardline.functions.text import character_windows, sentences, token_windows, tokens
+from wardline.functions.text import character_windows, drop_noise, sentences, token_windows, tokens
 from wardline.operators.scoring import Scorer
 
 BLOCK, PASS, GREY = 0, 1, 2
@@ -79,7 +79,7 @@ def attach_sentences(
     ``every_score=False`` texts the scorer is certain about are skipped as well.
     """
     keep = only_if
-    certain = None if every_score else scorer.may_flag(F.col(text))
+    certain = None if every_score else scorer.may_flag(drop_noise(F.col(text)))  # as sentences are cut
     if certain is not None:
         keep = certain if keep is None else keep & certain
     parts = sentences(F.col(text))
