@@ -7,6 +7,7 @@ from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardline.config import (
     ACTION_ANSWER,
@@ -149,7 +150,7 @@ def _ask(client: Client, prompt: str, endpoints: Sequence[str], timeout: float)
 def _judge_pass(
     df: DataFrame, make_client: Callable[[], Client], endpoints: Sequence[str], timeout: float, ask_at_once: int, threads: int
 ) -> DataFrame:
-    n, schema = len(endpoints), df.schema.add("judge_output", "string")
+    n, schema = len(endpoints), T.StructType([*df.schema.fields, T.StructField("judge_output", T.StringType())])
 
     def run(batches):
         client = make_client()
