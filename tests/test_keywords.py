@@ -69,8 +69,10 @@ def test_row_local_matching_equals_brute_force(frames, style, ignore_case):
 def test_attach_agrees_for_long_lists(frames):
     texts, _ = frames
     short = K.attach_keywords(texts, KEYWORDS, ["id"], "text", "m").orderBy("id").collect()
-    longer = K.attach_keywords(texts, KEYWORDS + [f"unused{i}" for i in range(40)], ["id"], "text", "m").orderBy("id").collect()
-    assert [r["m"] for r in short] == [r["m"] for r in longer]
+    many = KEYWORDS + [f"unused{i}" for i in range(40)]
+    for options in ({}, {"use_automaton": False}, {"broadcast_rows": 3}):
+        longer = K.attach_keywords(texts, many, ["id"], "text", "m", **options).orderBy("id").collect()
+        assert [r["m"] for r in short] == [r["m"] for r in longer]
 
 
 def test_blank_keywords_have_no_pattern(spark):

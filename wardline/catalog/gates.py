@@ -313,7 +313,7 @@ def _checks(spark, sf):
     return Q.all_checks(
         Q.check(docs, "documents_blank", F.length(F.trim("text")) == 0),
         Q.check(docs, "documents_length", F.length("text") != F.col("n_chars")),
-        Q.duplicates(docs, ["text"], "documents_repeated"),
+        Q.duplicates(docs.select(F.md5("text").alias("digest")), ["digest"], "documents_repeated"),
         Q.check(users, "users_blank", F.length("key") == 0),
         Q.check(events, "events_errors", F.col("event_type") == "error", "warning"),
         Q.check(events.join(docs.select(F.col("doc_id").alias("event_id")), "event_id", "left_anti"), "events_orphans", None),

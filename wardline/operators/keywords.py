@@ -4,7 +4,7 @@ No text is compared with every keyword of a long list. Three exact ways, by list
 
 * a handful of keywords is tested in the row with constant patterns;
 * up to a checked number of keywords go to the tasks as one search automaton, which finds
-  the keywords contained in a text in a single pass;
+  the keywords contained in a text in a single pass, also within the row;
 * beyond that - or without the automaton library - each keyword is filed under one *anchor*
   that any text it matches must contain, texts are exploded to their distinct anchors, and
   the two meet in an equi-join.
@@ -15,7 +15,7 @@ The last two yield candidates, which the keyword's pattern then verifies. Either
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from wardline.functions.patterns import fold_case, folded, keyword_pattern, uses_characters
 from wardline.functions.rows import explode_values
 from wardline.functions.text import NON_WORD, lower_tokens, tokens
-from wardline.session import is_small
+from wardline.session import broadcast_within, is_small
 
 try:
     import ahocorasick
@@ -87,32 +87,47 @@ def text_anchors(text: Column, folded_text: Column, kinds: Sequence[tuple[str, i
     return F.concat(*parts)
 
 
-def _contained(cores: Sequence[str]):
-    """UDF: the distinct cores that a folded text contains."""
+def _candidates(rows: Sequence) -> Callable[[Column], Column]:
+    """UDF: (keyword, pattern) of the keywords whose core a folded text contains. Keywords
+    of symbols only have no core to look for and always are candidates."""
+    by_core: dict[str, list] = {}
+    for r in rows:
+        by_core.setdefault(r["core"], []).append({"keyword": r["keyword"], "pattern": r["pattern"]})
+    always = by_core.pop("", [])
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("array<struct<keyword:string,pattern:string>>")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         search = ahocorasick.Automaton()
-        for core in cores:
+        for core in by_core:
             search.add_word(core, core)
-        search.make_automaton()
+        if by_core:
+            search.make_automaton()
         for batch in batches:
-            yield pd.Series([sorted({core for _, core in search.iter(text)}) for text in batch])
+            found = [sorted({core for _, core in search.iter(t)}) if by_core and t else [] for t in batch]
+            yield pd.Series([always + [c for core in cores for c in by_core[core]] for cores in found])
 
     return find
 
 
-def _by_patterns(body: DataFrame, compiled: DataFrame, few: Sequence, ids: Sequence[str]) -> DataFrame:
-    tests = [F.when(F.regexp_like("_text", F.lit(r["pattern"])), F.lit(r["keyword"])) for r in few]
-    either = F.lit("|".join(f"(?:{r['pattern']})" for r in few))
-    found = F.when(F.regexp_like("_text", either), F.array(*tests)).otherwise(F.array().cast("array<string>"))
-    return explode_values(body, ids, found, "keyword").join(F.broadcast(compiled), "keyword")
+def _verified(text: str, candidates: str) -> Column:
+    return F.transform(
+        F.filter(candidates, lambda c: F.regexp_like(F.col(text), c["pattern"])), lambda c: c["keyword"]
+    )
 
 
-def _by_automaton(body: DataFrame, compiled: DataFrame, ids: Sequence[str]) -> DataFrame:
-    cores = sorted(r[0] for r in compiled.select("core").where(F.length("core") > 0).distinct().collect())
-    found = explode_values(body, [*ids, "_text"], _contained(cores)("_folded"), "core")
-    return found.join(F.broadcast(compiled), "core").where(F.expr("_text rlike pattern"))
+def _with_matches(df: DataFrame, rows: Sequence, text: str, out: str, inline_limit: int) -> DataFrame:
+    """Add the matching keywords as an array, without leaving the row."""
+    none = F.array().cast("array<string>")
+    if not rows:
+        return df.withColumn(out, none)
+    if len(rows) <= inline_limit:
+        tests = [F.when(F.regexp_like(F.col(text), F.lit(r["pattern"])), F.lit(r["keyword"])) for r in rows]
+        either = F.lit("|".join(f"(?:{r['pattern']})" for r in rows))
+        found = F.when(F.regexp_like(F.col(text), either), F.array_compact(F.array(*tests)))
+        return df.withColumn(out, F.coalesce(found, none))
+    found = _candidates(rows)(F.coalesce(folded(F.col(text)), F.lit("")))
+    held = df.withColumn("_candidates", found)
+    return held.withColumn(out, F.coalesce(_verified(text, "_candidates"), none)).drop("_candidates")
 
 
 def _by_anchors(body: DataFrame, compiled: DataFrame, ids: Sequence[str], small: bool) -> DataFrame:
@@ -124,6 +139,12 @@ def _by_anchors(body: DataFrame, compiled: DataFrame, ids: Sequence[str], small:
     return hits.where(F.contains(F.col("_folded"), F.col("core")) & F.expr("_text rlike pattern"))
 
 
+def _rows_within(compiled: DataFrame, limit: int) -> list | None:
+    """The compiled keywords, unless there are more than ``limit``."""
+    rows = compiled.select("keyword", "pattern", "core").distinct().limit(limit + 1).collect()
+    return rows if len(rows) <= limit else None
+
+
 def keyword_hits(
     texts: DataFrame,
     keywords: DataFrame,
@@ -139,19 +160,15 @@ def keyword_hits(
     compiled = compile_keywords(keywords, style, ignore_case)
     extra = [c for c in keywords.columns if c not in ("keyword", "list_name")]
     out = [*ids, "keyword", *extra]
-    few = compiled.select("keyword", "pattern").distinct().limit(inline_limit + 1).collect()
-    if len(few) <= inline_limit:
+    rows = _rows_within(compiled, broadcast_rows if use_automaton else inline_limit)
+    if rows is not None:
         body = texts.select(*ids, F.col(text).alias("_text"))
-        return _by_patterns(body, compiled, few, ids).select(*out) if few else body.join(
-            compiled, F.lit(False)
-        ).select(*out)
+        hits = explode_values(_with_matches(body, rows, "_text", "_found", inline_limit), ids, F.col("_found"), "keyword")
+        if extra:
+            hits = hits.join(broadcast_within(compiled.select("keyword", *extra), BROADCAST_KEYWORDS), "keyword")
+        return hits.select(*out)
     body = texts.select(*ids, F.col(text).alias("_text"), folded(F.col(text)).alias("_folded"))
-    small = is_small(compiled, broadcast_rows)
-    if not (small and use_automaton):
-        return _by_anchors(body, compiled, ids, small).select(*out)
-    hits = _by_automaton(body, compiled, ids).select(*out)
-    bare = compiled.where(F.length("core") == 0)  # keywords of symbols only have nothing to search for
-    return hits if is_small(bare, 0) else hits.unionByName(_by_anchors(body, bare, ids, True).select(*out))
+    return _by_anchors(body, compiled, ids, is_small(compiled, broadcast_rows)).select(*out)
 
 
 def any_pattern(keywords: Sequence[str], style: str, ignore_case: bool) -> Column:
@@ -199,13 +216,19 @@ def attach_keywords(
     out: str,
     style: str = "auto",
     ignore_case: bool = False,
+    broadcast_rows: int = BROADCAST_KEYWORDS,
+    use_automaton: bool = ahocorasick is not None,
 ) -> DataFrame:
-    """Add the sorted array of matching keywords; row-local for short lists."""
+    """Add the sorted array of matching keywords; row-local but for very long lists."""
     if not isinstance(keywords, DataFrame):
         if len(keywords) <= INLINE_LIMIT:
             return df.withColumn(out, matched_column(F.col(text), keywords, style, ignore_case))
         keywords = keyword_frame(df.sparkSession, keywords)
-    hits = keyword_hits(df, keywords.select("keyword"), ids, text, style, ignore_case)
+    words = keywords.select("keyword")
+    rows = _rows_within(compile_keywords(words, style, ignore_case), broadcast_rows) if use_automaton else None
+    if rows is not None:
+        return _with_matches(df, rows, text, out, INLINE_LIMIT).withColumn(out, F.array_sort(out))
+    hits = keyword_hits(df, words, ids, text, style, ignore_case, broadcast_rows=broadcast_rows, use_automaton=False)
     per_text = hits.groupBy(*ids).agg(F.array_sort(F.collect_set("keyword")).alias(out))
     return df.join(per_text, list(ids), "left").withColumn(
         out, F.coalesce(out, F.array().cast("array<string>"))

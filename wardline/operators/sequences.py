@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from wardline.session import materialise
 
-HOT_ROWS = 2_000_000
+HOT_ROWS = 500_000
 BLOCK_ROWS = 100_000
 
 
