@@ -7,12 +7,12 @@ from wardline.functions.patterns import keyword_pattern
 from wardline.operators import keywords as K
 
 KEYWORDS = [
-    "bomb", "Big Bang", "炸弹", "制造 毒品", "C++", "+x", "***", "no_go", "é", "ab", "a", "", "  ", "Σίγμας", "bomb", "x*y", "the best of",
+    "bomb", "Big Bang", "炸弹", "制造 毒品", "C++", "+x", "***", "no_go", "é", "ab", "a", "", "  ", "Σίγμας", "bomb", "x*y", "the best of", "stop", "kill",
 ]
 TEXTS = [
     "a bomb here", "bombs away", "BOMB", "b-o-m-b", "big  bang", "Big\tBang!", "炸*弹", "炸 中 弹", "炸，弹。", "制造 毒品", "制造\u3000\u3000毒品",
     "C++ is", "C++x", "a+x", "q +x", "***", "* * *", "a***b", "no_go area", "no go", "café", "é", "ab", "a", "", "ΣΊΓΜΑΣ", "σίγμας",
-    "x*y", "x y", "the  best\nof", "thebestof", "😀bomb😀", "übomb", "1bomb", "b_omb", "bo\u200bmb", "the Best of",
+    "x*y", "x y", "the  best\nof", "thebestof", "😀bomb😀", "übomb", "1bomb", "b_omb", "bo\u200bmb", "the Best of", "ſtop it", "S T O P", "KİLL", "kıll", "straße stop", "\u212aILL",
 ]
 
 

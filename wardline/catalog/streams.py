@@ -16,7 +16,7 @@ from wardline.streaming import gate as G
 from wardline.streaming import lines as L
 from wardline.streaming import runs as R
 
-FILES = 12
+FILES = 8
 
 
 def line_files(spark, sf) -> str:

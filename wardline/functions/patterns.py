@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wardline.functions.rows import let
 from wardline.functions.text import NON_WORD, SPACE, WORD, has_cjk, strip
 
 STYLES = ("auto", "characters")
@@ -62,5 +67,22 @@ def folded(text: Column) -> Column:
 
 
 def fold_case(text: Column) -> Column:
-    """Lower case with one form of the sigma."""
-    return F.replace(F.lower(text), F.lit("ς"), F.lit("σ"))
+    """One form for all characters that case-insensitive matching takes for the same; through
+    upper case, which also joins long s and s, dotless i and i."""
+    upper = F.replace(F.upper(text), F.lit("İ"), F.lit("I"))
+    return F.replace(F.lower(upper), F.lit("ς"), F.lit("σ"))
+
+
+def contains_any(text: Column, needles: Sequence[Column]) -> Column:
+    """Whether the text holds one of the needles. Plain substring search costs a fraction of
+    a pattern, so this goes first wherever a pattern implies a substring."""
+    return let(text, lambda t: reduce(or_, [F.contains(t, n) for n in needles]))
+
+
+def may_match(text: Column, keywords: Sequence[str], style: str, ignore_case: bool) -> Column:
+    """False only where none of the keywords can match: a word style keyword needs its first
+    word in the text, a noise tolerant one its word characters in a row once noise is gone."""
+    if style == "auto" and not any("\u4e00" <= c <= "\u9fff" for k in keywords for c in k):
+        first = [F.lit(k.split()[0]) for k in keywords]
+        return contains_any(fold_case(text), [fold_case(f) for f in first]) if ignore_case else contains_any(text, first)
+    return contains_any(folded(text), [folded(F.lit(k)) for k in keywords])

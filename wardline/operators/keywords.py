@@ -21,9 +21,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.functions.patterns import fold_case, folded, keyword_pattern, uses_characters
+from wardline.functions.patterns import fold_case, folded, keyword_pattern, may_match, uses_characters
 from wardline.functions.rows import explode_values
-from wardline.functions.text import NON_WORD, lower_tokens, tokens
+from wardline.functions.text import NON_WORD, tokens
 from wardline.session import broadcast_within, is_small
 
 try:
@@ -51,7 +51,7 @@ def compile_keywords(keywords: DataFrame, style: str = "auto", ignore_case: bool
     anchor = (
         F.when(F.length(core) == 0, F.concat(F.lit("s:"), F.substring(F.regexp_replace(k, r"^\s+", ""), 1, 1)))
         .when(by_characters, F.concat(F.lit("g:"), F.left(core, gram)))
-        .otherwise(F.concat(F.lit("w:"), fold_case(F.get(lower_tokens(k), 0))))
+        .otherwise(F.concat(F.lit("w:"), fold_case(F.get(tokens(k), 0))))
     )
     return (
         keywords.where(k.isNotNull())
@@ -79,7 +79,7 @@ def text_anchors(text: Column, folded_text: Column, kinds: Sequence[tuple[str, i
     parts = []
     for kind, size in kinds:
         if kind == "w":
-            parts.append(tagged("w:", tokens(fold_case(text))))
+            parts.append(tagged("w:", F.transform(tokens(text), fold_case)))
         elif kind == "s":
             parts.append(tagged("s:", F.regexp_extract_all(text, F.lit(f"({NON_WORD})"), F.lit(1))))
         else:  # a look-ahead finds every overlapping gram in one pass
@@ -115,16 +115,15 @@ def _verified(text: str, candidates: str) -> Column:
     )
 
 
-def _with_matches(df: DataFrame, rows: Sequence, text: str, out: str, inline_limit: int) -> DataFrame:
+def _with_matches(
+    df: DataFrame, rows: Sequence, text: str, out: str, style: str, ignore_case: bool, inline_limit: int
+) -> DataFrame:
     """Add the matching keywords as an array, without leaving the row."""
     none = F.array().cast("array<string>")
     if not rows:
         return df.withColumn(out, none)
     if len(rows) <= inline_limit:
-        tests = [F.when(F.regexp_like(F.col(text), F.lit(r["pattern"])), F.lit(r["keyword"])) for r in rows]
-        either = F.lit("|".join(f"(?:{r['pattern']})" for r in rows))
-        found = F.when(F.regexp_like(F.col(text), either), F.array_compact(F.array(*tests)))
-        return df.withColumn(out, F.coalesce(found, none))
+        return df.withColumn(out, matched_column(F.col(text), [r["keyword"] for r in rows], style, ignore_case))
     found = _candidates(rows)(F.coalesce(folded(F.col(text)), F.lit("")))
     held = df.withColumn("_candidates", found)
     return held.withColumn(out, F.coalesce(_verified(text, "_candidates"), none)).drop("_candidates")
@@ -163,7 +162,7 @@ def keyword_hits(
     rows = _rows_within(compiled, broadcast_rows if use_automaton else inline_limit)
     if rows is not None:
         body = texts.select(*ids, F.col(text).alias("_text"))
-        hits = explode_values(_with_matches(body, rows, "_text", "_found", inline_limit), ids, F.col("_found"), "keyword")
+        hits = explode_values(_with_matches(body, rows, "_text", "_found", style, ignore_case, inline_limit), ids, F.col("_found"), "keyword")
         if extra:
             hits = hits.join(broadcast_within(compiled.select("keyword", *extra), BROADCAST_KEYWORDS), "keyword")
         return hits.select(*out)
@@ -192,9 +191,7 @@ def matched_column(text: Column, keywords: Sequence[str], style: str = "auto", i
     each = [
         F.when(F.regexp_like(text, keyword_pattern(F.lit(k), style, ignore_case)), F.lit(k)) for k in kws
     ]
-    return F.when(
-        F.regexp_like(text, any_pattern(kws, style, ignore_case)), F.array_compact(F.array(*each))
-    ).otherwise(none)
+    return F.when(may_match(text, kws, style, ignore_case), F.array_compact(F.array(*each))).otherwise(none)
 
 
 def matched_categories_column(text: Column, blacklist: dict[str, Sequence[str]], ignore_case: bool = True) -> Column:
@@ -205,7 +202,11 @@ def matched_categories_column(text: Column, blacklist: dict[str, Sequence[str]],
         for c, subs in cats.items()
         if subs
     ]
-    return F.array_compact(F.array(*each)) if each else F.array().cast("array<string>")
+    none = F.array().cast("array<string>")
+    if not each:
+        return none
+    every = [k for subs in cats.values() for k in subs]
+    return F.when(may_match(text, every, "characters", ignore_case), F.array_compact(F.array(*each))).otherwise(none)
 
 
 def attach_keywords(
@@ -227,7 +228,7 @@ def attach_keywords(
     words = keywords.select("keyword")
     rows = _rows_within(compile_keywords(words, style, ignore_case), broadcast_rows) if use_automaton else None
     if rows is not None:
-        return _with_matches(df, rows, text, out, INLINE_LIMIT).withColumn(out, F.array_sort(out))
+        return _with_matches(df, rows, text, out, style, ignore_case, INLINE_LIMIT).withColumn(out, F.array_sort(out))
     hits = keyword_hits(df, words, ids, text, style, ignore_case, broadcast_rows=broadcast_rows, use_automaton=False)
     per_text = hits.groupBy(*ids).agg(F.array_sort(F.collect_set("keyword")).alias(out))
     return df.join(per_text, list(ids), "left").withColumn(

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardline.functions.patterns import contains_any
 from wardline.functions.text import WORD
 
 SCORE_TYPE = "array<struct<label:string,score:double>>"
@@ -67,7 +68,8 @@ class LexiconScorer:
         return df.withColumn(out, self.verdicts(self.weights(F.col(texts))))
 
     def may_flag(self, text: Column) -> Column:
-        return F.regexp_like(F.lower(text), self._whole(self.words))
+        low = F.lower(text)
+        return contains_any(low, [F.lit(w) for w in self.words]) & F.regexp_like(low, self._whole(self.words))
 
 
 class PandasScorer:
