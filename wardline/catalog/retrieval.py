@@ -56,7 +56,7 @@ nexts AS (SELECT e.doc_id, e.a, e.b, min(s.n) AS nxt FROM ends e JOIN cum f ON f
 
 @query(
     "sentence_chunks",
-    f"""WITH RECURSIVE {SPLITTER_SQL}, walk AS (SELECT doc_id, a, b, 0 AS pos FROM ends WHERE a = 0
+    f"""WITH RECURSIVE {SPLITTER_SQL}, walk AS (SELECT doc_id, a, b, CAST(0 AS BIGINT) AS pos FROM ends WHERE a = 0
  UNION ALL SELECT w.doc_id, e.a, e.b, w.pos + 1 FROM walk w JOIN nexts x ON x.doc_id = w.doc_id AND x.a = w.a
   JOIN ends e ON e.doc_id = w.doc_id AND e.a = x.nxt)
 SELECT w.doc_id, w.pos, CAST(sum(c.c) AS BIGINT) AS n_tokens, string_agg(c.u, '' ORDER BY c.n) AS chunk

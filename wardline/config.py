@@ -98,3 +98,17 @@ IM_START_EXCEPTION_ID = 77960
 PAD_ID = 151643
 IGNORE_LABEL = -100
 SAFETY_MODEL = "safety-filter"
+RESULT_QUERY = "查询问题: "
+RESULT_COUNT = "\n检索到%d条相关信息:"
+RESULT_ITEM = "\n[结果%d]"
+RESULT_CONTENT = "内容: "
+RESULT_SOURCE = "来源: "
+RESULT_URL = "链接: "
+RESULT_TITLE = "标题: "
+RESULT_SCORE = "相关度: %.4f"
+RESULT_SIMILARITY = "相似度: %.4f"
+RESULT_METADATA = "\n检索信息:"
+CONTEXT_HEAD = "Context:\n"
+CONTEXT_BULLET = "- "
+CONTEXT_QUESTION = "\n\nQuestion: "
+CONTEXT_TAIL = "\nAnswer using the context above."

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wardline import config as C
 from wardline.config import (
     IGNORE_LABEL,
     IM_END,
@@ -131,10 +132,8 @@ def safety_response(text: str = STANDARD_REFUSAL) -> Column:
 
 def context_prompt(contexts: Column, question: Column) -> Column:
     """Bulleted contexts followed by the question."""
-    bullets = F.array_join(F.transform(contexts, lambda c: F.concat(F.lit("- "), c)), "\n")
-    return F.concat(
-        F.lit("Context:\n"), bullets, F.lit("\n\nQuestion: "), question, F.lit("\nAnswer using the context above.")
-    )
+    bullets = F.array_join(F.transform(contexts, lambda c: F.concat(F.lit(C.CONTEXT_BULLET), c)), "\n")
+    return F.concat(F.lit(C.CONTEXT_HEAD), bullets, F.lit(C.CONTEXT_QUESTION), question, F.lit(C.CONTEXT_TAIL))
 
 
 def _first_present(item: Column, fields: list[tuple[str, str]]) -> Column:
@@ -149,19 +148,19 @@ def result_text(query: Column, results: Column, metadata: Column | None = None)
     """Retrieval results as plain text.
 
     ``results`` holds structs with content, text, document, passage, source, url, title,
-    score and similarity, any of them NULL. Labels are fixed values of the format.
+    score and similarity, any of them NULL.
     """
 
     def one(r: Column, i: Column) -> Column:
         content = F.coalesce(r["content"], r["text"], r["document"], r["passage"])
-        rank = F.when(r["score"].isNotNull(), F.format_string("相关度: %.4f", r["score"])).when(
-            r["similarity"].isNotNull(), F.format_string("相似度: %.4f", r["similarity"])
+        rank = F.when(r["score"].isNotNull(), F.format_string(C.RESULT_SCORE, r["score"])).when(
+            r["similarity"].isNotNull(), F.format_string(C.RESULT_SIMILARITY, r["similarity"])
         )
         return F.concat_ws(
             "\n",
-            F.format_string("\n[结果%d]", i + 1),
-            F.when(F.length(content) > 0, F.concat(F.lit("内容: "), content)),
-            _first_present(r, [("source", "来源: "), ("url", "链接: "), ("title", "标题: ")]),
+            F.format_string(C.RESULT_ITEM, i + 1),
+            F.when(F.length(content) > 0, F.concat(F.lit(C.RESULT_CONTENT), content)),
+            _first_present(r, [("source", C.RESULT_SOURCE), ("url", C.RESULT_URL), ("title", C.RESULT_TITLE)]),
             rank,
         )
 
@@ -169,7 +168,7 @@ def result_text(query: Column, results: Column, metadata: Column | None = None)
     body = F.when(
         n > 0,
         F.concat_ws(
-            "\n", F.format_string("\n检索到%d条相关信息:", n), F.array_join(F.transform(results, one), "\n")
+            "\n", F.format_string(C.RESULT_COUNT, n), F.array_join(F.transform(results, one), "\n")
         ),
     )
     extra = F.lit(None).cast("string")
@@ -177,8 +176,8 @@ def result_text(query: Column, results: Column, metadata: Column | None = None)
         pairs = F.transform(
             F.map_entries(metadata), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit("None")))
         )
-        extra = F.when(F.size(metadata) > 0, F.concat_ws("\n", F.lit("\n检索信息:"), F.array_join(pairs, "\n")))
-    return F.concat_ws("\n", F.concat(F.lit("查询问题: "), query), body, extra)
+        extra = F.when(F.size(metadata) > 0, F.concat_ws("\n", F.lit(C.RESULT_METADATA), F.array_join(pairs, "\n")))
+    return F.concat_ws("\n", F.concat(F.lit(C.RESULT_QUERY), query), body, extra)
 
 
 def clean_context(context: Column, max_chars: int = MAX_CONTEXT_CHARS) -> Column:

@@ -101,7 +101,8 @@ def sentence_chunks(
 def top_k(scores: DataFrame, k: int) -> DataFrame:
     """The best ``k`` per query with their rank from 1. Each task keeps its own best first."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    best = scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.withColumn("rank", F.col("rank").cast("bigint"))
 
 
 class _Best:
