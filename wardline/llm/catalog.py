@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardline.llm import kdtree, pfair, pii, quality, secrets
+from wardline.llm import bpe, jaccard, kdtree, pfair, pii, quality, secrets
 from wardline.llm.sqltext import SQL as SQL
 
 QUERIES = {}
@@ -46,3 +46,18 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "source", "lang")
     return kdtree.digests(kdtree.kd_shards(docs, shards=24))
+
+
+@query
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    coded = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.digests(coded)
+
+
+@query
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return jaccard.digests(docs, jaccard.jaccard_components(docs))
