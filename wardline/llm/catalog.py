@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wardline.llm import bpe, jaccard, kdtree, pfair, pii, quality, secrets
+from wardline.llm import bpe, jaccard, kdtree, maxscore, mixlm, pfair, pii, quality, secrets
 from wardline.llm.sqltext import SQL as SQL
 
 QUERIES = {}
@@ -61,3 +62,14 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return jaccard.digests(docs, jaccard.jaccard_components(docs))
+
+
+@query
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixlm.digests(mixlm.score(documents(spark, sf_dir).select("doc_id", "text")))
+
+
+@query
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return maxscore.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -54,15 +54,15 @@ def scrambled(x):
     return x ^ (x >> np.uint64(33))
 
 
-def _powers(n: int):
+def _powers(n: int, kept={}):  # noqa: B006  (the default holds the longest powers so far)
     """Powers of an odd number and of its inverse modulo 2**64."""
     import numpy as np
 
-    base, back = np.uint64(_ODD), np.uint64(pow(_ODD, -1, 2**64))
-    with np.errstate(over="ignore"):
-        up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base)]))
-        down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, back)]))
-    return up, down
+    if not kept or len(kept["up"]) <= n:
+        base, back = np.uint64(_ODD), np.uint64(pow(_ODD, -1, 2**64))
+        kept["up"] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base)]))
+        kept["down"] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, back)]))
+    return kept["up"], kept["down"]
 
 
 class Prefixes:
@@ -73,7 +73,7 @@ class Prefixes:
 
         up, self.down = _powers(len(raw))
         value = scrambled(np.arange(1, 257, dtype=np.uint64))
-        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(value[raw] * up[:-1])])
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(value[raw] * up[: len(raw)])])
 
     def hashes(self, starts, ends):
         return scrambled((self.sums[ends] - self.sums[starts]) * self.down[starts])
