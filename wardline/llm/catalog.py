@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import bpe, jaccard, kdtree, maxscore, mixlm, pfair, pii, quality, secrets
+from wardline.llm import bpe, jaccard, kdtree, maxscore, mixlm, pfair, pii, quality, secrets, suffixes
 from wardline.llm.sqltext import SQL as SQL
 
 QUERIES = {}
@@ -20,6 +20,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(suffixes.remove_repeats(documents(spark, sf_dir).select("doc_id", "text")))
+
+
 @query
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.quality_rules(documents(spark, sf_dir).select("doc_id", "text"))
