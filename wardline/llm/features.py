@@ -18,34 +18,31 @@ from pyspark.sql import functions as F
 
 from wardline.llm.words import slices, text_bytes
 
-BLOCKS = "bucket int, ids binary, counts binary, features binary"
+BLOCKS = "bucket int, ids binary, counts binary, features binary, codes binary"
 SHARED = "doc bigint, size int, sign bigint, features array<bigint>, documents array<int>"
+MET = "doc bigint, features array<bigint>"
 
 
 def bucket_bits(df: DataFrame) -> int:
     """Buckets: the largest power of two up to the number of shuffle partitions."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(20, parts.bit_length() - 1))
+    return max(1, min(12, parts.bit_length() - 1))
 
 
-def shared_features(
-    docs: DataFrame, doc: str, text: str, features: Callable, sized: bool = True
-) -> DataFrame:
-    """Rows (doc, size, sign, features, documents). ``features(raw, offsets)`` gives sorted,
-    distinct (document, hash) arrays of a slice of texts. One row with ``size`` and ``sign`` - the
-    number of features and a hash of all of them - comes for every document if ``sized``; the
-    other rows hold shared features (as 64-bit numbers whose 32 low bits count as zero beyond
-    the bucket's bits) and in how many documents each occurs."""
+def packed(docs: DataFrame, doc: str, text: str, features: Callable, sized: bool) -> DataFrame:
+    """Blocks of features. ``features(raw, offsets)`` gives arrays (document, hash, code) of a slice
+    of texts, sorted by document; code is None or four bytes that say more of the feature."""
     bits = bucket_bits(docs)
 
     def pack(batches):
         import numpy as np
         import pyarrow as pa
 
+        names, kinds = ["bucket", "ids", "counts", "features", "codes"], [pa.int32(), *[pa.binary()] * 4]
         for batch in slices(batches, "text"):
             ids = batch.column("doc").to_numpy(zero_copy_only=False).astype(np.int64)
             raw, offsets = text_bytes(batch.column("text"))
-            owner, value = features(raw, offsets)
+            owner, value, code = features(raw, offsets)
             rows = []
             bucket = (value >> np.uint64(64 - bits)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -54,57 +51,109 @@ def shared_features(
             for b in np.flatnonzero(np.diff(cuts)):
                 mine = order[cuts[b] : cuts[b + 1]]
                 who, counts = np.unique(owner[mine], return_counts=True)
-                rows.append((int(b), ids[who].tobytes(), counts.astype(np.int32).tobytes(), low[mine].tobytes()))
+                more = b"" if code is None else code[mine].tobytes()
+                rows.append((int(b), ids[who].tobytes(), counts.astype(np.int32).tobytes(), low[mine].tobytes(), more))
             if sized:
                 size = np.bincount(owner, minlength=len(ids)).astype(np.int32)
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(value >> np.uint64(20))])
                 ends = np.cumsum(size)
                 sign = sums[ends] - sums[ends - size]
-                rows.append((-1 - int(ids[0] % 2**bits), ids.tobytes(), size.tobytes(), sign.tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 3), strict=True)],
-                names=["bucket", "ids", "counts", "features"],
-            ) if rows else pa.RecordBatch.from_arrays(
-                [pa.array([], t) for t in (pa.int32(), *[pa.binary()] * 3)], names=["bucket", "ids", "counts", "features"]
-            )
+                rows.append((-1 - int(ids[0] % 2**bits), ids.tobytes(), size.tobytes(), sign.tobytes(), b""))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    given = docs.filter(F.col(doc).isNotNull()).select(F.col(doc).cast("bigint").alias("doc"), F.col(text).alias("text"))
+    return given.mapInArrow(pack, BLOCKS)
+
+
+class Bucket:
+    """All features of a bucket, equal ones side by side in the order of arrival."""
+
+    def __init__(self, key, table, bits: int):
+        import numpy as np
+
+        self.number, self.bits = key[0].as_py(), bits
+        self.ids, counts = self.joined(table, "ids", np.int64), self.joined(table, "counts", np.int32)
+        if self.number < 0:
+            self.sizes, self.signs = counts, self.joined(table, "features", np.int64)
+            return
+        low = self.joined(table, "features", np.uint32)
+        key = np.sort((low.astype(np.uint64) << np.uint64(32)) | np.arange(len(low), dtype=np.uint64))
+        self.order = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        self.low = (key >> np.uint64(32)).astype(np.uint32)
+        self.doc = np.repeat(self.ids, counts)[self.order]
+        new = np.ones(len(low), bool)
+        new[1:] = self.low[1:] != self.low[:-1]
+        self.first, self.group = np.flatnonzero(new), np.cumsum(new) - 1
+        self.other = new.copy()  # not the same document as the one before, of the same feature
+        self.other[1:] |= self.doc[1:] != self.doc[:-1]
+
+    @staticmethod
+    def joined(table, name, kind):
+        import numpy as np
+
+        return np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
+
+    def wide(self, low):
+        """64-bit features again; their bits beyond the bucket's and the 32 sent are zero."""
+        import numpy as np
+
+        top = np.uint64(self.number) << np.uint64(64 - self.bits)
+        return ((low.astype(np.uint64) << np.uint64(32 - self.bits)) | top).view(np.int64)
+
+
+def by_document(doc, *values):
+    """``(documents, lists of values)``, each document once."""
+    import numpy as np
+    import pyarrow as pa
+
+    order = np.argsort(doc, kind="stable")
+    who, first = np.unique(doc[order], return_index=True)
+    offsets = pa.array(np.append(first, len(doc)).astype(np.int32))
+    return pa.array(who, pa.int64()), *[pa.ListArray.from_arrays(offsets, pa.array(v[order])) for v in values]
+
+
+def shared_features(docs: DataFrame, doc: str, text: str, features: Callable) -> DataFrame:
+    """Rows (doc, size, sign, features, documents). One row with ``size`` and ``sign`` - the number of
+    features, which must be distinct, and a hash of all of them - comes for every document; the
+    others hold features that several documents have, and how many documents have each."""
+    bits = bucket_bits(docs)
 
     def meet(key, table):
         import numpy as np
         import pyarrow as pa
 
-        bucket = key[0].as_py()
-        join = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
-        ids, counts = join("ids", np.int64), join("counts", np.int32)
         names = ["doc", "size", "sign", "features", "documents"]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-        if bucket < 0:
-            empty = pa.nulls(len(ids), kinds[3])
-            return pa.Table.from_arrays(
-                [pa.array(ids), pa.array(counts), pa.array(join("features", np.int64)), empty, pa.nulls(len(ids), kinds[4])],
-                names=names,
-            )
-        low = join("features", np.uint32)
-        doc = np.repeat(ids, counts)
-        key = np.sort((low.astype(np.uint64) << np.uint64(32)) | np.arange(len(low), dtype=np.uint64))
-        low, doc = (key >> np.uint64(32)).astype(np.uint32), doc[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-        new = np.ones(len(low), bool)
-        new[1:] = low[1:] != low[:-1]
-        group = np.cumsum(new) - 1
-        other = new.copy()
-        other[1:] |= doc[1:] != doc[:-1]
-        documents = np.bincount(group, other).astype(np.int32)[group]
-        keep = (documents > 1) & other
-        low, doc, documents = low[keep], doc[keep], documents[keep]
-        order = np.argsort(doc, kind="stable")
-        doc, documents = doc[order], documents[order]
-        wide = ((low[order].astype(np.uint64) << np.uint64(32 - bits)) | (np.uint64(bucket) << np.uint64(64 - bits))).view(np.int64)
-        who, first = np.unique(doc, return_index=True)
-        offsets = pa.array(np.append(first, len(doc)).astype(np.int32))
-        return pa.Table.from_arrays(
-            [pa.array(who), pa.nulls(len(who), kinds[1]), pa.nulls(len(who), kinds[2]),
-             pa.ListArray.from_arrays(offsets, pa.array(wide)), pa.ListArray.from_arrays(offsets, pa.array(documents))],
-            names=names,
-        )
+        b = Bucket(key, table, bits)
+        if b.number < 0:
+            known = [pa.array(x, t) for x, t in zip((b.ids, b.sizes, b.signs), kinds[:3], strict=True)]
+            return pa.Table.from_arrays([*known, *[pa.nulls(len(b.ids), t) for t in kinds[3:]]], names=names)
+        documents = np.bincount(b.group, b.other).astype(np.int32)[b.group]
+        keep = (documents > 1) & b.other
+        who, features, many = by_document(b.doc[keep], b.wide(b.low[keep]), documents[keep])
+        return pa.Table.from_arrays([who, *[pa.nulls(len(who), t) for t in kinds[1:3]], features, many], names=names)
+
+    return packed(docs, doc, text, features, True).groupBy("bucket").applyInArrow(meet, SHARED)
+
+
+def met_features(docs: DataFrame, doc: str, text: str, features: Callable) -> DataFrame:
+    """Rows (doc, features) of features that several documents have. The lowest bit is 0 where
+    all of them have the feature with one code - then it is told to every document but the
+    smallest - and 1 where codes differ, which is told to all."""
+    bits = bucket_bits(docs)
 
-    given = docs.filter(F.col(doc).isNotNull()).select(F.col(doc).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    return given.mapInArrow(pack, BLOCKS).groupBy("bucket").applyInArrow(meet, SHARED)
+    def meet(key, table):
+        import numpy as np
+        import pyarrow as pa
+
+        b = Bucket(key, table, bits)
+        code = b.joined(table, "codes", np.uint32)[b.order]
+        shared = np.bincount(b.group, b.other) > 1
+        mixed = np.maximum.reduceat(code, b.first) != np.minimum.reduceat(code, b.first)
+        least = np.minimum.reduceat(b.doc, b.first)
+        keep = shared[b.group] & b.other & (mixed[b.group] | (b.doc > least[b.group]))
+        who, features = by_document(b.doc[keep], b.wide(b.low[keep]) | mixed[b.group[keep]])
+        return pa.Table.from_arrays([who, features], names=["doc", "features"])
+
+    return packed(docs, doc, text, features, False).groupBy("bucket").applyInArrow(meet, MET)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.session import materialise
+from wardline.llm.store import written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,9 +17,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("next"))
     both = both.unionByName(both.select(F.col("next").alias("node"), F.col("node").alias("next"))).distinct()
-    both = materialise(both, "edges")
+    both = written(both, "edges")
     labels = both.groupBy("node").agg(F.least(F.col("node"), F.min("next")).alias("component"))
-    labels = materialise(labels, "labels")
+    labels = written(labels, "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("next"), F.col("component").alias("seen")), "next")
         least = near.groupBy("node").agg(F.min("seen").alias("seen"))
@@ -27,7 +27,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             "node", "component", F.least("component", "seen").alias("lower")
         )
         hop = labels.select(F.col("node").alias("lower"), F.col("component").alias("over"))
-        fresh = materialise(
+        fresh = written(
             moved.join(hop, "lower").select("node", F.col("component").alias("old"), F.least("lower", "over").alias("component")),
             "labels",
         )

@@ -23,13 +23,13 @@ document. Rows without an id have a null component.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.features import shared_features
 from wardline.llm.graph import components
+from wardline.llm.store import written
 from wardline.llm.words import shingles
-from wardline.session import materialise
 
 THRESHOLD = 80
 LEVELS = (1, 2, 4, 8)
@@ -45,7 +45,7 @@ def _overlap(n):
 def shingle_sets(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc, n, tokens, alone)``: set size, the shared shingles in joining order as
     (documents, token), and the number of shingles that no other document has."""
-    rows = shared_features(docs, doc, text, shingles)
+    rows = shared_features(docs, doc, text, lambda raw, offsets: (*shingles(raw, offsets), None))
     flat = lambda c: F.flatten(F.collect_list(c))
     grouped = rows.groupBy("doc").agg(
         F.max("size").alias("n"),
@@ -100,7 +100,7 @@ def remaining_pairs(posts: DataFrame, labels: DataFrame) -> DataFrame:
     )
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     open_tokens = mixed.filter("lo < hi").select("token")
-    open_posts = materialise(placed.join(open_tokens, "token").select("token", "doc", "n", "level", "place", "component"), "open")
+    open_posts = written(placed.join(open_tokens, "token").select("token", "doc", "n", "level", "place", "component"), "open")
     x = open_posts.select("token", *[F.col(c).alias(f"{c}_a") for c in ("doc", "n", "place", "component")])
     y = open_posts.select("token", *[F.col(c).alias(f"{c}_b") for c in ("doc", "n", "place", "component", "level")])
     later = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("doc_a") < F.col("doc_b")))
@@ -116,7 +116,7 @@ def remaining_pairs(posts: DataFrame, labels: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc, n_shingles, component)`` for every id of ``docs``."""
-    sets = materialise(shingle_sets(docs, doc, text), "sets")
+    sets = written(shingle_sets(docs, doc, text), "sets")
     live = sets.filter(F.size("tokens") > 0)
     # equal sets: no shingle of one's own, equal sizes and equal sorted tokens
     signed = live.select(
@@ -124,17 +124,17 @@ def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text")
         (F.col("alone") == 0).alias("whole"),
     )
     classes = signed.filter("whole").groupBy("n", "s", "r").agg(F.min("doc").alias("class"))
-    member = materialise(
+    member = written(
         signed.join(classes, ["n", "s", "r"], "left").select(
             "doc", F.when(F.col("whole"), F.col("class")).otherwise(F.col("doc")).alias("class")
         ),
         "classes",
     )
     heads = live.join(member.filter("doc = class").select("doc"), "doc", "left_semi")
-    posts = materialise(prefixes(heads), "posts")
-    links = materialise(verified(hub_pairs(posts), heads), "links")
+    posts = written(prefixes(heads), "posts")
+    links = written(verified(hub_pairs(posts), heads), "links")
     labels = components(links)
-    more = materialise(verified(remaining_pairs(posts, labels), heads), "links")
+    more = written(verified(remaining_pairs(posts, labels), heads), "links")
     labels = components(links.unionByName(more)) if more.limit(1).count() else labels
     # a head is the smallest of its class, so the smallest head is the smallest document
     of_class = member.join(labels, F.col("class") == F.col("node"), "left").select(

@@ -22,8 +22,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardline.llm.store import written
 from wardline.llm.words import Prefixes, lower_ascii, slices, text_bytes, words
-from wardline.session import materialise
 
 ORDERS = 4
 SLOTS = 4_096
@@ -243,10 +243,10 @@ def score(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame
     """``(doc, held_out, n_bytes, n_tokens, n_known, train_tokens, base_score, score)`` of each row."""
     placed = chunked(docs, doc, text)
     kind = dict(docs.dtypes)[doc]
-    counted = materialise(placed.groupBy("chunk").applyInArrow(_count, COUNTS), "lm-counts")
+    counted = written(placed.groupBy("chunk").applyInArrow(_count, COUNTS), "lm-counts")
     tokens = counted.filter("kind = 0").groupBy("key").agg(F.sum("n").alias("c"))
-    grams = materialise(counted.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")), "lm-grams")
-    tokens = materialise(tokens.filter("c > 0"), "lm-tokens")
+    grams = written(counted.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")), "lm-grams")
+    tokens = written(tokens.filter("c > 0"), "lm-tokens")
     known = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = placed.filter("NOT held_out").count()
     total, distinct = known["n"] + ends, known["v"] + (1 if ends else 0)

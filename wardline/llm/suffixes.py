@@ -25,9 +25,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.features import shared_features
-from wardline.llm.words import Prefixes, distinct, scrambled, slices, text_bytes
-from wardline.session import materialise
+from wardline.llm.features import bucket_bits, met_features
+from wardline.llm.store import written
+from wardline.llm.words import Prefixes, scrambled, slices, text_bytes
 
 LENGTH = 50
 GRAM = 20
@@ -35,7 +35,7 @@ WINDOW = LENGTH - GRAM + 1
 BLOCK_BYTES = 1_500_000
 HOT_SEGMENTS = 500
 SEGMENTS = "doc bigint, start int, windows int, anchor bigint, segment binary"
-MASKS = "segment binary, mask bigint"
+MASKS = "anchor bigint, code bigint, mask bigint"
 
 
 def owned(raw, offsets):
@@ -68,8 +68,14 @@ def owned(raw, offsets):
 
 
 def anchors(raw, offsets):
-    owner, _, _, gram = owned(raw, offsets)
-    return distinct(owner, gram, len(offsets) - 1)
+    """``(document, anchor hash, segment hash)`` of every owning place."""
+    import numpy as np
+
+    owner, start, windows, gram = owned(raw, offsets)
+    if not len(owner):
+        return owner, gram, np.zeros(0, np.uint32)
+    code = Prefixes(raw).hashes(start, start + windows + LENGTH - 1)
+    return owner, gram, (code >> np.uint64(32)).astype(np.uint32)
 
 
 def ragged(values, starts, lengths):
@@ -81,35 +87,42 @@ def ragged(values, starts, lengths):
     return ends.astype(np.int32), values[index]
 
 
-def candidate_segments(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """All segments whose anchor more than one document has."""
-    shared = shared_features(docs, doc, text, anchors, sized=False)
-    wanted = shared.groupBy("doc").agg(F.flatten(F.collect_list("features")).alias("wanted"))
+def told(batch, column: str, owner, gram, bits: int):
+    """Two masks over places: anchors told with bit 0 and anchors told with bit 1."""
+    import numpy as np
+
+    lists = batch.column(column)
+    many = np.diff(lists.offsets.to_numpy())
+    features = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    drop = np.uint64(32 - bits)
+    salt = lambda i: scrambled(np.asarray(i, np.uint64) + np.uint64(1))
+    known = (features >> drop) ^ salt(np.repeat(np.arange(len(many)), many))
+    mine = (gram >> drop) ^ salt(owner)
+    odd = features & np.uint64(1) == 1
+    return np.isin(mine, known[~odd]), np.isin(mine, known[odd])
+
+
+def open_segments(docs: DataFrame, doc: str, text: str, wanted: DataFrame) -> DataFrame:
+    """All segments whose anchor stands in different segments of several documents."""
+    bits = bucket_bits(docs)
+    odd = wanted.select("doc", F.filter("wanted", lambda x: x.bitwiseAND(F.lit(1)) == 1).alias("wanted"))
     given = docs.select(F.col(doc).cast("bigint").alias("doc"), F.col(text).alias("text")).join(
-        wanted.hint("shuffle_hash"), "doc"
+        odd.filter(F.size("wanted") > 0).hint("shuffle_hash"), "doc"
     )
 
     def cut(batches):
-        import numpy as np
         import pyarrow as pa
 
         for batch in slices(batches, "text"):
             raw, offsets = text_bytes(batch.column("text"))
-            lists = batch.column("wanted")
-            many = np.diff(lists.offsets.to_numpy())
-            features = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            low = np.bitwise_or.reduce(features) if len(features) else np.uint64(0)
-            drop = np.uint64((int(low) & -int(low)).bit_length() - 1) if low else np.uint64(32)
-            salt = lambda i: scrambled(np.asarray(i, np.uint64) + np.uint64(1))
-            known = (features >> drop) ^ salt(np.repeat(np.arange(len(many)), many))
             owner, start, windows, gram = owned(raw, offsets)
-            keep = np.isin((gram >> drop) ^ salt(owner), known)
+            keep = told(batch, "wanted", owner, gram, bits)[1]
             owner, start, windows, gram = owner[keep], start[keep], windows[keep], gram[keep]
             ends, data = ragged(raw, start, windows + LENGTH - 1)
             ids = batch.column("doc").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[owner], pa.int64()), pa.array(start - offsets[owner], pa.int32()), pa.array(windows, pa.int32()),
-                 pa.array(gram.view(np.int64)),
+                 pa.array(gram.view("int64")),
                  pa.BinaryArray.from_buffers(pa.binary(), len(owner), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())])],
                 names=["doc", "start", "windows", "anchor", "segment"],
             )
@@ -246,7 +259,7 @@ def _shard(table):
         owner = np.repeat(np.arange(a, b), windows)
         place = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
         np.bitwise_or.at(mask, owner, np.where(least < docs[owner], np.int64(1) << place, 0))
-    return pa.table({"segment": column, "mask": pa.array(mask)})
+    return pa.table({"anchor": table.column("anchor"), "code": table.column("code"), "mask": pa.array(mask)})
 
 
 def text_bytes_of(column):
@@ -258,37 +271,45 @@ def text_bytes_of(column):
 
 
 def masks(classes: DataFrame) -> DataFrame:
-    """``(segment, mask)`` for distinct segments (segment, anchor, windows, first)."""
+    """``(anchor, code, mask)`` for classes of equal segments (anchor, code, segment, windows, first)."""
     shards = 4 * int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    crowd = classes.groupBy("anchor").agg(F.count("*").alias("crowd")).filter(F.col("crowd") > HOT_SEGMENTS)
-    marked = classes.join(crowd, "anchor", "left")
-    cold = marked.filter("crowd IS NULL").select("segment", "first", F.pmod("anchor", F.lit(shards)).alias("shard"))
+    crowd = classes.groupBy("anchor").agg(F.count("*").alias("crowd")).filter(F.col("crowd") > 1)
+    marked = classes.join(crowd, "anchor")
+    shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
+    cold = marked.filter(F.col("crowd") <= HOT_SEGMENTS).select("anchor", "code", "segment", "first", shard)
     by_shard = cold.groupBy("shard").applyInArrow(_shard, MASKS)
-    hot = marked.filter("crowd IS NOT NULL").select(
-        "segment", "first", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("windows")), lambda i: F.substr("segment", i, F.lit(LENGTH)))).alias("place", "window")
+    window = lambda i: F.substr("segment", i, F.lit(LENGTH))
+    hot = marked.filter(F.col("crowd") > HOT_SEGMENTS).select(
+        "anchor", "code", "first", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("windows")), window)).alias("place", "window")
     )
     single = hot.groupBy("window").agg(F.min("first").alias("least"), F.max("first").alias("last")).filter("least < last")
     found = hot.join(single, "window").filter("least < first")
-    bit = F.expr("shiftleft(1L, place)")
-    return by_shard.unionByName(found.groupBy("segment").agg(F.bit_or(bit).alias("mask")))
+    bits = found.groupBy("anchor", "code").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"))
+    return by_shard.unionByName(bits)
 
 
 def repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc, hits)``: per document the windows that a document with a smaller id has, as the
-    first byte of a segment and a mask of its windows."""
-    segments = materialise(candidate_segments(docs, doc, text), "segments")
-    classes = materialise(
-        segments.groupBy("segment").agg(F.min("doc").alias("first"), F.first("anchor").alias("anchor"), F.first("windows").alias("windows")),
+    """``(doc, wanted, hits)``: per document the anchors whose windows all go (lowest bit 0), and
+    other windows that go, as the first byte of a segment and a mask of its windows."""
+    lists = met_features(docs, doc, text, anchors).groupBy("doc")
+    wanted = written(lists.agg(F.flatten(F.collect_list("features")).alias("wanted")), "anchors")
+    segments = written(open_segments(docs, doc, text, wanted), "segments")
+    coded = segments.withColumn("code", F.xxhash64("segment"))
+    same = ["anchor", "code"]
+    classes = written(
+        coded.groupBy(*same).agg(F.min("doc").alias("first"), F.first("segment").alias("segment"), F.first("windows").alias("windows")),
         "classes",
     )
-    own = masks(classes).filter("mask <> 0")
-    told = classes.select("segment", "first").join(own, "segment", "left")
-    said = segments.select("doc", "start", "windows", "segment").join(told, "segment")
+    own = written(masks(classes).filter("mask <> 0"), "masks")
+    least = classes.select(*same, "first").join(own, same, "left")
+    said = coded.select("doc", "start", "windows", *same).join(least, same)
     later = F.col("doc") > F.col("first")
     hits = said.filter(later | F.col("mask").isNotNull()).select(
         "doc", "start", F.when(later, F.expr("shiftleft(1L, windows) - 1")).otherwise(F.col("mask")).alias("mask")
     )
-    return hits.groupBy("doc").agg(F.collect_list(F.struct("start", "mask")).alias("hits"))
+    hits = hits.groupBy("doc").agg(F.collect_list(F.struct("start", "mask")).alias("hits"))
+    even = F.filter("wanted", lambda x: x.bitwiseAND(F.lit(1)) == 0)
+    return wanted.select("doc", even.alias("wanted")).join(hits, "doc", "left")
 
 
 REMOVED = "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, spans array<struct<start:int,end:int>>"
@@ -297,8 +318,9 @@ REMOVED = "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, spans
 def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (remaining bytes) and ``spans``
     (removed runs of bytes) for each row of ``docs``."""
-    found = materialise(repeats(docs, doc, text), "repeats")
+    found = written(repeats(docs, doc, text), "repeats")
     kind = dict(docs.dtypes)[doc]
+    bits = bucket_bits(docs)
     given = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).join(found.hint("shuffle_hash"), "doc", "left")
 
     def cut(batches):
@@ -307,12 +329,16 @@ def remove_repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text") ->
 
         for batch in slices(batches, "text"):
             raw, offsets = text_bytes(batch.column("text"))
+            edge = np.zeros(len(raw) + 1, np.int64)
+            owner, first, windows, gram = owned(raw, offsets)
+            every = told(batch, "wanted", owner, gram, bits)[0]
+            np.add.at(edge, first[every], 1)
+            np.add.at(edge, first[every] + windows[every] + LENGTH - 1, -1)
             lists = batch.column("hits")
             many = np.diff(lists.offsets.to_numpy())
             flat = lists.flatten()
             start, mask = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
             owner = np.repeat(np.arange(len(many)), many)
-            edge = np.zeros(len(raw) + 1, np.int64)
             for bit in range(WINDOW):
                 on = (mask >> bit) & 1 == 1
                 at = offsets[owner[on]] + start[on] + bit
