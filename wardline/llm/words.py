@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 _ODD = 0x9E3779B97F4A7C15
 
 
