@@ -33,6 +33,7 @@ LENGTH = 50
 GRAM = 20
 WINDOW = LENGTH - GRAM + 1
 BLOCK_BYTES = 1_500_000
+#: An anchor in more different segments than this, and than a shard has on average, is cut up.
 HOT_SEGMENTS = 500
 SEGMENTS = "doc bigint, start int, windows int, anchor bigint, segment binary"
 MASKS = "anchor bigint, code bigint, mask bigint"
@@ -46,9 +47,8 @@ def owned(raw, offsets):
     none = np.zeros(0, np.int64)
     if len(raw) < LENGTH:
         return none, none, none, np.zeros(0, np.uint64)
-    at = np.arange(len(raw) - GRAM + 1)
-    gram = Prefixes(raw).hashes(at, at + GRAM)
-    least = (gram & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
+    gram = Prefixes(raw).rolling(GRAM)
+    least = (gram & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(gram), dtype=np.uint64)
     size = 1
     while size * 2 <= WINDOW:
         least = np.minimum(least[: len(least) - size], least[size:])
@@ -273,13 +273,14 @@ def text_bytes_of(column):
 def masks(classes: DataFrame) -> DataFrame:
     """``(anchor, code, mask)`` for classes of equal segments (anchor, code, segment, windows, first)."""
     shards = 4 * int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    crowd = classes.groupBy("anchor").agg(F.count("*").alias("crowd")).filter(F.col("crowd") > 1)
-    marked = classes.join(crowd, "anchor")
+    usual = max(HOT_SEGMENTS, classes.count() // shards)
+    crowds = classes.groupBy("anchor").agg(F.count("*").alias("crowd"))
+    crowded = written(crowds.filter(F.col("crowd") > usual).select("anchor"), "crowded")
     shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard")
-    cold = marked.filter(F.col("crowd") <= HOT_SEGMENTS).select("anchor", "code", "segment", "first", shard)
+    cold = classes.join(crowded, "anchor", "left_anti").select("anchor", "code", "segment", "first", shard)
     by_shard = cold.groupBy("shard").applyInArrow(_shard, MASKS)
     window = lambda i: F.substr("segment", i, F.lit(LENGTH))
-    hot = marked.filter(F.col("crowd") > HOT_SEGMENTS).select(
+    hot = classes.join(crowded, "anchor").select(
         "anchor", "code", "first", F.posexplode(F.transform(F.sequence(F.lit(1), F.col("windows")), window)).alias("place", "window")
     )
     single = hot.groupBy("window").agg(F.min("first").alias("least"), F.max("first").alias("last")).filter("least < last")

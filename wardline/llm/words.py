@@ -12,9 +12,11 @@ def slices(batches, column: str, most: int = SLICE_BYTES) -> Iterator:
     """Record batches cut so that the texts of each take about ``most`` bytes; at least a row,
     and fewer than 2**20 rows."""
     import numpy as np
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     for batch in batches:
+        pa.default_memory_pool().release_unused()
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         part = (np.cumsum(sizes) - sizes) // most
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
@@ -75,6 +77,11 @@ class Prefixes:
         value = scrambled(np.arange(1, 257, dtype=np.uint64))
         self.sums = np.concatenate([[np.uint64(0)], np.cumsum(value[raw] * up[: len(raw)])])
 
+    def rolling(self, size: int):
+        """The hash at every place of the ``size`` bytes from there on."""
+        n = len(self.sums) - size
+        return scrambled((self.sums[size:] - self.sums[:n]) * self.down[:n])
+
     def hashes(self, starts, ends):
         return scrambled((self.sums[ends] - self.sums[starts]) * self.down[starts])
 
