@@ -64,7 +64,8 @@ def owned(raw, offsets):
     new = np.ones(len(pick), bool)
     new[1:] = (pick[1:] != pick[:-1]) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(new)
-    return owner[first], window[first], np.diff(np.append(first, len(pick))), gram[pick[first]]
+    # anchors are least hashes and so mostly small numbers: scrambled again to spread evenly
+    return owner[first], window[first], np.diff(np.append(first, len(pick))), scrambled(gram[pick[first]])
 
 
 def anchors(raw, offsets):
