@@ -2,8 +2,8 @@
 
 Every task turns its texts into hashed features and packs them, by leading bits, into one
 block per bucket: four bytes a feature plus a short table of documents. A bucket's task
-sorts the features of all documents that begin with its bits, and hands back, per document,
-only those that more than one document has, with the number of documents. The four bytes
+sorts the features of all documents that begin with its bits, and hands back only those that
+more than one document has, packed again, by parts of the documents. The four bytes
 and the bucket's bits make a shared feature a candidate; what is built on top checks.
 
 Blocks of a bucket are about as large as a shuffle partition of the input's text.
@@ -16,11 +16,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.words import slices, text_bytes
+from wardline.llm.words import scrambled, slices, text_bytes
 
 BLOCKS = "bucket int, ids binary, counts binary, features binary, codes binary"
 SHARED = "doc bigint, size int, sign bigint, features array<bigint>, documents array<int>"
-MET = "doc bigint, features array<bigint>"
+MET = "part int, kind int, ids binary, counts binary, features binary, more binary"
 
 
 def bucket_bits(df: DataFrame) -> int:
@@ -102,50 +102,84 @@ class Bucket:
         return ((low.astype(np.uint64) << np.uint64(32 - self.bits)) | top).view(np.int64)
 
 
-def by_document(doc, *values):
-    """``(documents, lists of values)``, each document once."""
+def dealt(bits: int, doc, features, more=None, kind: int = 0):
+    """Found features as packed rows, one for each part of the documents."""
     import numpy as np
     import pyarrow as pa
 
-    order = np.argsort(doc, kind="stable")
-    who, first = np.unique(doc[order], return_index=True)
-    offsets = pa.array(np.append(first, len(doc)).astype(np.int32))
-    return pa.array(who, pa.int64()), *[pa.ListArray.from_arrays(offsets, pa.array(v[order])) for v in values]
+    part = (scrambled(doc.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.lexsort((doc, part))
+    doc, features, part = doc[order], features[order], part[order]
+    more = None if more is None else more[order]
+    cuts = np.searchsorted(part, np.arange(2**bits + 1))
+    rows = []
+    for p in np.flatnonzero(np.diff(cuts)):
+        a, b = cuts[p], cuts[p + 1]
+        who, counts = np.unique(doc[a:b], return_counts=True)
+        extra = b"" if more is None else more[a:b].tobytes()
+        rows.append((int(p), kind, who.tobytes(), counts.astype(np.int32).tobytes(), features[a:b].tobytes(), extra))
+    columns = list(zip(*rows, strict=True)) or [[]] * 6
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+    names = ["part", "kind", "ids", "counts", "features", "more"]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+
+def gathered(found: DataFrame) -> DataFrame:
+    """One row per document from the packed rows of all buckets."""
+
+    def gather(table):
+        import numpy as np
+        import pyarrow as pa
+
+        kind = table.column("kind").to_numpy()
+        one = lambda k, name, t: np.concatenate(
+            [np.zeros(0, t), *[np.frombuffer(x, t) for x in table.column(name).filter(pa.array(kind == k)).to_pylist()]]
+        )
+        doc = np.repeat(one(0, "ids", np.int64), one(0, "counts", np.int32))
+        order = np.argsort(doc, kind="stable")
+        doc, features, more = doc[order], one(0, "features", np.int64)[order], one(0, "more", np.int32)
+        more = more[order] if len(more) else np.zeros(len(doc), np.int32)
+        sized, size, sign = one(1, "ids", np.int64), one(1, "more", np.int32), one(1, "features", np.int64)
+        every = np.unique(np.concatenate([doc, sized]))
+        offsets = pa.array(np.append(np.searchsorted(doc, every), len(doc)).astype(np.int32))
+        at, sizes, signs = np.searchsorted(every, sized), np.zeros(len(every), np.int32), np.zeros(len(every), np.int64)
+        sizes[at], signs[at] = size, sign
+        return pa.Table.from_arrays(
+            [pa.array(every), pa.array(sizes), pa.array(signs), pa.ListArray.from_arrays(offsets, pa.array(features)),
+             pa.ListArray.from_arrays(offsets, pa.array(more))],
+            names=["doc", "size", "sign", "features", "documents"],
+        )
+
+    return found.groupBy("part").applyInArrow(gather, SHARED)
 
 
 def shared_features(docs: DataFrame, doc: str, text: str, features: Callable) -> DataFrame:
-    """Rows (doc, size, sign, features, documents). One row with ``size`` and ``sign`` - the number of
-    features, which must be distinct, and a hash of all of them - comes for every document; the
-    others hold features that several documents have, and how many documents have each."""
+    """A row (doc, size, sign, features, documents) for every document: the number of features,
+    which must be distinct, a hash of all of them, those that several documents have, and how
+    many documents have each."""
     bits = bucket_bits(docs)
 
     def meet(key, table):
         import numpy as np
-        import pyarrow as pa
 
-        names = ["doc", "size", "sign", "features", "documents"]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
         b = Bucket(key, table, bits)
         if b.number < 0:
-            known = [pa.array(x, t) for x, t in zip((b.ids, b.sizes, b.signs), kinds[:3], strict=True)]
-            return pa.Table.from_arrays([*known, *[pa.nulls(len(b.ids), t) for t in kinds[3:]]], names=names)
+            return dealt(bits, b.ids, b.signs, b.sizes, 1)
         documents = np.bincount(b.group, b.other).astype(np.int32)[b.group]
         keep = (documents > 1) & b.other
-        who, features, many = by_document(b.doc[keep], b.wide(b.low[keep]), documents[keep])
-        return pa.Table.from_arrays([who, *[pa.nulls(len(who), t) for t in kinds[1:3]], features, many], names=names)
+        return dealt(bits, b.doc[keep], b.wide(b.low[keep]), documents[keep])
 
-    return packed(docs, doc, text, features, True).groupBy("bucket").applyInArrow(meet, SHARED)
+    return gathered(packed(docs, doc, text, features, True).groupBy("bucket").applyInArrow(meet, MET))
 
 
 def met_features(docs: DataFrame, doc: str, text: str, features: Callable) -> DataFrame:
-    """Rows (doc, features) of features that several documents have. The lowest bit is 0 where
-    all of them have the feature with one code - then it is told to every document but the
-    smallest - and 1 where codes differ, which is told to all."""
+    """A row (doc, features) for every document with features that several documents have. The
+    lowest bit is 0 where all of them have the feature with one code - then it is told to every
+    document but the smallest - and 1 where codes differ, which is told to all."""
     bits = bucket_bits(docs)
 
     def meet(key, table):
         import numpy as np
-        import pyarrow as pa
 
         b = Bucket(key, table, bits)
         code = b.joined(table, "codes", np.uint32)[b.order]
@@ -153,7 +187,7 @@ def met_features(docs: DataFrame, doc: str, text: str, features: Callable) -> Da
         mixed = np.maximum.reduceat(code, b.first) != np.minimum.reduceat(code, b.first)
         least = np.minimum.reduceat(b.doc, b.first)
         keep = shared[b.group] & b.other & (mixed[b.group] | (b.doc > least[b.group]))
-        who, features = by_document(b.doc[keep], b.wide(b.low[keep]) | mixed[b.group[keep]])
-        return pa.Table.from_arrays([who, features], names=["doc", "features"])
+        return dealt(bits, b.doc[keep], b.wide(b.low[keep]) | mixed[b.group[keep]])
 
-    return packed(docs, doc, text, features, False).groupBy("bucket").applyInArrow(meet, MET)
+    met = packed(docs, doc, text, features, False).groupBy("bucket").applyInArrow(meet, MET)
+    return gathered(met).select("doc", "features")

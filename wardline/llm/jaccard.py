@@ -46,11 +46,8 @@ def shingle_sets(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
     """``(doc, n, tokens, alone)``: set size, the shared shingles in joining order as
     (documents, token), and the number of shingles that no other document has."""
     rows = shared_features(docs, doc, text, lambda raw, offsets: (*shingles(raw, offsets), None))
-    flat = lambda c: F.flatten(F.collect_list(c))
-    grouped = rows.groupBy("doc").agg(
-        F.max("size").alias("n"),
-        F.arrays_zip(flat("documents").alias("documents"), flat("features").alias("token")).alias("zipped"),
-    )
+    zipped = F.arrays_zip(F.col("documents").alias("documents"), F.col("features").alias("token"))
+    grouped = rows.select("doc", F.col("size").alias("n"), zipped.alias("zipped"))
     every = F.array_distinct("zipped")
     sets = grouped.withColumn("tokens", every).withColumn("alone", F.col("n") - F.size("tokens")).drop("zipped")
     reach = F.col("n") - _overlap(F.col("n")) + max(LEVELS)

@@ -293,8 +293,7 @@ def masks(classes: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc, wanted, hits)``: per document the anchors whose windows all go (lowest bit 0), and
     other windows that go, as the first byte of a segment and a mask of its windows."""
-    lists = met_features(docs, doc, text, anchors).groupBy("doc")
-    wanted = written(lists.agg(F.flatten(F.collect_list("features")).alias("wanted")), "anchors")
+    wanted = written(met_features(docs, doc, text, anchors).withColumnRenamed("features", "wanted"), "anchors")
     segments = written(open_segments(docs, doc, text, wanted), "segments")
     coded = segments.withColumn("code", F.xxhash64("segment"))
     same = ["anchor", "code"]
