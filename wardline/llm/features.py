@@ -136,14 +136,19 @@ def gathered(found: DataFrame) -> DataFrame:
             [np.zeros(0, t), *[np.frombuffer(x, t) for x in table.column(name).filter(pa.array(kind == k)).to_pylist()]]
         )
         doc = np.repeat(one(0, "ids", np.int64), one(0, "counts", np.int32))
-        order = np.argsort(doc, kind="stable")
-        doc, features, more = doc[order], one(0, "features", np.int64)[order], one(0, "more", np.int32)
-        more = more[order] if len(more) else np.zeros(len(doc), np.int32)
-        sized, size, sign = one(1, "ids", np.int64), one(1, "more", np.int32), one(1, "features", np.int64)
+        features, more = one(0, "features", np.int64), one(0, "more", np.int32)
+        more = more if len(more) else np.zeros(len(doc), np.int32)
+        order = np.lexsort((features, more, doc))
+        doc, features, more = doc[order], features[order], more[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (features[1:] != features[:-1])
+        doc, features, more = doc[new], features[new], more[new]
+        sized = np.repeat(one(1, "ids", np.int64), one(1, "counts", np.int32))
         every = np.unique(np.concatenate([doc, sized]))
         offsets = pa.array(np.append(np.searchsorted(doc, every), len(doc)).astype(np.int32))
         at, sizes, signs = np.searchsorted(every, sized), np.zeros(len(every), np.int32), np.zeros(len(every), np.int64)
-        sizes[at], signs[at] = size, sign
+        np.maximum.at(sizes, at, one(1, "more", np.int32))  # rows that share an id: the largest
+        signs[at] = one(1, "features", np.int64)
         return pa.Table.from_arrays(
             [pa.array(every), pa.array(sizes), pa.array(signs), pa.ListArray.from_arrays(offsets, pa.array(features)),
              pa.ListArray.from_arrays(offsets, pa.array(more))],
@@ -155,8 +160,8 @@ def gathered(found: DataFrame) -> DataFrame:
 
 def shared_features(docs: DataFrame, doc: str, text: str, features: Callable) -> DataFrame:
     """A row (doc, size, sign, features, documents) for every document: the number of features,
-    which must be distinct, a hash of all of them, those that several documents have, and how
-    many documents have each."""
+    which must be distinct, a hash of all of them, those that several documents have, each once,
+    and how many documents have each; ordered by that number, then by feature."""
     bits = bucket_bits(docs)
 
     def meet(key, table):

@@ -43,35 +43,40 @@ def _overlap(n):
 
 
 def shingle_sets(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc, n, tokens, alone)``: set size, the shared shingles in joining order as
-    (documents, token), and the number of shingles that no other document has."""
+    """``(doc, n, alone, tokens, documents)``: set size, the number of shingles that no other
+    document has, and the others in joining order - rarest first - with their documents."""
     rows = shared_features(docs, doc, text, lambda raw, offsets: (*shingles(raw, offsets), None))
-    zipped = F.arrays_zip(F.col("documents").alias("documents"), F.col("features").alias("token"))
-    grouped = rows.select("doc", F.col("size").alias("n"), zipped.alias("zipped"))
-    every = F.array_distinct("zipped")
-    sets = grouped.withColumn("tokens", every).withColumn("alone", F.col("n") - F.size("tokens")).drop("zipped")
+    alone = (F.col("size") - F.size("features")).alias("alone")
+    sets = rows.select("doc", F.col("size").alias("n"), alone, F.col("features").alias("tokens"), "documents")
     reach = F.col("n") - _overlap(F.col("n")) + max(LEVELS)
     near = (F.col("alone") < reach) & (F.size("tokens") > 0)
-    kept = F.when(near, F.array_sort("tokens")).otherwise(F.array().cast("array<struct<documents:int,token:bigint>>"))
-    return sets.withColumn("tokens", kept)
+    return sets.withColumns(
+        {
+            "tokens": F.when(near, F.col("tokens")).otherwise(F.array().cast("array<bigint>")),
+            "documents": F.when(near, F.col("documents")).otherwise(F.array().cast("array<int>")),
+        }
+    )
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
     """``(doc, n, level, place, token)``: the shared shingles of each document's longest prefix
     with their place in it, and the level the document asks for."""
-    room = lambda level: F.greatest(F.col("n") - _overlap(F.col("n")) + level - F.col("alone"), F.lit(0)).cast("int")
-    cost = lambda k: F.aggregate(F.slice("tokens", 1, room(k)), F.lit(0).cast("bigint"), lambda a, t: a + t["documents"])
+    free = F.col("n") - _overlap(F.col("n")) - F.col("alone")
+    room = lambda level: F.greatest(free + level, F.lit(0)).cast("int")
+    cost = lambda k: F.aggregate(F.slice("documents", 1, room(k)), F.lit(0).cast("bigint"), lambda a, d: a + d)
     level = F.lit(LEVELS[-1])
     for k in LEVELS[-2::-1]:
         level = F.when(cost(k) <= COSTLY, F.lit(k)).otherwise(level)
     longest = F.slice("tokens", 1, room(LEVELS[-1]))
-    wide = sets.filter(F.size("tokens") > 0).select("doc", "n", "alone", level.alias("level"), F.posexplode(longest).alias("at", "t"))
-    return wide.select("doc", "n", "level", (F.col("alone") + F.col("at") - (F.col("n") - _overlap(F.col("n")))).alias("place"), "t.token")
+    wide = sets.filter(F.size("tokens") > 0).select("doc", "n", free.alias("free"), level.alias("level"), longest.alias("longest"))
+    return wide.select("doc", "n", "level", "free", F.posexplode("longest").alias("at", "token")).select(
+        "doc", "n", "level", (F.col("at") - F.col("free")).alias("place"), "token"
+    )
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (a, b) those that are similar, by their shared shingles."""
-    side = lambda x: sets.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens.token").alias(f"t_{x}"))
+    side = lambda x: sets.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("t_a", "t_b"))
     return both.filter(100 * common >= THRESHOLD * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
