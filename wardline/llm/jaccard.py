@@ -6,7 +6,8 @@ document's l-prefix is its first n - ceil(t n) + l shingles in that order: simil
 share at least l shingles of their l-prefixes. A document starts with l = 1; where the
 estimated cost of its candidates (how many documents its prefix shingles meet) is high, the
 prefix is lengthened and a partner must share correspondingly more of it before it is
-verified.
+verified. When two documents meet, both sizes are known, which shortens both prefixes, and
+the shingles each has alone bound their similarity.
 
 Shingles of one document alone lead the order and find nobody, so they are never shuffled
 as rows (``features``), and a document with more of them than any prefix is long is done.
@@ -59,8 +60,8 @@ def shingle_sets(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
-    """``(doc, n, level, place, token)``: the shared shingles of each document's longest prefix
-    with their place in it, and the level the document asks for."""
+    """``(doc, n, alone, level, at, token)``: the shared shingles of each document's longest
+    prefix with their place among its shared ones, and the level the document asks for."""
     free = F.col("n") - _overlap(F.col("n")) - F.col("alone")
     room = lambda level: F.greatest(free + level, F.lit(0)).cast("int")
     cost = lambda k: F.aggregate(F.slice("documents", 1, room(k)), F.lit(0).cast("bigint"), lambda a, d: a + d)
@@ -68,9 +69,8 @@ def prefixes(sets: DataFrame) -> DataFrame:
     for k in LEVELS[-2::-1]:
         level = F.when(cost(k) <= COSTLY, F.lit(k)).otherwise(level)
     longest = F.slice("tokens", 1, room(LEVELS[-1]))
-    wide = sets.filter(F.size("tokens") > 0).select("doc", "n", free.alias("free"), level.alias("level"), longest.alias("longest"))
-    return wide.select("doc", "n", "level", "free", F.posexplode("longest").alias("at", "token")).select(
-        "doc", "n", "level", (F.col("at") - F.col("free")).alias("place"), "token"
+    return sets.filter(F.size("tokens") > 0).select(
+        "doc", "n", "alone", level.alias("level"), F.posexplode(longest).alias("at", "token")
     )
 
 
@@ -82,8 +82,23 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(100 * common >= THRESHOLD * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
 
 
-def _fits(n: str, m: str):
-    return (F.col(n) * THRESHOLD <= F.col(m) * 100) & (F.col(m) * THRESHOLD <= F.col(n) * 100)
+def _needed():
+    """The smallest intersection of similar sets of n_a and n_b members."""
+    both = F.col("n_a") + F.col("n_b")
+    return F.floor((both * THRESHOLD + 99 + THRESHOLD) / (100 + THRESHOLD))
+
+
+def _may_link():
+    """Whether the sizes allow the similarity: the intersection is at most the smaller number
+    of shared shingles, the union at least the larger one and the shingles each has alone."""
+    held = [F.col(f"n_{x}") - F.col(f"alone_{x}") for x in "ab"]
+    return 100 * F.least(*held) >= THRESHOLD * (F.greatest(*held) + F.col("alone_a") + F.col("alone_b"))
+
+
+def _asked():
+    """How many prefix shingles a pair must share: the level of its document that asks for
+    more, but never more than similar sets of their sizes have in common."""
+    return F.least(F.greatest("level_a", "level_b"), _needed())
 
 
 def hub_pairs(posts: DataFrame) -> DataFrame:
@@ -95,25 +110,29 @@ def hub_pairs(posts: DataFrame) -> DataFrame:
 
 
 def remaining_pairs(posts: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of different components that share as many prefix shingles as the level of the
-    pair's second document asks for."""
+    """Pairs of different components that share as many shingles of the pair's prefixes as
+    they must. Of two documents, the l-prefix of one is its first n - o + l shingles, where o
+    is the intersection that their two sizes need. A pair also goes where what lies behind the
+    last shared prefix shingle is too little to reach o."""
     placed = posts.join(labels, F.col("doc") == F.col("node"), "left").withColumn(
         "component", F.coalesce("component", "doc")
     )
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     open_tokens = mixed.filter("lo < hi").select("token")
-    open_posts = written(placed.join(open_tokens, "token").select("token", "doc", "n", "level", "place", "component"), "open")
-    x = open_posts.select("token", *[F.col(c).alias(f"{c}_a") for c in ("doc", "n", "place", "component")])
-    y = open_posts.select("token", *[F.col(c).alias(f"{c}_b") for c in ("doc", "n", "place", "component", "level")])
+    columns = ["doc", "n", "alone", "level", "at", "component"]
+    open_posts = written(placed.join(open_tokens, "token").select("token", *columns), "open")
+    x, y = (open_posts.select("token", *[F.col(c).alias(f"{c}_{s}") for c in columns]) for s in "ab")
     later = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("doc_a") < F.col("doc_b")))
+    behind = lambda s: F.col(f"n_{s}") - F.col(f"alone_{s}") - F.col(f"at_{s}")
+    inside = lambda s: behind(s) > _needed() - _asked()
     met = x.join(y, "token").filter(
-        later & (F.col("component_a") != F.col("component_b")) & _fits("n_a", "n_b")
-        & (F.col("place_a") < F.col("level_b")) & (F.col("place_b") < F.col("level_b"))
+        later & (F.col("component_a") != F.col("component_b")) & _may_link() & inside("a") & inside("b")
     )
     counted = met.groupBy(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).agg(
-        F.count("*").alias("shared"), F.max("level_b").alias("level")
+        F.count("*").alias("shared"), F.max(_asked()).alias("asked"), F.max(_needed()).alias("needed"),
+        F.min(F.least(behind("a"), behind("b"))).alias("behind"),
     )
-    return counted.filter("shared >= level").select("a", "b")
+    return counted.filter("shared >= asked and shared + behind - 1 >= needed").select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
