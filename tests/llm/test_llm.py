@@ -122,7 +122,7 @@ def shingle_set(text):
     return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} - {()}
 
 
-def test_jaccard_equals_brute_force(spark, sf_dir, texts):
+def linked_by_brute_force(texts):
     sets = {i: shingle_set(t) for i, t in texts.items()}
     root = {i: i for i in sets}
 
@@ -138,8 +138,29 @@ def test_jaccard_equals_brute_force(spark, sf_dir, texts):
             if common and 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def test_jaccard_equals_brute_force(spark, sf_dir, texts):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in QUERIES["op5_jaccard_join"](spark, sf_dir).collect()}
-    assert got == {i: (len(sets[i]), find(i)) for i in ids}
+    assert got == linked_by_brute_force(texts)
+
+
+def test_jaccard_of_a_large_group_and_of_short_texts(spark):
+    """Near copies whose similarities lie on both sides of the threshold, and texts of fewer
+    shingles than the longest prefix asks for, each met by many documents."""
+    rng = np.random.default_rng(5)
+    texts = {}
+    for size, many in ((90, 260), (10, 150), (8, 150)):
+        base = [f"w{size}x{i}" for i in range(size)]
+        for _ in range(many):
+            words = list(base)
+            for at in rng.choice(size, rng.integers(0, max(2, size // 12)), replace=False):
+                words[at] = f"e{rng.integers(40)}"
+            texts[len(texts)] = " ".join(words[: size - int(rng.integers(0, 3))])
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.digests(df, jaccard.jaccard_components(df)).collect()}
+    assert got == linked_by_brute_force(texts)
 
 
 def test_quality_windows(spark):

@@ -20,7 +20,7 @@ from wardline.llm.words import scrambled, slices, text_bytes
 
 BLOCKS = "bucket int, ids binary, counts binary, features binary, codes binary"
 SHARED = "doc bigint, size int, sign bigint, features array<bigint>, documents array<int>"
-MET = "part int, kind int, ids binary, counts binary, features binary, more binary"
+MET = "part int, kind int, top int, ids binary, counts binary, features binary, more binary"
 
 
 def bucket_bits(df: DataFrame) -> int:
@@ -94,16 +94,17 @@ class Bucket:
 
         return np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
 
-    def wide(self, low):
-        """64-bit features again; their bits beyond the bucket's and the 32 sent are zero."""
-        import numpy as np
 
-        top = np.uint64(self.number) << np.uint64(64 - self.bits)
-        return ((low.astype(np.uint64) << np.uint64(32 - self.bits)) | top).view(np.int64)
+def widened(top: int, low, bits: int):
+    """64-bit features again; their bits beyond the bucket's and the 32 sent are zero."""
+    import numpy as np
+
+    return ((low.astype(np.uint64) << np.uint64(32 - bits)) | np.uint64(top << (64 - bits))).view(np.int64)
 
 
-def dealt(bits: int, doc, features, more=None, kind: int = 0):
-    """Found features as packed rows, one for each part of the documents."""
+def dealt(bits: int, doc, features, more=None, kind: int = 0, top: int = 0):
+    """Found features as packed rows, one for each part of the documents; those of kind 0
+    as the four bytes sent, for ``widened``."""
     import numpy as np
     import pyarrow as pa
 
@@ -117,15 +118,16 @@ def dealt(bits: int, doc, features, more=None, kind: int = 0):
         a, b = cuts[p], cuts[p + 1]
         who, counts = np.unique(doc[a:b], return_counts=True)
         extra = b"" if more is None else more[a:b].tobytes()
-        rows.append((int(p), kind, who.tobytes(), counts.astype(np.int32).tobytes(), features[a:b].tobytes(), extra))
-    columns = list(zip(*rows, strict=True)) or [[]] * 6
-    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-    names = ["part", "kind", "ids", "counts", "features", "more"]
+        rows.append((int(p), kind, top, who.tobytes(), counts.astype(np.int32).tobytes(), features[a:b].tobytes(), extra))
+    columns = list(zip(*rows, strict=True)) or [[]] * 7
+    kinds = [*[pa.int32()] * 3, *[pa.binary()] * 4]
+    names = ["part", "kind", "top", "ids", "counts", "features", "more"]
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
-def gathered(found: DataFrame) -> DataFrame:
-    """One row per document from the packed rows of all buckets."""
+def gathered(found: DataFrame, bits: int, marked: bool = False) -> DataFrame:
+    """One row per document from the packed rows of all buckets. ``marked``: ``more`` is a byte
+    for the lowest bit of a feature, else the four bytes of a count."""
 
     def gather(table):
         import numpy as np
@@ -136,8 +138,15 @@ def gathered(found: DataFrame) -> DataFrame:
             [np.zeros(0, t), *[np.frombuffer(x, t) for x in table.column(name).filter(pa.array(kind == k)).to_pylist()]]
         )
         doc = np.repeat(one(0, "ids", np.int64), one(0, "counts", np.int32))
-        features, more = one(0, "features", np.int64), one(0, "more", np.int32)
-        more = more if len(more) else np.zeros(len(doc), np.int32)
+        sent = table.filter(pa.array(kind == 0))
+        lows = [np.frombuffer(x, np.uint32) for x in sent.column("features").to_pylist()]
+        wide = [widened(top, low, bits) for top, low in zip(sent.column("top").to_pylist(), lows, strict=True)]
+        features = np.concatenate([np.zeros(0, np.int64), *wide])
+        if marked:
+            features |= one(0, "more", np.int8).astype(np.int64)
+            more = np.zeros(len(doc), np.int32)
+        else:
+            more = one(0, "more", np.int32)
         order = np.lexsort((features, more, doc))
         doc, features, more = doc[order], features[order], more[order]
         new = np.ones(len(doc), bool)
@@ -172,9 +181,9 @@ def shared_features(docs: DataFrame, doc: str, text: str, features: Callable) ->
             return dealt(bits, b.ids, b.signs, b.sizes, 1)
         documents = np.bincount(b.group, b.other).astype(np.int32)[b.group]
         keep = (documents > 1) & b.other
-        return dealt(bits, b.doc[keep], b.wide(b.low[keep]), documents[keep])
+        return dealt(bits, b.doc[keep], b.low[keep], documents[keep], top=b.number)
 
-    return gathered(packed(docs, doc, text, features, True).groupBy("bucket").applyInArrow(meet, MET))
+    return gathered(packed(docs, doc, text, features, True).groupBy("bucket").applyInArrow(meet, MET), bits)
 
 
 def met_features(docs: DataFrame, doc: str, text: str, features: Callable) -> DataFrame:
@@ -192,7 +201,7 @@ def met_features(docs: DataFrame, doc: str, text: str, features: Callable) -> Da
         mixed = np.maximum.reduceat(code, b.first) != np.minimum.reduceat(code, b.first)
         least = np.minimum.reduceat(b.doc, b.first)
         keep = shared[b.group] & b.other & (mixed[b.group] | (b.doc > least[b.group]))
-        return dealt(bits, b.doc[keep], b.wide(b.low[keep]) | mixed[b.group[keep]])
+        return dealt(bits, b.doc[keep], b.low[keep], mixed[b.group[keep]].astype(np.int8), top=b.number)
 
     met = packed(docs, doc, text, features, False).groupBy("bucket").applyInArrow(meet, MET)
-    return gathered(met).select("doc", "features")
+    return gathered(met, bits, True).select("doc", "features")
