@@ -7,7 +7,8 @@ share at least l shingles of their l-prefixes. A document starts with l = 1; whe
 estimated cost of its candidates (how many documents its prefix shingles meet) is high, the
 prefix is lengthened and a partner must share correspondingly more of it before it is
 verified. When two documents meet, both sizes are known, which shortens both prefixes, and
-the shingles each has alone bound their similarity.
+what each has alone, the places of the met shingle and a parity bitmap of all shared
+shingles bound their similarity.
 
 Shingles of one document alone lead the order and find nobody, so they are never shuffled
 as rows (``features``), and a document with more of them than any prefix is long is done.
@@ -34,6 +35,8 @@ from wardline.llm.words import shingles
 
 THRESHOLD = 80
 LEVELS = (1, 2, 4, 8)
+#: Words of the parity bitmap of a document's shared shingles.
+BITMAP = 2
 #: A prefix is lengthened while its shingles meet more documents than this.
 COSTLY = 64
 
@@ -60,7 +63,7 @@ def shingle_sets(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
-    """``(doc, n, alone, level, at, token)``: the shared shingles of each document's longest
+    """``(doc, n, alone, bitmap, level, at, token)``: the shared shingles of each document's longest
     prefix with their place among its shared ones, and the level the document asks for."""
     free = F.col("n") - _overlap(F.col("n")) - F.col("alone")
     room = lambda level: F.greatest(free + level, F.lit(0)).cast("int")
@@ -70,10 +73,19 @@ def prefixes(sets: DataFrame) -> DataFrame:
         level = F.when(cost(k) <= COSTLY, F.lit(k)).otherwise(level)
     longest = F.slice("tokens", 1, room(LEVELS[-1]))
     return sets.filter(F.size("tokens") > 0).select(
-        "doc", "n", "alone", level.alias("level"), F.posexplode(longest).alias("at", "token")
+        "doc", "n", "alone", bitmap(), level.alias("level"), F.posexplode(longest).alias("at", "token")
     )
 
 
+def bitmap():
+    """Bits that each shared shingle turns over: bits in which two documents differ are at most
+    as many as the shared shingles in which they do."""
+    word = (
+        "aggregate(tokens, 0L, (s, t) -> s ^ if(pmod(shiftright(t, 46), {n}) = {k}, shiftleft(1L, cast(pmod(shiftright(t, 40), 64) as int)), 0L))"
+    )
+    return F.array(*[F.expr(word.format(n=BITMAP, k=k)) for k in range(BITMAP)]).alias("bitmap")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (a, b) those that are similar, by their shared shingles."""
     side = lambda x: sets.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
@@ -89,10 +101,18 @@ def _needed():
 
 
 def _may_link():
-    """Whether the sizes allow the similarity: the intersection is at most the smaller number
-    of shared shingles, the union at least the larger one and the shingles each has alone."""
-    held = [F.col(f"n_{x}") - F.col(f"alone_{x}") for x in "ab"]
-    return 100 * F.least(*held) >= THRESHOLD * (F.greatest(*held) + F.col("alone_a") + F.col("alone_b"))
+    """Whether the documents can have enough in common: at most what lies before the met shingle
+    in the one and in the other, and from it on; and they differ in the shingles each has
+    alone and at least in as many others as bits of the bitmaps."""
+    most = F.least("at_a", "at_b") + F.least(behind("a"), behind("b"))
+    bits = sum((F.bit_count(F.col("bitmap_a")[k].bitwiseXOR(F.col("bitmap_b")[k])) for k in range(BITMAP)), F.lit(0))
+    differ = F.col("alone_a") + F.col("alone_b") + bits
+    return (most >= _needed()) & (F.col("n_a") + F.col("n_b") - differ >= 2 * _needed())
+
+
+def behind(side: str):
+    """Shared shingles of a document from the met one on."""
+    return F.col(f"n_{side}") - F.col(f"alone_{side}") - F.col(f"at_{side}")
 
 
 def _asked():
@@ -119,11 +139,10 @@ def remaining_pairs(posts: DataFrame, labels: DataFrame) -> DataFrame:
     )
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     open_tokens = mixed.filter("lo < hi").select("token")
-    columns = ["doc", "n", "alone", "level", "at", "component"]
+    columns = ["doc", "n", "alone", "bitmap", "level", "at", "component"]
     open_posts = written(placed.join(open_tokens, "token").select("token", *columns), "open")
     x, y = (open_posts.select("token", *[F.col(c).alias(f"{c}_{s}") for c in columns]) for s in "ab")
     later = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("doc_a") < F.col("doc_b")))
-    behind = lambda s: F.col(f"n_{s}") - F.col(f"alone_{s}") - F.col(f"at_{s}")
     inside = lambda s: behind(s) > _needed() - _asked()
     met = x.join(y, "token").filter(
         later & (F.col("component_a") != F.col("component_b")) & _may_link() & inside("a") & inside("b")
