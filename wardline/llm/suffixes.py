@@ -302,7 +302,8 @@ def repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFra
         "classes",
     )
     own = written(masks(classes).filter("mask <> 0"), "masks")
-    least = classes.select(*same, "first").join(own, same, "left")
+    # written, so that the join below has two plain sides and a segment that is everywhere can be split
+    least = written(classes.select(*same, "first").join(own, same, "left"), "least")
     said = coded.select("doc", "start", "windows", *same).join(least, same)
     later = F.col("doc") > F.col("first")
     hits = said.filter(later | F.col("mask").isNotNull()).select(
