@@ -72,9 +72,11 @@ def prefixes(sets: DataFrame) -> DataFrame:
     for k in LEVELS[-2::-1]:
         level = F.when(cost(k) <= COSTLY, F.lit(k)).otherwise(level)
     longest = F.slice("tokens", 1, room(LEVELS[-1]))
-    return sets.filter(F.size("tokens") > 0).select(
-        "doc", "n", "alone", bitmap(), level.alias("level"), F.posexplode(longest).alias("at", "token")
+    # a projection of its own: beside the explosion its columns would be worked out for each shingle
+    once = sets.filter(F.size("tokens") > 0).select(
+        "doc", "n", "alone", bitmap(), level.alias("level"), longest.alias("longest")
     )
+    return once.select("doc", "n", "alone", "bitmap", "level", F.posexplode("longest").alias("at", "token"))
 
 
 def bitmap():
