@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import collections
+import random
+import re
 
-from wardline.llm import pfair
+from wardline.llm import pfair, secrets
 
 
 def test_mixture_follows_the_weights_of_many_sources(spark):
@@ -35,3 +37,36 @@ def test_mixture_of_uneven_weights_does_not_drift():
         if had["hot"] == 10_000:
             break
         assert all(abs((step + 1) * w / total - had[k]) < 1 + 1e-6 for k, w in weights.items())
+
+
+def found_by_brute_force(text):
+    parts = []
+    for kind, (pattern, role, strong) in secrets.KINDS.items():
+        for m in re.finditer(pattern, text):
+            if kind != "assign" or len(m.group(2)) >= 8:
+                parts.append((m.start(), kind, m.end(), role, strong))
+    near = lambda a, b: max(a[0] - b[2], b[0] - a[2]) <= secrets.SCOPE
+    kept = [a for a in parts if a[4] or any(a[3] != b[3] and near(a, b) for b in parts)]
+    order = list(secrets.KINDS)
+    return ",".join(f"{k}:{s}:{e}" for s, k, e, _, _ in sorted(kept, key=lambda a: (a[0], order.index(a[1]))))
+
+
+def test_weak_parts_link_with_one_another_and_from_end_to_start(spark):
+    bearer, url = "Bearer abcdefghijklmnop1234", "https://api.example/v1"
+    jwt = "token=" + "eyJhbGciOi." * 60
+    texts = [
+        f"client_id=acme-7 then {bearer} at {url}", bearer, f"{jwt} {url}", url + " " * 200 + bearer,
+        url + " " * 201 + bearer, f"{bearer} {'A' * 700} {url}", "https://" + "x" * 900 + f" {bearer}", f"{url} {url}",
+    ]
+    rng = random.Random(3)
+    pool = [bearer, url, jwt, "login: someone", "AKIA" + "Z" * 16, "https://" + "y" * 450]
+    for _ in range(150):
+        texts.append("".join(rng.choice(pool) + " " * rng.choice([1, 60, 199, 200, 201, 202, 390, 401, 650]) for _ in range(7)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    got = {r["doc_id"]: r["spans"] for r in secrets.digests(secrets.scan_secrets(df)).collect()}
+    assert got == {i: found_by_brute_force(t) for i, t in enumerate(texts)}
+    kinds = [re.findall("[a-z]+", got[i]) for i in range(8)]
+    assert kinds[0] == ["account", "bearer", "endpoint"] and kinds[1] == [] and kinds[2] == ["assign", "endpoint"]
+    assert len(kinds[3]) == 2 and kinds[4] == [] == kinds[5] == kinds[7] and len(kinds[6]) == 2
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(secrets.scan_secrets(df)).collect()}
+    assert "Bearer" not in clean[0]

@@ -2,11 +2,12 @@
 
 Strong parts - assigned secrets, access identifiers, long hexadecimal strings - are always
 reported. Weak candidates - account names, bearer tokens, endpoints - are reported only
-where a strong part of another role starts within the same scope of ``SCOPE`` code points.
+where a part of another role, strong or weak, has at most ``SCOPE`` code points between its
+end and their start or the other way round.
 
-The linking is an interval join of exploded parts: both sides are binned by scope width,
-the strong side is first reduced to the outermost starts of each (row, bin, role), so a
-text full of secrets adds a bounded number of rows per bin and no pairs are made.
+The linking is an interval join of exploded parts: all parts stand in the bins of scope width
+that they touch, reduced to the outermost positions of each (row, bin, role), so a text full
+of secrets adds a bounded number of rows per bin and no pairs are made.
 
 Null texts count as empty. Every input row has its own result, repeated or null ids
 included: rows are told apart by a number written down with the parts.
@@ -58,27 +59,31 @@ def _role(kind):
 
 
 def linked_candidates(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """``(_row, linked)``: per row the weak spans with a strong part of another role whose
-    start lies at most ``scope`` code points from theirs.
+    """``(_row, linked)``: per row the weak spans with a part of another role at most ``scope``
+    code points away, from the end of the one to the start of the other.
 
     ``parts`` has ``_row``, ``_base`` and ``_weak`` (arrays of named spans).
     """
-    one = lambda c: parts.filter(F.size("_weak") > 0).select("_row", F.explode(c).alias("p")).select(
-        "_row", "p", _role(F.col("p.kind")).alias("role"), F.floor(F.col("p.start") / scope).alias("bin")
+    bins = lambda c, wide: F.sequence(
+        F.floor((F.col(f"{c}.start") - wide) / scope), F.floor((F.col(f"{c}.end") + wide) / scope)
     )
-    strong = (
-        one("_base")
-        .groupBy("_row", "role", "bin")
-        .agg(F.min("p.start").alias("first"), F.max("p.start").alias("last"))
-        .select("_row", F.col("role").alias("other"), F.col("bin").alias("at"), "first", "last")
+    one = lambda c, wide: (
+        parts.filter(F.size("_weak") > 0)
+        .select("_row", F.explode(c).alias("p"))
+        .select("_row", "p", _role(F.col("p.kind")).alias("role"), F.explode(bins("p", wide)).alias("at"))
     )
-    weak = one("_weak").withColumn("at", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
+    others = (
+        one(F.concat("_base", "_weak"), 0)
+        .groupBy("_row", F.col("role").alias("other"), "at")
+        .agg(F.min("p.start").alias("first"), F.max("p.end").alias("last"))
+    )
+    # outermost positions of two parts never enclose a weak span's surroundings: these are wider than a bin
     near = (
         (F.col("other") != F.col("role"))
-        & (F.col("first") <= F.col("p.start") + scope)
+        & (F.col("first") <= F.col("p.end") + scope)
         & (F.col("last") >= F.col("p.start") - scope)
     )
-    hits = weak.join(strong, ["_row", "at"]).filter(near).select("_row", "p").distinct()
+    hits = one("_weak", scope).join(others, ["_row", "at"]).filter(near).select("_row", "p").distinct()
     return hits.groupBy("_row").agg(F.collect_list("p").cast(NAMED).alias("linked"))
 
 
