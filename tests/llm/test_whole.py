@@ -6,7 +6,7 @@ import collections
 import random
 import re
 
-from wardline.llm import pfair, secrets
+from wardline.llm import bpe, pfair, secrets
 
 
 def test_mixture_follows_the_weights_of_many_sources(spark):
@@ -70,3 +70,19 @@ def test_weak_parts_link_with_one_another_and_from_end_to_start(spark):
     assert len(kinds[3]) == 2 and kinds[4] == [] == kinds[5] == kinds[7] and len(kinds[6]) == 2
     clean = {r["doc_id"]: r["text"] for r in secrets.redact(secrets.scan_secrets(df)).collect()}
     assert "Bearer" not in clean[0]
+
+
+def test_bpe_of_long_unbroken_runs():
+    """100,000 random letters as one piece, and runs whose bytes all stand side by side in tokens."""
+    import public_tokenizers as P
+    import tiktoken
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    coder, ranks = bpe.TextCoder(path, P.PATTERN), bpe.read_ranks(path)
+    exact = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(11)
+    run = lambda letters, n: "".join(rng.choices(letters, k=n))
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    for text in [run(lower, 100_000), run(lower + lower.upper(), 5_000), run("acgt", 5_000), run("etaoin", 5_000), "th" * 700]:
+        _, tokens, _, raw = coder.code([text])
+        assert tokens.tolist() == exact.encode_ordinary(text) and bytes(raw).decode() == text

@@ -9,6 +9,12 @@ merge can create a pair of a smaller rank, and ids for which it could are contra
 at a time. A piece that is itself a token is that token. Decoding aggregates the bytes of
 a piece's tokens in their order.
 
+Long pieces are cut between bytes that no token holds side by side, where no merge can reach
+across. What is left longer than ``LONG_PIECE`` is contracted round by round in tables that hold
+one round; the recursive query, which holds all rounds, gets short parts only, ``BATCH_ROWS`` bytes
+at a time. So an unbroken run of any length needs memory for one round; beyond the limit DuckDB
+spills to a folder of the task.
+
 The piece cache is bounded and only saves work. Null texts count as empty: no tokens.
 Lone surrogates cannot occur in Spark strings.
 """
@@ -17,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import sys
+import tempfile
 import types
 from collections.abc import Iterator
 from itertools import islice
@@ -27,6 +34,7 @@ from pyspark.sql import types as T
 
 CACHE_PIECES = 1_200_000
 LONG_PIECE = 48
+BATCH_ROWS = 250_000
 SLAB_BYTES = 3_000_000
 SLAB_PIECES = 500_000
 
@@ -55,33 +63,33 @@ FROM step JOIN (SELECT piece, max(round) AS round FROM step GROUP BY piece) l
   ON l.piece = step.piece AND l.round = step.round
 """
 #: For long runs without a break: all safe places of the minimum pair in one round.
-CONTRACT_LONG = """
-WITH RECURSIVE step AS (
-  SELECT piece, pos, token, 0 AS round FROM begun
-  UNION ALL
-  SELECT piece, pos, CASE WHEN take THEN merged ELSE token END, round + 1
+ROUND = [
+    """
+CREATE OR REPLACE TEMP TABLE scored AS
+SELECT n.*, m.merged, m.single, min(m.merged) OVER (PARTITION BY piece) AS best
+FROM (
+  SELECT piece, pos, token, lead(token) OVER w AS following, row_number() OVER w AS idx
+  FROM begun WINDOW w AS (PARTITION BY piece ORDER BY pos)
+) n LEFT JOIN merges m ON m.head = n.token AND m.tail = n.following
+""",
+    "INSERT INTO done SELECT piece, pos, token FROM scored WHERE best IS NULL",
+    """
+CREATE OR REPLACE TEMP TABLE begun AS
+SELECT piece, pos, CASE WHEN take THEN merged ELSE token END AS token
+FROM (
+  SELECT *, coalesce(lag(take) OVER (PARTITION BY piece ORDER BY pos), false) AS gone
   FROM (
-    SELECT *, coalesce(lag(take) OVER (PARTITION BY piece ORDER BY pos), false) AS gone
-    FROM (
-      SELECT *, merged IS NOT DISTINCT FROM best AND best IS NOT NULL AND CASE
-          WHEN single THEN idx = min(CASE WHEN merged = best THEN idx END) OVER (PARTITION BY piece)
-          WHEN token = following THEN (idx - coalesce(max(CASE WHEN merged IS DISTINCT FROM best THEN idx END)
-               OVER (PARTITION BY piece ORDER BY pos), 0)) % 2 = 1
-          ELSE true END AS take
-      FROM (
-        SELECT n.*, m.merged, m.single, min(m.merged) OVER (PARTITION BY piece) AS best
-        FROM (
-          SELECT piece, pos, token, round, lead(token) OVER w AS following, row_number() OVER w AS idx
-          FROM step WINDOW w AS (PARTITION BY piece ORDER BY pos)
-        ) n LEFT JOIN merges m ON m.head = n.token AND m.tail = n.following
-      )
-    )
-    WHERE best IS NOT NULL
+    SELECT *, merged IS NOT DISTINCT FROM best AND CASE
+        WHEN single THEN idx = min(CASE WHEN merged = best THEN idx END) OVER (PARTITION BY piece)
+        WHEN token = following THEN (idx - coalesce(max(CASE WHEN merged IS DISTINCT FROM best THEN idx END)
+             OVER (PARTITION BY piece ORDER BY pos), 0)) % 2 = 1
+        ELSE true END AS take
+    FROM scored WHERE best IS NOT NULL
   )
-  WHERE NOT gone
 )
-SELECT piece, pos, token FROM step QUALIFY round = max(round) OVER (PARTITION BY piece) ORDER BY piece, pos
-"""
+WHERE NOT gone
+""",
+]
 DECODE = """
 SELECT t.piece, string_agg(hex(v.bytes), '' ORDER BY t.pos) AS digits
 FROM tokens t JOIN vocabulary v ON v.token = t.token GROUP BY t.piece ORDER BY t.piece
@@ -112,11 +120,17 @@ class PieceCoder:
 
     def __init__(self, ranks: dict[bytes, int]):
         import duckdb
+        import numpy as np
         import pyarrow as pa
 
         self.ranks = ranks
         self.single_bytes = [ranks[bytes([b])] for b in range(256)]
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.joined = np.zeros(65_536, bool)  # two bytes that some token holds side by side
+        for token in ranks:
+            raw = np.frombuffer(token, np.uint8).astype(np.int32)
+            self.joined[raw[:-1] << 8 | raw[1:]] = True
+        self.spill = tempfile.TemporaryDirectory(prefix="wardline-bpe-")
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": self.spill.name})
         head, tail, merged, single = zip(*merge_rows(ranks), strict=True)
         merges = pa.table({"head": pa.array(head, pa.int32()), "tail": pa.array(tail, pa.int32()),
                            "merged": pa.array(merged, pa.int32()), "single": pa.array(single)})
@@ -138,24 +152,58 @@ class PieceCoder:
         data = np.frombuffer(b"".join(p if w < 0 else b"\0" for p, w in zip(pieces, whole, strict=True)), np.uint8)
         token = np.array(self.single_bytes, np.int32)[data]
         token[first[whole >= 0]] = whole[whole >= 0]
-        pos = (np.arange(len(owner)) - np.repeat(first, lengths)).astype(np.int32)
-        tail = np.where(pos + 1 < np.repeat(lengths, lengths), np.append(token[1:], -1), -1).astype(np.int32)
-        begun = pa.table({"piece": owner, "pos": pos, "token": token, "tail": tail})
-        long = lengths[owner] > LONG_PIECE
-        parts = [self._contract(begun.filter(pa.array(~long)), CONTRACT)]
-        if long.any():
-            parts.append(self._contract(begun.filter(pa.array(long)), CONTRACT_LONG))
-        tokens = pa.concat_tables(parts).sort_by([("piece", "ascending"), ("pos", "ascending")])
+        start = np.zeros(len(owner), bool)
+        start[first] = True
+        apart = ~self.joined[data[:-1].astype(np.int32) << 8 | data[1:]]
+        start[1:] |= apart & np.repeat(lengths > LONG_PIECE, lengths)[1:]
+        part = (np.cumsum(start) - 1).astype(np.int32)
+        begins = np.flatnonzero(start)
+        sizes = np.diff(np.append(begins, len(owner)))
+        pos = (np.arange(len(owner)) - begins[part]).astype(np.int32)
+        tail = np.where(np.append(start[1:], True), -1, np.append(token[1:], -1)).astype(np.int32)
+        begun = pa.table({"piece": part, "pos": pos, "token": token, "tail": tail})
+        long = sizes[part] > LONG_PIECE
+        parts = [self._contract(b) for b in _batches(begun.filter(pa.array(~long)))]
+        parts += [self._contract_long(b) for b in _batches(begun.filter(pa.array(long)))]
+        merged = pa.concat_tables(parts).sort_by([("piece", "ascending"), ("pos", "ascending")])
+        of = owner[begins][merged.column("piece").to_numpy()]
+        tokens = pa.table({"piece": of, "pos": np.arange(len(of)), "token": merged.column("token")})
         self.con.register("tokens", tokens)
         digits = self.con.sql(DECODE).to_arrow_table().column("digits").to_pylist()
-        counts = np.bincount(tokens.column("piece").to_numpy(), minlength=len(pieces))
+        counts = np.bincount(of, minlength=len(pieces))
         return counts, tokens.column("token").to_numpy(), [bytes.fromhex(d) for d in digits]
 
-    def _contract(self, begun, sql: str):
+    def _begin(self, begun) -> None:
         self.con.register("given", begun)
         self.con.execute("CREATE OR REPLACE TEMP TABLE begun AS SELECT * FROM given")
         self.con.unregister("given")
-        return self.con.sql(sql).to_arrow_table()
+
+    def _contract(self, begun):
+        self._begin(begun)
+        return self.con.sql(CONTRACT).to_arrow_table()
+
+    def _contract_long(self, begun):
+        self._begin(begun)
+        self.con.execute("CREATE OR REPLACE TEMP TABLE done (piece int, pos int, token int)")
+        while self.con.execute("SELECT 1 FROM begun LIMIT 1").fetchone():
+            for sql in ROUND:
+                self.con.execute(sql)
+        return self.con.sql("SELECT piece, pos, token FROM done").to_arrow_table()
+
+
+def _batches(begun) -> Iterator:
+    """Slices of up to ``BATCH_ROWS`` rows at ends of parts; a larger part is a slice of its own."""
+    import numpy as np
+
+    part, at = begun.column("piece").to_numpy(), 0
+    while at < len(part):
+        end = min(at + BATCH_ROWS, len(part))
+        if end < len(part) and (cut := int(np.searchsorted(part, part[end]))) > at:
+            end = cut
+        elif end < len(part):
+            end = int(np.searchsorted(part, part[at], "right"))
+        yield begun.slice(at, end - at)
+        at = end
 
 
 def _take(values, starts, lengths):
