@@ -6,7 +6,10 @@ import collections
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from wardline.llm import bpe, pfair, secrets
+from wardline.operators.scoring import PandasScorer
 
 
 def test_mixture_follows_the_weights_of_many_sources(spark):
@@ -86,3 +89,23 @@ def test_bpe_of_long_unbroken_runs():
     for text in [run(lower, 100_000), run(lower + lower.upper(), 5_000), run("acgt", 5_000), run("etaoin", 5_000), "th" * 700]:
         _, tokens, _, raw = coder.code([text])
         assert tokens.tolist() == exact.encode_ordinary(text) and bytes(raw).decode() == text
+
+
+def test_only_the_failing_text_of_a_batch_is_unscored(spark):
+    def fragile_model():
+        def model(texts):
+            if any("poison" in t for t in texts):
+                raise RuntimeError
+            kept = [t for t in texts if t != "short"]  # a result is missing
+            return [("LABEL_0" if "bad" in t else "LABEL_1", len(t) / 100) for t in kept]
+
+        return model
+
+    texts = [["ok", "bad one"], ["poison"], [], ["fine", "poison too", "last"], ["short"], ["x", "short"]] + [[f"t{i}"] for i in range(50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, parts array<string>").coalesce(1)
+    got = PandasScorer(fragile_model).attach(df, "parts", "s", ["id"]).select("id", F.col("s")).collect()
+    want = {
+        i: [(None, None) if "poison" in t or t == "short" else ("LABEL_0" if "bad" in t else "LABEL_1", len(t) / 100) for t in row]
+        for i, row in enumerate(texts)
+    }
+    assert {r["id"]: [tuple(x) for x in r["s"]] for r in got} == want

@@ -72,10 +72,31 @@ class LexiconScorer:
         return contains_any(low, [F.lit(w) for w in self.words]) & F.regexp_like(low, self._whole(self.words))
 
 
+def scored(model: Callable[[list[str]], list[tuple[str, float]]], texts: list[str]) -> list[tuple]:
+    """One (label, score) per text. A call that fails or returns another number of results is
+    halved down to single texts, so only texts that fail by themselves get (None, None)."""
+    results: list[tuple] = []
+    waiting = [texts] if texts else []
+    while waiting:
+        part = waiting.pop()
+        try:
+            found = [(label, score) for label, score in model(part)]
+            if len(found) != len(part):
+                raise ValueError(f"{len(found)} results for {len(part)} texts")
+            results += found
+        except Exception:  # the gate decides what an unscored text means
+            if len(part) == 1:
+                results.append((None, None))
+            else:
+                waiting += [part[len(part) // 2 :], part[: len(part) // 2]]
+    return results
+
+
 class PandasScorer:
     """A model behind a Pandas UDF. ``load`` runs once per worker and returns a function
     from a list of texts to a list of (label, score); all arrays of an Arrow batch are
-    scored in one call. A failing call yields NULL scores, which gates treat as blocked."""
+    scored in one call. A text on which the model fails has a NULL score, which gates treat
+    as blocked; the other texts of its batch are scored in smaller calls."""
 
     def __init__(self, load: Callable[[], Callable[[list[str]], list[tuple[str, float]]]]):
         self.load = load
@@ -88,10 +109,7 @@ class PandasScorer:
             model = load()
             for batch in batches:
                 flat = [t for row in batch for t in row]
-                try:
-                    results = model(flat) if flat else []
-                except Exception:  # the gate decides what an unscored text means
-                    results = [(None, None)] * len(flat)
+                results = scored(model, flat)
                 rows, at = [], 0
                 for row in batch:
                     part = results[at : at + len(row)]
