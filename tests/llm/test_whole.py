@@ -9,7 +9,8 @@ import re
 from pyspark.sql import functions as F
 
 from wardline.llm import bpe, pfair, secrets
-from wardline.operators.scoring import PandasScorer
+from wardline.operators.scoring import LexiconScorer, PandasScorer
+from wardline.streaming import gate
 
 
 def test_mixture_follows_the_weights_of_many_sources(spark):
@@ -109,3 +110,13 @@ def test_only_the_failing_text_of_a_batch_is_unscored(spark):
         for i, row in enumerate(texts)
     }
     assert {r["id"]: [tuple(x) for x in r["s"]] for r in got} == want
+
+
+def test_response_time_ends_with_the_finish_line_among_all_lines(spark):
+    lines = ['{"choices": [{"delta": {"content": "Fine."}}]}', '{"choices": [{"delta": {}, "finish_reason": "stop"}]}', "[DONE]"]
+    rows = [("a", seq, f"data: {line}", at) for seq, (line, at) in enumerate(zip(lines, (0, 4, 60), strict=True))]
+    rows += [("a", 1, rows[1][2], 9), ("cut", 0, rows[0][2], 0), ("cut", 1, rows[0][2], 3)]
+    df = spark.createDataFrame(rows, "request_id string, seq int, line string, t int").withColumn("ts", F.timestamp_seconds("t"))
+    audited = gate.audit_answers(gate.assemble_batch(df), LexiconScorer({"evil": 200}))
+    log = {r["request_id"]: r["response_time"] for r in gate.completion_log(audited, "finish_ts").collect()}
+    assert log == {"a": 4.0, "cut": 3.0}

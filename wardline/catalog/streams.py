@@ -121,8 +121,7 @@ FROM answers a LEFT JOIN bad ON bad.conv_id = a.conv_id AND bad.turn = a.turn"""
 def stream_completion_log(spark, sf):
     """Finish time is that of the finish line; the end mark may come later."""
     lines = spark.read.schema("request_id string, seq int, line string, ts timestamp").json(line_files(spark, sf))
-    before_end = lines.where(F.col("line") != L.PREFIX + L.DONE)
-    log = G.completion_log(G.audit_answers(G.assemble_batch(before_end), fx.CHAT_SCORER))
+    log = G.completion_log(G.audit_answers(G.assemble_batch(lines), fx.CHAT_SCORER), "finish_ts")
     return log.select("request_id", "tokens_used", "response_time", "finish_reason")
 
 

@@ -24,7 +24,7 @@ from wardline.streaming.lines import DONE, PREFIX, parse_lines, replacement_line
 # One answer as the stream job hands it on. Rows and state cross to Python as one JSON string
 # each: converting many narrow columns for every small group would cost more than the work.
 ANSWER = """struct<content:string,finish_reason:string,error:string,status:string,n_lines:int,
-first_ms:bigint,last_ms:bigint,lines:array<string>>"""
+first_ms:bigint,last_ms:bigint,finish_ms:bigint,lines:array<string>>"""
 
 
 class _Answer:
@@ -34,6 +34,7 @@ class _Answer:
         known = json.loads(held) if held else {}
         self.lines: dict[int, list] = {int(s): x for s, x in known.get("lines", {}).items()}
         self.end: int | None = known.get("end")
+        self.end_ms: int | None = known.get("end_ms")
         self.finish: str | None = known.get("finish")
         self.error: str | None = known.get("error")
         self.first: int | None = known.get("first")
@@ -45,10 +46,13 @@ class _Answer:
         self.first = ms if self.first is None else min(self.first, ms)
         self.last = ms if self.last is None else max(self.last, ms)
         if self.released or seq in self.lines:
+            if seq == self.end:
+                self.end_ms = min(ms, self.end_ms or ms)
             return
         self.lines[seq] = [row.get("content") or "", row["line"] if kind in ("delta", "error") else ""]
         if kind in ("done", "error") or row.get("finish_reason"):
-            self.end = seq if self.end is None else min(self.end, seq)
+            if self.end is None or seq < self.end:
+                self.end, self.end_ms = seq, ms
         self.finish = row.get("finish_reason") or self.finish
         self.error = row.get("error") or self.error
 
@@ -66,6 +70,7 @@ class _Answer:
             "n_lines": len(used),
             "first_ms": self.first,
             "last_ms": self.last,
+            "finish_ms": self.end_ms,
             "lines": [line for _, line in used if line],
         })
 
@@ -73,7 +78,7 @@ class _Answer:
         span = {"first": self.first, "last": self.last}
         if self.released:
             return json.dumps({"released": True, **span})
-        return json.dumps({"lines": self.lines, "end": self.end, "finish": self.finish, "error": self.error, **span})
+        return json.dumps({"lines": self.lines, "end": self.end, "end_ms": self.end_ms, "finish": self.finish, "error": self.error, **span})
 
 
 def assemble_stream(lines: DataFrame, delay: str = "10 minutes", idle_seconds: int = 600) -> DataFrame:
@@ -110,8 +115,8 @@ def assemble_stream(lines: DataFrame, delay: str = "10 minutes", idle_seconds: i
         step, "request_id string, answer string", "held string", "append", GroupStateTimeout.EventTimeTimeout
     )
     answers = found.select("request_id", F.from_json("answer", ANSWER).alias("a")).select("request_id", "a.*")
-    times = {"first_ts": F.timestamp_millis("first_ms"), "last_ts": F.timestamp_millis("last_ms")}
-    return answers.withColumns(times).drop("first_ms", "last_ms")
+    times = {f"{c}_ts": F.timestamp_millis(f"{c}_ms") for c in ("first", "last", "finish")}
+    return answers.withColumns(times).drop("first_ms", "last_ms", "finish_ms")
 
 
 def assemble_batch(lines: DataFrame) -> DataFrame:
@@ -127,6 +132,7 @@ def assemble_batch(lines: DataFrame) -> DataFrame:
         F.max("r.error").alias("error"),
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
+        F.min(F.when(ends, F.struct("seq", "ts")))["ts"].alias("finish_ts"),
     )
     used = F.filter("_all", lambda x: F.col("_end").isNull() | (x["seq"] <= F.col("_end")))
     whole = F.col("_end").isNotNull() & (F.size("_used") == F.col("_end") + 1)
@@ -140,6 +146,7 @@ def assemble_batch(lines: DataFrame) -> DataFrame:
         F.size("_used").alias("n_lines"),
         "first_ts",
         "last_ts",
+        "finish_ts",
         F.transform(kept, lambda x: x["r"]["line"]).alias("lines"),
     )
 
@@ -175,14 +182,16 @@ def audit_answers(
     )
 
 
-def completion_log(audited: DataFrame) -> DataFrame:
-    """A log row per answer; failed streams count no tokens."""
+def completion_log(audited: DataFrame, until: str = "last_ts") -> DataFrame:
+    """A log row per answer; failed streams count no tokens. The response time ends with the last
+    line or, ``until="finish_ts"``, with the line that ends the answer where there is one."""
+    ended = F.coalesce(until, "last_ts")
     ok = F.col("status") == "complete"
     return audited.select(
         "request_id",
         F.when(ok, F.col("content")).otherwise(F.lit("")).alias("response_content"),
         F.when(ok, token_estimate(F.col("content"))).otherwise(F.lit(0)).cast("bigint").alias("tokens_used"),
-        (F.col("last_ts").cast("double") - F.col("first_ts").cast("double")).alias("response_time"),
+        (ended.cast("double") - F.col("first_ts").cast("double")).alias("response_time"),
         F.when(F.col("is_safe"), F.col("finish_reason")).otherwise("content_filter").alias("finish_reason"),
         F.when(ok, F.lit(None)).otherwise(F.coalesce("error", F.col("status"))).alias("error"),
     )
