@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import bpe, jaccard, kdtree, maxscore, mixlm, pfair, pii, quality, secrets, suffixes
+from wardline.llm import alignment, bpe, jaccard, kdtree, maxscore, mixlm, pfair, pii, quality, secrets, spelling, suffixes, urls
 from wardline.llm.sqltext import SQL as SQL
 
 QUERIES = {}
@@ -78,3 +78,22 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return maxscore.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
+@query
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")).drop("url")
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    found = alignment.alignment(documents(spark, sf_dir).select("doc_id", "text"), a, b, public_tokenizers.PATTERN)
+    return found.withColumnRenamed("doc", "doc_id")
