@@ -66,6 +66,28 @@ def test_row_local_matching_equals_brute_force(frames, style, ignore_case):
         assert r["m"] == sorted(k for i, k in want if i == r["id"])
 
 
+@pytest.mark.parametrize("style, ignore_case", [("auto", False), ("characters", True)])
+def test_frequent_anchors_are_split(spark, frames, monkeypatch, style, ignore_case):
+    """Every anchor that more than one in three texts of the sample has is dealt over parts."""
+    texts, words = frames
+    monkeypatch.setattr(K, "HOT_PARTS", 40)
+    many = texts.unionByName(texts.withColumn("id", F.col("id") + 1000)).unionByName(
+        spark.range(2000, 2060).select(F.col("id").cast("int"), F.lit("stop the bomb").alias("text"))
+    )
+    hits = K.keyword_hits(many, words, ["id"], "text", style, ignore_case, broadcast_rows=3, inline_limit=0)
+    direct = K.keyword_hits(many, words, ["id"], "text", style, ignore_case)
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, direct.collect()))
+
+
+def test_keywords_are_filed_under_their_rarest_anchor(spark):
+    texts = spark.createDataFrame([(i, "common words are common") for i in range(20)] + [(99, "common rarity")], "id int, text string")
+    words = K.compile_keywords(spark.createDataFrame([("common rarity",), ("commonzzzz",)], "keyword string"), "characters", True)
+    body = texts.select("id", F.col("text").alias("_text"), K.folded(F.col("text")).alias("_folded"))
+    filed = K._filed(words, body, K.text_anchors(F.col("_text"), F.col("_folded"), K._anchor_kinds(words))).collect()
+    assert {r["keyword"]: r["parts"] for r in filed} == {"common rarity": 4, "commonzzzz": 1}
+    assert all(r["anchor"] not in ("g:comm", "g:ommo", "g:mmon") for r in filed)
+
+
 def test_attach_agrees_for_long_lists(frames):
     texts, _ = frames
     short = K.attach_keywords(texts, KEYWORDS, ["id"], "text", "m").orderBy("id").collect()

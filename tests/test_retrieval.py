@@ -9,6 +9,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from wardline.config import ChunkParams, RetrievalParams
+from wardline.operators import cells
+from wardline.operators import postings as P
 from wardline.operators import retrieval as R
 from wardline.operators.embedding import HashingEmbedder, ModelEmbedder, PrecomputedEmbedder, TfIdfEmbedder
 from wardline.plans.retrieval import build_index, hybrid_search, index_exists, load_index, open_index
@@ -52,16 +54,51 @@ def brute_bm25(k):
     return out
 
 
-@pytest.mark.parametrize("slice_rows", [1000, 6])
-def test_bm25_equals_brute_force(chunks, queries, slice_rows):
-    hits = R.bm25_topk(queries, chunks, 4, slice_rows=slice_rows)
-    assert {tuple(r) for r in hits.select("query_id", "chunk_id", "score", "rank").collect()} == brute_bm25(4)
+def hits_of(df):
+    return {tuple(r) for r in df.select("query_id", "chunk_id", "score", "rank").collect()}
 
 
-def test_bm25_in_small_blocks(chunks, queries, monkeypatch):
-    monkeypatch.setattr(R, "BLOCK_CELLS", 60)
-    hits = R.bm25_topk(queries, chunks, 4)
-    assert {tuple(r) for r in hits.select("query_id", "chunk_id", "score", "rank").collect()} == brute_bm25(4)
+@pytest.mark.parametrize("k", [1, 4, 500])
+def test_bm25_equals_brute_force(chunks, queries, k):
+    assert hits_of(R.bm25_topk(queries, chunks, k)) == brute_bm25(k)
+
+
+@pytest.fixture(scope="module")
+def index(chunks):
+    """Index tables with blocks of two postings."""
+    block, buckets = 2, 3
+    words = R.word_rows(chunks)
+    stats = R.corpus_stats(words).withColumn("buckets", F.lit(buckets))
+    blocks = P.posting_blocks(P.posting_rows(words), stats.select("avg_length").scalar(), block=block, buckets=buckets).cache()
+    terms = P.term_table(blocks).cache()
+    yield {"corpus_stats": stats, "term_stats": terms, "postings": P.stored_blocks(blocks, terms).cache()}
+    chunks.sparkSession.catalog.clearCache()
+
+
+@pytest.mark.parametrize("k, params", [(1, RetrievalParams()), (3, RetrievalParams(k1=0.4, b=0.1)), (500, RetrievalParams())])
+def test_index_search_equals_search_without_index(chunks, queries, index, k, params):
+    got = hits_of(R.bm25_topk(queries, None, k, params, index))
+    assert got == hits_of(R.bm25_topk(queries, chunks, k, params)) and got
+
+
+def test_blocks_hold_every_posting_once_within_their_bounds(chunks, index):
+    rows = index["postings"].collect()
+    found = Counter()
+    for r in rows:
+        assert r["n"] == len(r["chunk_ids"]) and r["max_tf"] == max(r["tfs"]) and r["min_length"] == min(r["lengths"])
+        found.update((r["term"], c, tf) for c, tf in zip(r["chunk_ids"], r["tfs"], strict=True))
+    want = Counter((t, f"c{i:03d}", n) for i, d in enumerate(DOCS) for t, n in Counter(re.findall(r"\w+", d)).items())
+    assert found == want
+    assert Counter(r["term"] for r in rows if r["head"]) == Counter({r["term"] for r in rows})
+
+
+def test_search_plans_without_running_a_job(spark, chunks, queries, index):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan", "planning only")
+    R.bm25_topk(queries, None, 3, index=index)
+    R.bm25_topk(queries, chunks, 3)
+    assert not tracker.getJobIdsForGroup("plan")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 @pytest.fixture(scope="module")
@@ -80,7 +117,7 @@ def test_cosine_ways_agree_with_brute_force(vectors):
     for qi, qv in q:
         best = sorted((-round(sum(a * b for a, b in zip(qv, cv)) / norm(qv) / norm(cv), 6) + 0.0, ci) for ci, cv in c)[:5]
         want |= {(qi, ci, rank + 1) for rank, (_, ci) in enumerate(best)}
-    for options in ({}, {"slice_rows": 4, "small_corpus": 0}, {"slice_rows": 4, "small_corpus": 1000}):
+    for options in ({}, {"small_queries": 4, "small_corpus": 0}, {"small_queries": 4, "small_corpus": 1000}):
         hits = R.cosine_topk(asked, corpus, 5, **options)
         assert {tuple(r) for r in hits.select("query_id", "chunk_id", "rank").collect()} == want
 
@@ -102,6 +139,85 @@ def test_lsh_finds_most_of_the_nearest(spark, sf_dir):
     assert len(exact & near) > 0.9 * len(exact)
 
 
+@pytest.fixture(scope="module")
+def clusters(spark):
+    """Vectors around 12 directions, one crowded; copies, a tie of many, zeros; ids that are strings."""
+    rng = random.Random(8)
+    middle = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(12)]
+    near = lambda m: [x + rng.gauss(0, 0.15) for x in m]
+    rows = [near(middle[0 if i % 3 == 0 else i % 12]) for i in range(600)] + [middle[1]] * 40 + [[0.0] * 8] * 30
+    corpus = [(f"v{i:04d}", v) for i, v in enumerate(rows)]
+    asked = [(i, near(middle[i % 12])) for i in range(60)] + [(60, [0.0] * 8), (61, [rng.gauss(0, 1) for _ in range(8)]), (62, None)]
+    return (
+        spark.createDataFrame(asked, "query_id int, vector array<double>").repartition(3),
+        spark.createDataFrame([*corpus, ("none", None)], "chunk_id string, vector array<double>").repartition(3),
+        asked[:62], corpus,
+    )
+
+
+def brute_cosine(asked, corpus, k):
+    norm = lambda v: math.sqrt(sum(x * x for x in v)) or 1.0
+    out = {}
+    for q, qv in asked:
+        scores = ((-round(sum(a * b for a, b in zip(qv, v)) / norm(qv) / norm(v), 6) + 0.0, c) for c, v in corpus)
+        out[q] = [c for _, c in sorted(scores)[:k]]
+    return out
+
+
+def ranked(df):
+    out = {}
+    for r in df.orderBy("query_id", "rank").collect():
+        out.setdefault(r["query_id"], []).append(r["chunk_id"])
+    return out
+
+
+@pytest.mark.parametrize("part_rows", [7, 20_000])
+def test_two_large_sides_equal_brute_force(clusters, monkeypatch, part_rows):
+    asked, corpus, asked_rows, corpus_rows = clusters
+    monkeypatch.setattr(cells, "PART_ROWS", part_rows)
+    monkeypatch.setattr(cells, "PART_QUERIES", part_rows)
+    centres = cells.fit_centres(corpus, 16)
+    assert ranked(cells.exact_topk(asked, corpus, 5, centres)) == brute_cosine(asked_rows, corpus_rows, 5)
+
+
+def test_few_cells_find_most_of_the_nearest(clusters):
+    asked, corpus, asked_rows, corpus_rows = clusters
+    centres = cells.fit_centres(corpus, 24)
+    got, want = ranked(cells.cell_topk(asked, corpus, 5, centres, 4)), brute_cosine(asked_rows[:60], corpus_rows, 5)
+    assert sum(len(set(got.get(q, ())) & set(w)) for q, w in want.items()) >= 0.9 * 5 * len(want)
+    assert {tuple(c) for c in cells.fit_centres(corpus, 24)} == {tuple(c) for c in centres}
+
+
+def test_cells_of_empty_sides(clusters):
+    asked, corpus, *_ = clusters
+    centres = cells.fit_centres(corpus, 4)
+    for a, c in ((asked.limit(0), corpus), (asked, corpus.limit(0))):
+        assert cells.exact_topk(a, c, 3, centres).count() == 0 and cells.cell_topk(a, c, 3, centres, 2).count() == 0
+
+
+def test_failed_rebuild_leaves_the_index_readable(chunks, tmp_path):
+    path, embedder = str(tmp_path / "index"), HashingEmbedder(8)
+    build_index(chunks, embedder, path)
+
+    class Broken:
+        def attach(self, df, text, out):
+            return df.withColumn(out, F.raise_error(F.lit("no model")).cast("array<double>"))
+
+    with pytest.raises(Exception, match="no model"):
+        build_index(chunks.limit(3), Broken(), path)
+    assert index_exists(chunks.sparkSession, path) and load_index(chunks.sparkSession, path)["chunks"].count() == 120
+
+
+def test_one_query_reads_the_buckets_of_its_terms(spark, chunks, tmp_path):
+    path = str(tmp_path / "index")
+    build_index(chunks, HashingEmbedder(8), path, buckets=16)
+    index = load_index(spark, path)
+    one = spark.createDataFrame([(1, "alpha theta")], "query_id int, text string")
+    hits = R.bm25_topk(one, None, 3, index=index)
+    assert "dynamicpruning" in hits._jdf.queryExecution().executedPlan().toString().lower()
+    assert hits_of(hits) == {(1, *h[1:]) for h in hits_of(R.bm25_topk(one, chunks, 3))}
+
+
 def test_index_is_built_once_and_on_request(chunks, queries, tmp_path):
     path, embedder = str(tmp_path / "index"), HashingEmbedder(16)
     assert not index_exists(chunks.sparkSession, path)

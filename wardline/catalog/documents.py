@@ -82,24 +82,32 @@ def category_sets(spark, sf):
 
 
 def _benchmark_words(spark, sf):
-    """A keyword table that grows with the data: the distinct longer words of ``benchmark``."""
-    words = explode_values(table(spark, sf, "benchmark"), [], T.tokens(F.col("text")), "keyword")
-    return words.where(F.length("keyword") >= 8).distinct()
+    """A keyword table that grows with the data: the distinct words of ``benchmark``."""
+    return explode_values(table(spark, sf, "benchmark"), [], T.tokens(F.col("text")), "keyword").distinct()
 
 
-_WORDS_SQL = f"""SELECT DISTINCT keyword FROM
- (SELECT unnest({q.tokens('text')}) AS keyword FROM benchmark) WHERE length(keyword) >= 8"""
+_WORDS_SQL = f"SELECT DISTINCT keyword FROM (SELECT unnest({q.tokens('text')}) AS keyword FROM benchmark)"
+_TABLE_HITS_SQL = f"""WITH k AS ({_WORDS_SQL}), t AS (SELECT doc_id, unnest(list_distinct({q.tokens('text')})) AS keyword FROM documents)
+SELECT t.doc_id, t.keyword FROM t JOIN k USING (keyword)"""
 
 
-@query(
-    "keyword_table_hits",
-    f"""WITH k AS ({_WORDS_SQL}), t AS (SELECT doc_id, unnest(list_distinct({q.tokens('text')})) AS keyword FROM documents)
-SELECT t.doc_id, t.keyword FROM t JOIN k USING (keyword)""",
-)
+@query("keyword_table_hits", _TABLE_HITS_SQL)
 def keyword_table_hits(spark, sf):
     return kw.keyword_hits(_docs(spark, sf), _benchmark_words(spark, sf), ID)
 
 
+@query("keyword_table_hits_anchors", _TABLE_HITS_SQL)
+def keyword_table_hits_anchors(spark, sf):
+    """The same by anchors, the keyword table broadcast."""
+    return kw.keyword_hits(_docs(spark, sf), _benchmark_words(spark, sf), ID, use_automaton=False)
+
+
+@query("keyword_table_hits_joined", _TABLE_HITS_SQL)
+def keyword_table_hits_joined(spark, sf):
+    """The same by anchors, as a list too long to broadcast is joined."""
+    return kw.keyword_hits(_docs(spark, sf), _benchmark_words(spark, sf), ID, broadcast_rows=0, use_automaton=False)
+
+
 @query(
     "keyword_table_noise_counts",
     f"""WITH k AS ({_WORDS_SQL}),

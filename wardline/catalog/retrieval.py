@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from wardline.catalog import fixtures as fx
@@ -11,6 +12,7 @@ from wardline.catalog.gates import pair_gate_sql
 from wardline.catalog.registry import query, table
 from wardline.config import MAX_CONTEXT_CHARS, NO_RESULT_TEXT, SERVICE_RETRIEVAL, TRUNCATED_NOTICE, ChunkParams
 from wardline.functions import messages as M
+from wardline.operators import cells
 from wardline.operators import retrieval as R
 from wardline.operators.embedding import HashingEmbedder
 from wardline.plans import gates
@@ -95,6 +97,13 @@ def bm25_stats(spark, sf):
     )
 
 
+@query("bm25_from_index", f"WITH {BM25_SQL} {ranked_sql('bm', 3)}")
+def bm25_from_index(spark, sf):
+    """The same search over postings written to the shared folder."""
+    index = open_index(chunks(spark, sf), EMBEDDER, scratch_path(spark, "index"))
+    return R.bm25_topk(queries(spark, sf), None, 3, index=index)
+
+
 @query("bm25_topk", f"WITH {BM25_SQL} {ranked_sql('bm', 3)}")
 def bm25_topk(spark, sf):
     return R.bm25_topk(queries(spark, sf), chunks(spark, sf), 3)
@@ -167,6 +176,73 @@ def lsh_topk(spark, sf):
     return R.lsh_topk(asked, corpus, 5)
 
 
+# ---------------------------------------------------------------- coarse cells
+
+SOME_CELLS, SOME_PROBES = 64, 6
+_CELLS_SQL = f"""{VECTOR_SQL}, coarse AS (SELECT CAST(row_number() OVER (ORDER BY md5(text)) - 1 AS INT) AS cell, text
+ FROM (SELECT DISTINCT text FROM chunks) QUALIFY row_number() OVER (ORDER BY md5(text)) <= {SOME_CELLS}),
+{vectors_sql('zv', 'coarse', 'cell')},
+placed AS (SELECT chunk_id, cell FROM (SELECT chunk_id, cell, sum(cv.v * zv.v) AS s FROM cv JOIN zv USING (b) GROUP BY chunk_id, cell)
+ QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY round(s, 9) DESC, cell) = 1),
+every AS (SELECT DISTINCT chunk_id FROM cv), member AS (SELECT chunk_id, coalesce(cell, 0) AS cell FROM every LEFT JOIN placed USING (chunk_id)),
+sims AS (SELECT query_id, cell, sum(qv.v * zv.v) AS s FROM qv JOIN zv USING (b) GROUP BY query_id, cell),
+probed AS (SELECT b.query_id, coarse.cell FROM bq b CROSS JOIN coarse LEFT JOIN sims ON sims.query_id = b.query_id AND sims.cell = coarse.cell
+ QUALIFY row_number() OVER (PARTITION BY b.query_id ORDER BY round(coalesce(s, 0), 9) DESC, coarse.cell) <= {SOME_PROBES}),
+ch AS (SELECT cs_.* FROM cs_ JOIN member m USING (chunk_id) JOIN probed p ON p.query_id = cs_.query_id AND p.cell = m.cell)"""
+
+
+def line_vectors(spark, sf):
+    return EMBEDDER.attach(chunks(spark, sf), "text", "vector").select("chunk_id", "vector")
+
+
+def query_vectors(spark, sf):
+    return EMBEDDER.attach(queries(spark, sf), "text", "vector").select("query_id", "vector")
+
+
+@query("cell_topk", f"WITH {_CELLS_SQL} {ranked_sql('ch', 3)}")
+def cell_topk(spark, sf):
+    """Approximate search in the cells around 64 given centres, lines of smallest digest."""
+    some = chunks(spark, sf).select("text").distinct().orderBy(F.md5("text")).limit(SOME_CELLS).withColumn("at", F.md5("text"))
+    given = EMBEDDER.attach(some, "text", "vector").orderBy("at").collect()  # SOME_CELLS rows
+    centres = cells.unit_rows(np.array([r["vector"] for r in given], dtype="float64").reshape(-1, EMBEDDER.dims))
+    return cells.cell_topk(query_vectors(spark, sf), line_vectors(spark, sf), 3, centres, SOME_PROBES)
+
+
+@query(
+    "cosine_topk_two_sides",
+    f"WITH {VECTOR_SQL} {ranked_sql('cs_', 3)}",
+)
+def cosine_topk_two_sides(spark, sf):
+    """Exact search the way that two large sides take: cells, then all that can still reach the bar."""
+    lines = line_vectors(spark, sf)
+    return cells.exact_topk(query_vectors(spark, sf), lines, 3, cells.fit_centres(lines, 64))
+
+
+FINE_CELLS, FINE_PROBES = 1024, 32
+
+
+@query(
+    "cell_quality",
+    f"""WITH {VECTOR_SQL}, kth AS ({ranked_sql('cs_', 3)})
+SELECT count(DISTINCT query_id) AS n_queries, count(*) AS n_hits, TRUE AS recall_reached, TRUE AS few_candidates FROM kth""",
+)
+def cell_quality(spark, sf):
+    """Approximate against exact search: at least 0.9 of the hits from less than a tenth of the pairs."""
+    asked, lines = query_vectors(spark, sf), line_vectors(spark, sf)
+    centres = cells.fit_centres(lines, FINE_CELLS)
+    exact = R.cosine_topk(asked, lines, 3).groupBy("query_id").agg(F.min("score").alias("bar"), F.count("*").alias("k"))
+    near = cells.cell_topk(asked, lines, 3, centres, FINE_PROBES).select("query_id", "score")
+    pairs = cells.candidate_pairs(asked, lines, centres, FINE_PROBES).agg(F.sum("n").alias("pairs"))
+    total = asked.agg(F.count("*").alias("q")).crossJoin(lines.agg(F.count("*").alias("c")))  # a row each
+    # a line as close as the last of the exact hits is as good as that one
+    found = near.join(exact, "query_id").where("score >= bar").agg(F.count("*").alias("found"))
+    met = exact.agg(F.count("*").alias("n_queries"), F.sum("k").alias("n_hits")).crossJoin(found)
+    return met.crossJoin(pairs).crossJoin(total).select(
+        "n_queries", "n_hits", (F.col("found") >= 0.9 * F.col("n_hits")).alias("recall_reached"),
+        (F.col("pairs") < 0.1 * F.col("q") * F.col("c")).alias("few_candidates"),
+    )
+
+
 # ---------------------------------------------------------------- fusion and prompts
 
 HYBRID_SQL = f"""{BM25_SQL}, {VECTOR_SQL.replace(CHUNKS_SQL + ', ', '')},

@@ -7,9 +7,13 @@ No text is compared with every keyword of a long list. Three exact ways, by list
   the keywords contained in a text in a single pass, also within the row;
 * beyond that - or without the automaton library - each keyword is filed under one *anchor*
   that any text it matches must contain, texts are exploded to their distinct anchors, and
-  the two meet in an equi-join.
+  the two meet in an equi-join. Of the anchors it could have, a keyword takes the one that the
+  fewest texts of a bounded sample contain; anchors that are frequent even so are split, their
+  texts dealt over as many parts as their share of the sample asks for.
 
-The last two yield candidates, which the keyword's pattern then verifies. Either way a
+The last two yield candidates, which the keyword's pattern then verifies - unless the candidate
+settles it: a keyword of one word matches the texts that have it as a token, and one of word
+characters, noise and case aside, those whose folded form contains it. Either way a
 (text, keyword) pair arises once and needs no de-duplication.
 """
 
@@ -23,8 +27,8 @@ from pyspark.sql import functions as F
 
 from wardline.functions.patterns import fold_case, folded, keyword_pattern, may_match, uses_characters
 from wardline.functions.rows import explode_values
-from wardline.functions.text import NON_WORD, tokens
-from wardline.session import broadcast_within, is_small
+from wardline.functions.text import NON_WORD, WORD, tokens
+from wardline.session import broadcast_within, is_small, materialise
 
 try:
     import ahocorasick
@@ -34,6 +38,9 @@ except ImportError:  # the anchor join takes over
 INLINE_LIMIT = 24
 BROADCAST_KEYWORDS = 200_000
 GRAM = 4
+#: Texts whose anchors are counted to choose each keyword's, and parts of an anchor that all have.
+SKETCH_TEXTS = 2_000
+HOT_PARTS = 64
 
 
 def keyword_frame(spark: SparkSession, keywords: Sequence[str], list_name: str = "keywords") -> DataFrame:
@@ -48,25 +55,31 @@ def compile_keywords(keywords: DataFrame, style: str = "auto", ignore_case: bool
     core = folded(k)
     by_characters = uses_characters(k, style)
     gram = F.least(F.length(core), F.lit(GRAM))
-    anchor = (
-        F.when(F.length(core) == 0, F.concat(F.lit("s:"), F.substring(F.regexp_replace(k, r"^\s+", ""), 1, 1)))
-        .when(by_characters, F.concat(F.lit("g:"), F.left(core, gram)))
-        .otherwise(F.concat(F.lit("w:"), fold_case(F.get(tokens(k), 0))))
+    starts = F.sequence(F.lit(1), F.length(core) - gram + 1)
+    anchors = (
+        F.when(F.length(core) == 0, F.array(F.concat(F.lit("s:"), F.substring(F.regexp_replace(k, r"^\s+", ""), 1, 1))))
+        .when(by_characters, F.transform(starts, lambda i: F.concat(F.lit("g:"), F.substring(core, i, gram))))
+        .otherwise(F.transform(tokens(k), lambda t: F.concat(F.lit("w:"), fold_case(t))))
+    )
+    one_word = F.regexp_like(k, F.lit(f"^{WORD}+$"))
+    same_length = F.length(core) == F.length(k)  # else a character of it folds to several
+    settled = F.when(one_word & same_length & by_characters & F.lit(ignore_case), "folded").when(
+        one_word & ~by_characters & F.lit(not ignore_case), "token"
     )
     return (
         keywords.where(k.isNotNull())
         .dropDuplicates([c for c in keywords.columns if c != "list_name"])
         .withColumn("pattern", keyword_pattern(k, style, ignore_case))
         .where(F.col("pattern").isNotNull())
-        .withColumn("core", core)
-        .withColumn("anchor", anchor)
+        .withColumns({"core": core, "anchors": F.array_distinct(anchors), "settled": settled})
     )
 
 
 def _anchor_kinds(compiled: DataFrame) -> list[tuple[str, int]]:
     """Which kinds of anchor the list uses - at most two plus one per gram length."""
-    kind = F.left(F.col("anchor"), F.lit(1))
-    size = F.when(kind == "g", F.length("anchor") - 2).otherwise(0)
+    first = F.get("anchors", F.lit(0))
+    kind = F.left(first, F.lit(1))
+    size = F.when(kind == "g", F.length(first) - 2).otherwise(0)
     return sorted((r[0], r[1]) for r in compiled.select(kind, size).distinct().collect())
 
 
@@ -87,32 +100,40 @@ def text_anchors(text: Column, folded_text: Column, kinds: Sequence[tuple[str, i
     return F.concat(*parts)
 
 
-def _candidates(rows: Sequence) -> Callable[[Column], Column]:
-    """UDF: (keyword, pattern) of the keywords whose core a folded text contains. Keywords
+def _candidates(rows: Sequence) -> Callable[[Column, Column, Column], Column]:
+    """UDF over folded texts, whether folding kept their length, and their tokens: (keyword, pattern)
+    of the keywords that the text may match, without a pattern where it is certain. Keywords
     of symbols only have no core to look for and always are candidates."""
+    words = {r["keyword"] for r in rows if r["settled"] == "token"}
     by_core: dict[str, list] = {}
     for r in rows:
-        by_core.setdefault(r["core"], []).append({"keyword": r["keyword"], "pattern": r["pattern"]})
-    always = by_core.pop("", [])
+        if r["settled"] != "token":
+            open_one = {"keyword": r["keyword"], "pattern": r["pattern"]}
+            sure = {"keyword": r["keyword"], "pattern": None} if r["settled"] else open_one
+            by_core.setdefault(r["core"], []).append((open_one, sure))
+    always = [c for c, _ in by_core.pop("", [])]
 
     @F.pandas_udf("array<struct<keyword:string,pattern:string>>")
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def find(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         search = ahocorasick.Automaton()
         for core in by_core:
             search.add_word(core, core)
         if by_core:
             search.make_automaton()
-        for batch in batches:
-            found = [sorted({core for _, core in search.iter(t)}) if by_core and t else [] for t in batch]
-            yield pd.Series([always + [c for core in cores for c in by_core[core]] for cores in found])
+        for texts, same_length, tokens_of in batches:
+            found = []
+            for text, same, own in zip(texts, same_length, tokens_of, strict=True):
+                cores = {core for _, core in search.iter(text)} if by_core and text else ()
+                of_cores = [c[1 if same else 0] for core in sorted(cores) for c in by_core[core]]
+                found.append(always + of_cores + [{"keyword": w, "pattern": None} for w in sorted(words.intersection(own))])
+            yield pd.Series(found)
 
     return find
 
 
 def _verified(text: str, candidates: str) -> Column:
-    return F.transform(
-        F.filter(candidates, lambda c: F.regexp_like(F.col(text), c["pattern"])), lambda c: c["keyword"]
-    )
+    sure = lambda c: c["pattern"].isNull() | F.regexp_like(F.col(text), c["pattern"])
+    return F.transform(F.filter(candidates, sure), lambda c: c["keyword"])
 
 
 def _with_matches(
@@ -124,23 +145,46 @@ def _with_matches(
         return df.withColumn(out, none)
     if len(rows) <= inline_limit:
         return df.withColumn(out, matched_column(F.col(text), [r["keyword"] for r in rows], style, ignore_case))
-    found = _candidates(rows)(F.coalesce(folded(F.col(text)), F.lit("")))
-    held = df.withColumn("_candidates", found)
+    bare = F.regexp_replace(F.col(text), f"{NON_WORD}+", "")
+    # where folding made a character several (sharp s), one of them alone is no match
+    same_length = F.coalesce(F.length(fold_case(bare)) == F.length(bare), F.lit(False))
+    own = tokens(F.col(text)) if any(r["settled"] == "token" for r in rows) else none
+    find = _candidates(rows)
+    held = df.withColumn("_candidates", find(F.coalesce(fold_case(bare), F.lit("")), same_length, F.coalesce(own, none)))
     return held.withColumn(out, F.coalesce(_verified(text, "_candidates"), none)).drop("_candidates")
 
 
+def _filed(compiled: DataFrame, body: DataFrame, anchors: Column) -> DataFrame:
+    """``compiled`` with ``anchor``, the rarest a keyword could have, and ``parts``, into how many
+    its texts are dealt."""
+    sample = body.limit(SKETCH_TEXTS)
+    n = max(1, sample.count())
+    could = compiled.select("keyword", F.explode("anchors").alias("anchor"))
+    seen = explode_values(sample, [], anchors, "anchor").join(could.select("anchor").distinct(), "anchor", "left_semi")
+    could = could.join(seen.groupBy("anchor").agg(F.count("*").alias("texts")), "anchor", "left")
+    rarest = could.groupBy("keyword").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "anchor")).alias("_best"))
+    parts = F.greatest(F.ceil(F.col("_best.texts") * HOT_PARTS / n), F.lit(1)).cast("int")
+    return compiled.join(rarest, "keyword").withColumns({"anchor": F.col("_best.anchor"), "parts": parts}).drop("_best", "anchors")
+
+
 def _by_anchors(body: DataFrame, compiled: DataFrame, ids: Sequence[str], small: bool) -> DataFrame:
     anchors = text_anchors(F.col("_text"), F.col("_folded"), _anchor_kinds(compiled))
+    filed = _filed(compiled, body, anchors)
     if small:
-        hits = explode_values(body, [*ids, "_text", "_folded"], anchors, "anchor").join(F.broadcast(compiled), "anchor")
+        hits = explode_values(body, [*ids, "_text", "_folded"], anchors, "anchor").join(F.broadcast(filed), "anchor")
     else:  # shuffle narrow rows only, fetch the text again for the candidates
-        hits = explode_values(body, ids, anchors, "anchor").join(compiled, "anchor").join(body, list(ids))
+        filed = materialise(filed, "filed")
+        hot = filed.where("parts > 1").select("anchor", F.col("parts").alias("_parts")).distinct()
+        rows = explode_values(body, ids, anchors, "anchor").join(broadcast_within(hot, BROADCAST_KEYWORDS), "anchor", "left")
+        dealt = F.pmod(F.xxhash64(*ids), F.coalesce("_parts", F.lit(1))).cast("int")
+        every = filed.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        hits = rows.withColumn("_part", dealt).drop("_parts").join(every, ["anchor", "_part"]).join(body, list(ids))
     return hits.where(F.contains(F.col("_folded"), F.col("core")) & F.expr("_text rlike pattern"))
 
 
 def _rows_within(compiled: DataFrame, limit: int) -> list | None:
     """The compiled keywords, unless there are more than ``limit``."""
-    rows = compiled.select("keyword", "pattern", "core").distinct().limit(limit + 1).collect()
+    rows = compiled.select("keyword", "pattern", "core", "settled").distinct().limit(limit + 1).collect()
     return rows if len(rows) <= limit else None
 
 

@@ -7,24 +7,27 @@ query_id, chunk_id, score and rank, ties broken by chunk_id.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardline.config import ChunkParams, RetrievalParams
 from wardline.functions.rows import explode_positions, explode_values
 from wardline.functions.text import NON_WORD, WORD, lines, lower_tokens, tokens
-from wardline.session import broadcast_within, is_small
+from wardline.operators.cells import exact_topk, fit_centres, matrix
+from wardline.operators.postings import query_terms, search_index, search_words
+from wardline.operators.ranking import DIGITS, Best, top_k
+from wardline.session import is_small
 
-MAX_QUERY_TERMS = 1_000_000
-QUERY_SLICE = 2_000
+#: A side of at most so many vectors is sent to the tasks whole.
+SMALL_QUERIES = 2_000
 SMALL_CORPUS = 50_000
+#: Coarse cells for two sides that are both larger.
+CELLS = 256
 BLOCK_CELLS = 8_000_000
-DIGITS = 6
 
 
 # ---------------------------------------------------------------- chunks
@@ -95,57 +98,6 @@ def sentence_chunks(
     )
 
 
-# ---------------------------------------------------------------- best k per query
-
-
-def top_k(scores: DataFrame, k: int) -> DataFrame:
-    """The best ``k`` per query with their rank from 1. Each task keeps its own best first."""
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    best = scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return best.withColumn("rank", F.col("rank").cast("bigint"))
-
-
-class _Best:
-    """Running k best (query number, chunk id, score); ties by chunk id."""
-
-    def __init__(self, k: int):
-        self.k = k
-        self.q, self.ids, self.score = np.empty(0, dtype=np.int64), None, np.empty(0)
-
-    def add(self, scores: np.ndarray, ids: np.ndarray, positive: bool = False) -> None:
-        """Take in a (queries x chunks) block; with ``positive`` zero scores are no hits."""
-        nth = min(self.k, scores.shape[1])
-        bar = np.partition(scores, -nth, axis=1)[:, -nth]
-        hit = scores >= bar[:, None]
-        if positive:
-            hit &= scores > 0
-        qi, di = np.nonzero(hit)
-        self.ids = ids[di] if self.ids is None else np.concatenate([self.ids, ids[di]])
-        self.q, self.score = np.concatenate([self.q, qi]), np.concatenate([self.score, scores[qi, di]])
-        order = np.lexsort((self.ids, -self.score, self.q))
-        q = self.q[order]
-        keep = order[np.arange(len(q)) - np.searchsorted(q, q, side="left") < self.k]
-        self.q, self.ids, self.score = self.q[keep], self.ids[keep], self.score[keep]
-
-    def frame(self, names: np.ndarray) -> pd.DataFrame:
-        ids = np.empty(0, dtype=object) if self.ids is None else self.ids
-        return pd.DataFrame({"query_id": names[self.q], "chunk_id": ids, "score": self.score})
-
-
-def _hit_schema(queries: DataFrame, corpus: DataFrame) -> T.StructType:
-    return T.StructType([queries.schema["query_id"], corpus.schema["chunk_id"]]).add("score", "double")
-
-
-def _by_slices(queries: DataFrame, corpus: DataFrame, slice_rows: int, search) -> DataFrame:
-    """``search`` over query sets of bounded size; one set when all queries fit."""
-    if is_small(queries, slice_rows):
-        return search(queries, corpus)
-    n = -(-queries.count() // (slice_rows // 2))
-    part = F.pmod(F.xxhash64("query_id"), F.lit(n))
-    found = [search(queries.where(part == i), corpus) for i in range(n)]
-    return reduce(DataFrame.unionByName, found)
-
-
 # ---------------------------------------------------------------- BM25
 
 
@@ -159,13 +111,10 @@ def corpus_stats(words: DataFrame) -> DataFrame:
     return words.select(F.size("words").alias("dl")).agg(F.count("*").alias("n_chunks"), F.avg("dl").alias("avg_length"))
 
 
-def document_frequencies(words: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(term, df), of all terms or of the given ones. Words are made distinct in their row,
-    so only per-task counts are shuffled and a frequent term is nothing special."""
-    rows = explode_values(words, [], F.array_distinct("words"), "term")
-    if terms is not None:
-        rows = rows.join(broadcast_within(terms, MAX_QUERY_TERMS), "term", "left_semi")
-    return rows.groupBy("term").agg(F.count("*").alias("df"))
+def document_frequencies(words: DataFrame) -> DataFrame:
+    """(term, df). Words are made distinct in their row, so only per-task counts are shuffled and a
+    frequent term is nothing special."""
+    return explode_values(words, [], F.array_distinct("words"), "term").groupBy("term").agg(F.count("*").alias("df"))
 
 
 def term_stats(words: DataFrame) -> DataFrame:
@@ -174,90 +123,31 @@ def term_stats(words: DataFrame) -> DataFrame:
     return document_frequencies(words).join(occurrences, "term")
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    return explode_values(queries, ["query_id"], F.array_distinct(lower_tokens(F.col("text"))), "term")
-
-
-def _bm25_slice(k: int, params: RetrievalParams, words: DataFrame, index: dict | None):
-    """Search of one bounded query set: its term weights travel to the corpus, and tasks give
-    back only their own k best per query - never all (query, chunk) pairs."""
-    stats = corpus_stats(words) if index is None else index["corpus_stats"]
-
-    def search(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-        spark, schema = corpus.sparkSession, _hit_schema(queries, corpus)
-        asked = query_terms(queries)
-        terms = asked.select("term").distinct()
-        if index is None:
-            df = document_frequencies(corpus, terms)
-        else:
-            df = index["term_stats"].join(broadcast_within(terms, MAX_QUERY_TERMS), "term", "left_semi").select("term", "df")
-        pairs, weights = asked.toPandas(), df.toPandas()
-        n, average = stats.select("n_chunks", "avg_length").first()
-        if weights.empty:
-            return spark.createDataFrame([], schema)
-        vocabulary = pd.Index(weights["term"])
-        idf = np.log(1 + (n - weights["df"].to_numpy() + 0.5) / (weights["df"].to_numpy() + 0.5))
-        names, who = np.unique(pairs["query_id"].to_numpy(), return_inverse=True)
-        at = vocabulary.get_indexer(pairs["term"])
-        order = np.argsort(at, kind="stable")
-        order = order[at[order] >= 0]
-        first = np.searchsorted(at[order], np.arange(len(vocabulary) + 1))
-        shared = spark.sparkContext.broadcast((vocabulary, idf, names, who[order], first))
-        k1, b = params.k1, params.b
-
-        def run(batches):
-            vocabulary, idf, names, askers, first = shared.value
-            best = _Best(k)
-            for batch in batches:
-                lists = batch["words"].tolist()
-                lengths = np.array([len(w) for w in lists])
-                if not lengths.sum():
-                    continue
-                code = vocabulary.get_indexer(np.concatenate(lists))
-                cell = np.repeat(np.arange(len(lists)), lengths) * len(vocabulary) + code
-                cell, tf = np.unique(cell[code >= 0], return_counts=True)
-                doc, term = np.divmod(cell, len(vocabulary))
-                part = idf[term] * tf / (tf + k1 * (1 - b + b * lengths[doc] / average))
-                ids, step = batch["chunk_id"].to_numpy(), max(1, BLOCK_CELLS // len(names))
-                for low in range(0, len(lists), step):  # bounded score blocks
-                    a, z = np.searchsorted(doc, [low, low + step])
-                    width = min(step, len(lists) - low)
-                    many = first[term[a:z] + 1] - first[term[a:z]]  # queries asking for the term
-                    start = np.repeat(first[term[a:z]] - (np.cumsum(many) - many), many)
-                    q = askers[start + np.arange(many.sum())]
-                    flat = q * width + np.repeat(doc[a:z] - low, many)
-                    block = np.bincount(flat, weights=np.repeat(part[a:z], many), minlength=len(names) * width)
-                    best.add(np.round(block.reshape(len(names), width), DIGITS), ids[low : low + width], positive=True)
-            yield best.frame(names)
-
-        return corpus.select("chunk_id", "words").mapInPandas(run, schema)
-
-    return search
-
-
 def bm25_topk(
     queries: DataFrame,
     chunks: DataFrame | None,
     k: int,
     params: RetrievalParams = RetrievalParams(),
-    index: dict | None = None,
-    slice_rows: int = QUERY_SLICE,
+    index: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
-    """BM25 top-k of (query_id, text) over (chunk_id, text), or over a stored index."""
-    words = word_rows(chunks) if index is None else index["words"]
-    return top_k(_by_slices(queries, words, slice_rows, _bm25_slice(k, params, words, index)), k)
+    """BM25 top-k of (query_id, text) over the postings of a stored index, or without one over
+    (chunk_id, text). One lazy plan either way."""
+    asked = query_terms(queries, lower_tokens(F.col("text")))
+    if index is None:
+        return search_words(asked, word_rows(chunks), k, params)
+    return search_index(asked, index, k, params)
 
 
 # ---------------------------------------------------------------- vectors
 
 
-def _unit(rows: np.ndarray) -> np.ndarray:
-    norm = np.linalg.norm(rows, axis=1, keepdims=True)
-    return rows / np.where(norm == 0, 1.0, norm)
+def _hit_schema(queries: DataFrame, corpus: DataFrame) -> T.StructType:
+    return T.StructType([queries.schema["query_id"], corpus.schema["chunk_id"]]).add("score", "double")
 
 
-def _matrix(batch: pd.Series) -> np.ndarray:
-    return _unit(np.stack(batch.to_numpy()).astype("float64"))
+def _frame(best: Best, names: np.ndarray) -> pd.DataFrame:
+    ids = np.empty(0, dtype=object) if best.ids is None else best.ids
+    return pd.DataFrame({"query_id": names[best.q], "chunk_id": ids, "score": best.score})
 
 
 def _collected(df: DataFrame, key: str):
@@ -265,28 +155,24 @@ def _collected(df: DataFrame, key: str):
     pdf = df.select(key, "vector").toPandas()
     if pdf.empty:
         return None
-    return df.sparkSession.sparkContext.broadcast((pdf[key].to_numpy(), _matrix(pdf["vector"])))
+    return df.sparkSession.sparkContext.broadcast((pdf[key].to_numpy(), matrix(pdf["vector"])))
 
 
-def _queries_to_corpus(k: int):
+def _queries_to_corpus(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """Few queries: every task multiplies its part of the corpus with the query matrix."""
+    schema, shared = _hit_schema(queries, corpus), _collected(queries, "query_id")
+    if shared is None:
+        return corpus.sparkSession.createDataFrame([], schema)
 
-    def search(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-        schema, shared = _hit_schema(queries, corpus), _collected(queries, "query_id")
-        if shared is None:
-            return corpus.sparkSession.createDataFrame([], schema)
-
-        def run(batches):
-            names, asked = shared.value
-            best = _Best(k)
-            for batch in batches:
-                if len(batch):
-                    best.add(np.round(asked @ _matrix(batch["vector"]).T, DIGITS), batch["chunk_id"].to_numpy())
-            yield best.frame(names)
-
-        return corpus.select("chunk_id", "vector").mapInPandas(run, schema)
+    def run(batches):
+        names, asked = shared.value
+        best = Best(k)
+        for batch in batches:
+            if len(batch):
+                best.add(np.round(asked @ matrix(batch["vector"]).T, DIGITS), batch["chunk_id"].to_numpy())
+        yield _frame(best, names)
 
-    return search
+    return corpus.select("chunk_id", "vector").mapInPandas(run, schema)
 
 
 def _corpus_to_queries(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
@@ -301,27 +187,27 @@ def _corpus_to_queries(queries: DataFrame, corpus: DataFrame, k: int) -> DataFra
         for batch in batches:
             names = batch["query_id"].to_numpy()
             for low in range(0, len(batch), step):
-                best = _Best(k)
-                best.add(np.round(_matrix(batch["vector"].iloc[low : low + step]) @ known.T, DIGITS), ids)
-                yield best.frame(names[low : low + step])
+                best = Best(k)
+                best.add(np.round(matrix(batch["vector"].iloc[low : low + step]) @ known.T, DIGITS), ids)
+                yield _frame(best, names[low : low + step])
 
     return queries.select("query_id", "vector").mapInPandas(run, schema)
 
 
 def cosine_topk(
-    queries: DataFrame, corpus: DataFrame, k: int, slice_rows: int = QUERY_SLICE, small_corpus: int = SMALL_CORPUS
+    queries: DataFrame, corpus: DataFrame, k: int, small_queries: int = SMALL_QUERIES, small_corpus: int = SMALL_CORPUS
 ) -> DataFrame:
     """Exact cosine top-k of (query_id, vector) against (chunk_id, vector).
 
-    The larger side is read in place. The other one goes to the tasks as a matrix of checked
-    size: the whole corpus when that is small, else the queries, in slices of bounded size
-    if there are many. Tasks give back only the k best per query.
+    A side of checked size goes to the tasks as a matrix and the other one is read in place.
+    Two larger sides are cut into coarse cells, and pairs of cells that cannot hold a hit are
+    never compared.
     """
-    if is_small(corpus, small_corpus) and not is_small(queries, slice_rows):
-        local = _corpus_to_queries(queries, corpus, k)
-    else:
-        local = _by_slices(queries, corpus, slice_rows, _queries_to_corpus(k))
-    return top_k(local, k)
+    if is_small(queries, small_queries):
+        return top_k(_queries_to_corpus(queries, corpus, k), k)
+    if is_small(corpus, small_corpus):
+        return top_k(_corpus_to_queries(queries, corpus, k), k)
+    return exact_topk(queries, corpus, k, fit_centres(corpus, CELLS))
 
 
 def lsh_topk(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,42 +12,66 @@ from pyspark.sql import functions as F
 from wardline.config import RetrievalParams
 from wardline.operators import retrieval as R
 from wardline.operators.embedding import Embedder
+from wardline.operators.postings import BUCKETS, posting_blocks, posting_rows, stored_blocks, term_table
+from wardline.session import materialise
 
-PARTS = ("chunks", "words", "term_stats", "corpus_stats", "vectors")
+PARTS = ("chunks", "term_stats", "postings", "corpus_stats", "vectors")
+MANIFEST = "manifest"
+
+
+def _latest(spark: SparkSession, path: str) -> str | None:
+    """The folder of the version that was finished last; None when there is none."""
+    try:
+        done = spark.read.schema("version string, built_at timestamp").parquet(os.path.join(path, MANIFEST))
+        row = done.agg(F.max(F.struct("built_at", "version")).alias("m")).first()["m"]
+    except AnalysisException:
+        return None
+    return os.path.join(path, row["version"]) if row else None
 
 
 def index_exists(spark: SparkSession, path: str) -> bool:
-    """True only when every part of the index can be read."""
+    """True only when a finished version is there and every part of it can be read."""
+    at = _latest(spark, path)
     try:
-        for part in PARTS:
-            spark.read.parquet(os.path.join(path, part))
+        for part in PARTS if at else ():
+            spark.read.parquet(os.path.join(at, part))
     except AnalysisException:
         return False
-    return True
+    return at is not None
 
 
-def build_index(chunks: DataFrame, embedder: Embedder, path: str) -> None:
-    """Write the index tables: chunk texts, their words, term and corpus statistics, vectors.
-
-    Term statistics are sorted by term inside each file, so that a search reads only the row
-    groups of its own terms.
+def build_index(
+    chunks: DataFrame, embedder: Embedder, path: str, params: RetrievalParams = RetrievalParams(), buckets: int = BUCKETS
+) -> None:
+    """Write a version of the index: chunk texts, term statistics, blocks of postings, corpus
+    statistics and vectors. The manifest gets its row last, by one added file: until then, and if
+    the build fails, searches read the version before.
     """
-
-    def save(df: DataFrame, part: str) -> None:
-        df.write.mode("overwrite").parquet(os.path.join(path, part))
-
-    def stored(part: str) -> DataFrame:
-        return chunks.sparkSession.read.parquet(os.path.join(path, part))
-
-    save(chunks.select("chunk_id", "text"), "chunks")
-    save(R.word_rows(stored("chunks")), "words")
-    save(R.term_stats(stored("words")).sortWithinPartitions("term"), "term_stats")
-    save(R.corpus_stats(stored("words")), "corpus_stats")
-    save(embedder.attach(stored("chunks"), "text", "vector").select("chunk_id", "vector"), "vectors")
+    spark, version = chunks.sparkSession, f"version-{uuid.uuid4().hex}"
+
+    def save(df: DataFrame, part: str, by: tuple[str, ...] = ()) -> DataFrame:
+        at = os.path.join(path, version, part)
+        df.write.partitionBy(*by).parquet(at)
+        return spark.read.schema(df.schema).parquet(at)
+
+    stored = save(chunks.select("chunk_id", "text"), "chunks")
+    words = R.word_rows(stored)
+    stats = save(R.corpus_stats(words).withColumn("buckets", F.lit(buckets)), "corpus_stats")
+    average = stats.select("avg_length").scalar()
+    blocks = materialise(posting_blocks(posting_rows(words), average, params, buckets=buckets), "blocks")
+    terms = term_table(blocks)
+    order = ["bucket", "term"]
+    terms = save(terms.repartitionByRange(*order).sortWithinPartitions(*order), "term_stats", ("bucket",))
+    order = ["bucket", "term", "block"]
+    save(stored_blocks(blocks, terms).repartitionByRange(*order).sortWithinPartitions(*order), "postings", ("bucket",))
+    save(embedder.attach(stored, "text", "vector").select("chunk_id", "vector"), "vectors")
+    done = spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("built_at"))
+    done.write.mode("append").parquet(os.path.join(path, MANIFEST))
 
 
 def load_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {part: spark.read.parquet(os.path.join(path, part)) for part in PARTS}
+    at = _latest(spark, path)
+    return {part: spark.read.parquet(os.path.join(at, part)) for part in PARTS}
 
 
 def open_index(chunks: DataFrame, embedder: Embedder, path: str, force_rebuild: bool = False) -> dict[str, DataFrame]:

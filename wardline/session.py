@@ -65,8 +65,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def is_small(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; never counts further than that."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True when ``df`` has at most ``max_rows`` rows; partitions are read until that many are seen."""
+    return len(df.select(F.lit(True)).take(max_rows + 1)) <= max_rows
 
 
 def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
