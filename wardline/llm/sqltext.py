@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardline.llm import pii, quality, secrets
+from wardline.llm import pii, quality, secrets, spelling
 
 SQL: dict[str, str] = {}
 
@@ -164,3 +164,43 @@ WITH v AS (
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::int AS rank, vec_id, score
 FROM s QUALIFY rank <= 5
 """
+
+# CRC-32 by half bytes, low half first; its table of 16 follows from the polynomial.
+_CRC_TABLE = "list_transform(range(16), lambda i: list_reduce([i, 0, 0, 0, 0], lambda c, x: if(c & 1 = 1, xor(c >> 1, 3988292384), c >> 1)))"
+_HALVES = """list_transform(range(len(h)), lambda i: instr('0123456789ABCDEF', h[2 * (i // 2) + if(i % 2 = 0, 2, 1)]) - 1)"""
+
+SQL["op11_spelling_groups"] = f"""
+WITH RECURSIVE t AS (SELECT {_CRC_TABLE} AS tab),
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '{spelling.RUN}')), '{spelling.UPPER}', '{spelling.LOWER}') AS run
+  FROM documents
+), each AS (SELECT run, hex(doc_id || ':' || run) AS h, count(*) AS c FROM runs GROUP BY ALL),
+hashed AS (
+  SELECT run, c, xor(list_reduce(list_prepend(4294967295, {_HALVES}), lambda s, x: xor(s >> 4, tab[(xor(s, x) & 15) + 1])), 4294967295) AS h
+  FROM each, t
+), thin AS (
+  SELECT CASE WHEN h % {spelling.THIN} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c
+  FROM hashed
+), words AS (
+  SELECT word, sum(c)::bigint AS n FROM thin WHERE length(word) >= {spelling.LEAST_LENGTH}
+  GROUP BY word HAVING sum(c) >= {spelling.LEAST_COUNT}
+), holes AS (
+  SELECT word, n, left(word, i) || '?' || substr(word, i + 2) AS hole, left(word, i) || substr(word, i + 2) AS less
+  FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM holes a JOIN holes b ON a.hole = b.hole AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM holes a JOIN words b ON a.less = b.word
+  UNION SELECT b.word, a.word, a.n FROM holes a JOIN words b ON a.less = b.word
+), best AS (
+  SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near FROM near
+  QUALIFY row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) = 1
+), forms AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.near_n >= {spelling.RATIO} * w.n THEN b.near END AS form,
+         CASE WHEN b.near_n >= {spelling.RATIO} * w.n THEN b.near_n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word
+), chain AS (
+  SELECT word, form, word AS at FROM forms
+  UNION ALL SELECT c.word, f.form, f.word FROM chain c JOIN forms f ON c.form = f.word
+)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n FROM forms f JOIN chain c ON c.word = f.word AND c.form IS NULL
+"""
