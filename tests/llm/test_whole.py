@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import collections
+import math
 import random
 import re
+import zlib
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from wardline.llm import bpe, pfair, secrets
+from wardline.llm import bpe, features, jaccard, mixlm, pfair, secrets
 from wardline.operators.scoring import LexiconScorer, PandasScorer
 from wardline.streaming import gate
 
@@ -120,3 +124,74 @@ def test_response_time_ends_with_the_finish_line_among_all_lines(spark):
     audited = gate.audit_answers(gate.assemble_batch(df), LexiconScorer({"evil": 200}))
     log = {r["request_id"]: r["response_time"] for r in gate.completion_log(audited, "finish_ts").collect()}
     assert log == {"a": 4.0, "cut": 3.0}
+
+
+def linked(docs, want_pairs=()):
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.digests(docs, jaccard.jaccard_components(docs)).collect()}
+    return [got[a] == got[b] for a, b in want_pairs]
+
+
+@pytest.mark.parametrize("partitions", ["4", "200"])
+def test_words_whose_short_hashes_meet_are_not_linked(spark, partitions):
+    """One-word texts that an earlier version took for equal, and two runs of 1,024 letters with equal
+    polynomial hashes modulo 2**64."""
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    texts = ["w436709", "w1035937", "w1066493", "w1765225", thue, thue.translate(str.maketrans("ab", "ba")), "same same", "SAME same"]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, sign string").repartition(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        assert linked(docs, [(0, 1), (2, 3), (4, 5), (6, 7)]) == [False, False, False, True]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_words_alone_decide_where_all_hashes_meet(spark, monkeypatch):
+    """With sent features cut to a few bits nearly all shingles look shared; links stay exact."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(120):
+        own = [rng.choice(words) for _ in range(rng.randrange(1, 60))]
+        rows.append((3 * i, " ".join(own)))
+        near = list(own)
+        near[rng.randrange(len(near))] = "changed"
+        rows += [(3 * i + 1, " ".join(near)), (3 * i + 2, " ".join(own[: max(1, len(own) - 2)]))]
+    whole = features.packed
+    monkeypatch.setattr(features, "packed", lambda docs, doc, text, of, sized: whole(docs, doc, text, lambda *a: coarse(of(*a)), sized))
+
+    def coarse(found):
+        owner, value, other = found
+        cut = np.lexsort((other, value >> np.uint64(54), owner))
+        return owner[cut], (value[cut] >> np.uint64(54)) << np.uint64(54), other[cut]
+
+    sets = {d: jaccard.word_sets([t]) for d, t in rows}
+    parent = {d: d for d in sets}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = jaccard.jaccard_components(docs).collect()
+    assert {r["doc"]: r["component"] for r in found} == {d: root(d) for d in sets}
+    assert {r["doc"]: r["n_shingles"] for r in found} == {d: len(s) for d, s in sets.items()}
+
+
+def test_language_model_tells_structured_words_apart(spark):
+    thue = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    rows = [(i, t) for i, t in enumerate([thue, thue.translate(str.maketrans("ab", "ba")), "cd", "cd ef"] * 4)]
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    counts = collections.Counter(w for d, t in rows if not held(d) for w in [*t.split(), "\n"])
+    total, distinct = sum(counts.values()), len(counts)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    for r in mixlm.score(docs).collect():
+        tokens = [*rows[r["doc"]][1].split(), "\n"]
+        want = sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in tokens)
+        assert abs(r["base_score"] - want) < 1e-9 and r["n_known"] == sum(counts[w] > 0 for w in tokens)

@@ -4,7 +4,8 @@ Every task turns its texts into hashed features and packs them, by leading bits,
 block per bucket: four bytes a feature plus a short table of documents. A bucket's task
 sorts the features of all documents that begin with its bits, and hands back only those that
 more than one document has, packed again, by parts of the documents. The four bytes
-and the bucket's bits make a shared feature a candidate; what is built on top checks.
+and the bucket's bits make a shared feature a candidate only: different features may meet, so
+documents seem to share too much, never too little, and what is built on top compares texts.
 
 Blocks of a bucket are about as large as a shuffle partition of the input's text.
 """
@@ -16,10 +17,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.words import scrambled, slices, text_bytes
+from wardline.llm.words import scrambled, signatures, slices, text_bytes
 
 BLOCKS = "bucket int, ids binary, counts binary, features binary, codes binary"
-SHARED = "doc bigint, size int, sign bigint, features array<bigint>, documents array<int>"
+SHARED = "doc bigint, size int, lost int, sign bigint, sign2 bigint, features array<bigint>, documents array<int>"
 MET = "part int, kind int, top int, ids binary, counts binary, features binary, more binary"
 
 
@@ -31,7 +32,9 @@ def bucket_bits(df: DataFrame) -> int:
 
 def packed(docs: DataFrame, doc: str, text: str, features: Callable, sized: bool) -> DataFrame:
     """Blocks of features. ``features(raw, offsets)`` gives arrays (document, hash, code) of a slice
-    of texts, sorted by document; code is None or four bytes that say more of the feature."""
+    of texts, sorted by document; code is None or four bytes that say more of the feature. With
+    ``sized`` the third is a second hash, and each document's number of features is sent too,
+    its signature and how many features it loses where only the sent bits tell them apart."""
     bits = bucket_bits(docs)
 
     def pack(batches):
@@ -43,7 +46,8 @@ def packed(docs: DataFrame, doc: str, text: str, features: Callable, sized: bool
             ids = batch.column("doc").to_numpy(zero_copy_only=False).astype(np.int64)
             raw, offsets = text_bytes(batch.column("text"))
             owner, value, code = features(raw, offsets)
-            rows = []
+            rows, other = [], code
+            code = None if sized else code
             bucket = (value >> np.uint64(64 - bits)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(2**bits + 1))
@@ -55,10 +59,11 @@ def packed(docs: DataFrame, doc: str, text: str, features: Callable, sized: bool
                 rows.append((int(b), ids[who].tobytes(), counts.astype(np.int32).tobytes(), low[mine].tobytes(), more))
             if sized:
                 size = np.bincount(owner, minlength=len(ids)).astype(np.int32)
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(value >> np.uint64(20))])
-                ends = np.cumsum(size)
-                sign = sums[ends] - sums[ends - size]
-                rows.append((-1 - int(ids[0] % 2**bits), ids.tobytes(), size.tobytes(), sign.tobytes(), b""))
+                sent = value >> np.uint64(32 - bits)  # sorted within a document, as the hashes are
+                same = (sent[1:] == sent[:-1]) & (owner[1:] == owner[:-1])
+                lost = np.bincount(owner[1:][same], minlength=len(ids))
+                more = np.column_stack([lost, signatures(owner, value, other, len(ids))]).astype(np.int64)
+                rows.append((-1 - int(ids[0] % 2**bits), ids.tobytes(), size.tobytes(), more.tobytes(), b""))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
@@ -75,17 +80,24 @@ class Bucket:
         self.number, self.bits = key[0].as_py(), bits
         self.ids, counts = self.joined(table, "ids", np.int64), self.joined(table, "counts", np.int32)
         if self.number < 0:
-            self.sizes, self.signs = counts, self.joined(table, "features", np.int64)
+            self.sizes, self.signs = counts, self.joined(table, "features", np.int64).reshape(-1, 3)
             return
-        low = self.joined(table, "features", np.uint32)
-        key = np.sort((low.astype(np.uint64) << np.uint64(32)) | np.arange(len(low), dtype=np.uint64))
-        self.order = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        self.low = (key >> np.uint64(32)).astype(np.uint32)
-        self.doc = np.repeat(self.ids, counts)[self.order]
-        new = np.ones(len(low), bool)
+        # four bytes a place wherever that is enough: a bucket's arrays are the largest there are
+        key = self.joined(table, "features", np.uint32).astype(np.uint64)
+        key <<= np.uint64(32)
+        key |= np.arange(len(key), dtype=np.uint64)
+        key.sort()
+        self.order = key.astype(np.uint32)
+        key >>= np.uint64(32)
+        self.low = key.astype(np.uint32)
+        del key
+        who = np.repeat(np.arange(len(self.ids), dtype=np.uint32), counts)
+        self.doc = self.ids[who[self.order]]
+        del who
+        new = np.ones(len(self.low), bool)
         new[1:] = self.low[1:] != self.low[:-1]
-        self.first, self.group = np.flatnonzero(new), np.cumsum(new) - 1
-        self.other = new.copy()  # not the same document as the one before, of the same feature
+        self.first, self.group = np.flatnonzero(new), np.cumsum(new, dtype=np.int32) - 1
+        self.other = new  # not the same document as the one before, of the same feature
         self.other[1:] |= self.doc[1:] != self.doc[:-1]
 
     @staticmethod
@@ -155,22 +167,28 @@ def gathered(found: DataFrame, bits: int, marked: bool = False) -> DataFrame:
         sized = np.repeat(one(1, "ids", np.int64), one(1, "counts", np.int32))
         every = np.unique(np.concatenate([doc, sized]))
         offsets = pa.array(np.append(np.searchsorted(doc, every), len(doc)).astype(np.int32))
-        at, sizes, signs = np.searchsorted(every, sized), np.zeros(len(every), np.int32), np.zeros(len(every), np.int64)
+        at, sizes = np.searchsorted(every, sized), np.zeros(len(every), np.int32)
         np.maximum.at(sizes, at, one(1, "more", np.int32))  # rows that share an id: the largest
-        signs[at] = one(1, "features", np.int64)
+        told, said = np.zeros((len(every), 3), np.int64), one(1, "features", np.int64).reshape(-1, 3)
+        told[at] = said
+        several = np.zeros(len(every), bool)  # rows of one id, but different texts: no signature
+        several[at[(said[:, 1:] != told[at, 1:]).any(axis=1)]] = True
+        np.maximum.at(told[:, 0], at, said[:, 0])
         return pa.Table.from_arrays(
-            [pa.array(every), pa.array(sizes), pa.array(signs), pa.ListArray.from_arrays(offsets, pa.array(features)),
+            [pa.array(every), pa.array(sizes), pa.array(told[:, 0].astype(np.int32)),
+             *[pa.array(told[:, k], mask=several) for k in (1, 2)], pa.ListArray.from_arrays(offsets, pa.array(features)),
              pa.ListArray.from_arrays(offsets, pa.array(more))],
-            names=["doc", "size", "sign", "features", "documents"],
+            names=["doc", "size", "lost", "sign", "sign2", "features", "documents"],
         )
 
     return found.groupBy("part").applyInArrow(gather, SHARED)
 
 
 def shared_features(docs: DataFrame, doc: str, text: str, features: Callable) -> DataFrame:
-    """A row (doc, size, sign, features, documents) for every document: the number of features,
-    which must be distinct, a hash of all of them, those that several documents have, each once,
-    and how many documents have each; ordered by that number, then by feature."""
+    """A row (doc, size, lost, sign, sign2, features, documents) for every document: the number of
+    features, which must be distinct, how many of them the sent bits do not tell apart, a digest
+    of all of them, those that several documents have, each once, and how many documents have
+    each; ordered by that number, then by feature."""
     bits = bucket_bits(docs)
 
     def meet(key, table):

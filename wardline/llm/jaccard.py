@@ -13,14 +13,19 @@ shingles bound their similarity.
 Shingles of one document alone lead the order and find nobody, so they are never shuffled
 as rows (``features``), and a document with more of them than any prefix is long is done.
 
-Documents of equal sets form a class that is joined once. Verification first links documents
-to hubs - for each, the smallest document that the most of its prefix shingles lead to - and
+Shared shingles travel as a few bytes. Different ones may so look equal, which only brings up
+more pairs; how many of its own a document loses that way is known and widens all bounds. Of
+pairs that pass, the words themselves are compared.
+
+Documents of equal sets (a 128-bit digest of them) form a class that is joined once. Verification
+first links documents to hubs - for each, the smallest document that the most of its prefix shingles lead to - and
 components of these links; then, of what is left, all pairs of different components that
 share enough prefix shingles. A pair inside one component would change nothing, so groups
 of thousands of near copies are not expanded.
 
 Null or blank texts have no shingles and link with nothing. Rows that share an id are one
-document. Rows without an id have a null component.
+document, with the shingles of all its texts. Rows without an id have a null component. Other
+columns play no part; an empty table gives no rows; long texts are whole.
 """
 
 from __future__ import annotations
@@ -34,6 +39,7 @@ from wardline.llm.store import written
 from wardline.llm.words import shingles
 
 THRESHOLD = 80
+WIDTH = 5
 LEVELS = (1, 2, 4, 8)
 #: Words of the parity bitmap of a document's shared shingles.
 BITMAP = 2
@@ -47,11 +53,13 @@ def _overlap(n):
 
 
 def shingle_sets(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc, n, alone, tokens, documents)``: set size, the number of shingles that no other
-    document has, and the others in joining order - rarest first - with their documents."""
-    rows = shared_features(docs, doc, text, lambda raw, offsets: (*shingles(raw, offsets), None))
-    alone = (F.col("size") - F.size("features")).alias("alone")
-    sets = rows.select("doc", F.col("size").alias("n"), alone, F.col("features").alias("tokens"), "documents")
+    """``(doc, n, alone, lost, sign, sign2, tokens, documents)``: set size, the number of shingles that
+    no other document has, and the others in joining order - rarest first - with their documents."""
+    rows = shared_features(docs, doc, text, shingles)
+    alone = (F.col("size") - F.col("lost") - F.size("features")).alias("alone")
+    sets = rows.select(
+        "doc", F.col("size").alias("n"), alone, "lost", "sign", "sign2", F.col("features").alias("tokens"), "documents"
+    )
     reach = F.col("n") - _overlap(F.col("n")) + max(LEVELS)
     near = (F.col("alone") < reach) & (F.size("tokens") > 0)
     return sets.withColumns(
@@ -63,7 +71,7 @@ def shingle_sets(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
-    """``(doc, n, alone, bitmap, level, at, token)``: the shared shingles of each document's longest
+    """``(doc, n, alone, lost, bitmap, level, at, token)``: the shared shingles of each document's longest
     prefix with their place among its shared ones, and the level the document asks for."""
     free = F.col("n") - _overlap(F.col("n")) - F.col("alone")
     room = lambda level: F.greatest(free + level, F.lit(0)).cast("int")
@@ -74,9 +82,9 @@ def prefixes(sets: DataFrame) -> DataFrame:
     longest = F.slice("tokens", 1, room(LEVELS[-1]))
     # a projection of its own: beside the explosion its columns would be worked out for each shingle
     once = sets.filter(F.size("tokens") > 0).select(
-        "doc", "n", "alone", bitmap(), level.alias("level"), longest.alias("longest")
+        "doc", "n", "alone", "lost", bitmap(), level.alias("level"), longest.alias("longest")
     )
-    return once.select("doc", "n", "alone", "bitmap", "level", F.posexplode("longest").alias("at", "token"))
+    return once.select("doc", "n", "alone", "lost", "bitmap", "level", F.posexplode("longest").alias("at", "token"))
 
 
 def bitmap():
@@ -89,13 +97,50 @@ def bitmap():
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b) those that are similar, by their shared shingles."""
-    side = lambda x: sets.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
+    """Of pairs (a, b) those that their shared shingles allow to be similar."""
+    columns = {"n": "n", "lost": "lost", "t": "tokens"}
+    side = lambda x: sets.select(F.col("doc").alias(x), *[F.col(c).alias(f"{k}_{x}") for k, c in columns.items()])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("t_a", "t_b"))
+    common = F.size(F.array_intersect("t_a", "t_b")) + F.least("lost_a", "lost_b")
     return both.filter(100 * common >= THRESHOLD * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
 
 
+def word_sets(texts) -> set:
+    """The shingles of a document's texts as tuples of its words."""
+    found = set()
+    for text in texts:
+        words = (text or "").encode().lower().split()  # bytes: A-Z and the six blanks only
+        found.update(zip(*[words[k:] for k in range(WIDTH)], strict=False) if len(words) >= WIDTH else [tuple(words)] if words else [])
+    return found
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """Of pairs (a, b) those whose words are similar."""
+    ids = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+    given = docs.select(F.col(doc).cast("bigint").alias("doc"), F.col(text).alias("text"))
+    texts = given.join(ids, "doc", "left_semi").groupBy("doc").agg(F.collect_set("text").alias("texts"))
+    side = lambda x: texts.select(F.col("doc").alias(x), F.col("texts").alias(f"texts_{x}"))
+    # a hub has many partners: its texts come second, and each partition builds its set once
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def compare(batches):
+        import pyarrow as pa
+
+        last, hub = None, set()
+        for batch in batches:
+            keep = []
+            for i, (b, texts_b) in enumerate(zip(batch.column("b").to_pylist(), batch.column("texts_b"), strict=True)):
+                if b != last:
+                    last, hub = b, word_sets(texts_b.as_py())
+                own = word_sets(batch.column("texts_a")[i].as_py())
+                common = len(own & hub)
+                if 100 * common >= THRESHOLD * (len(own) + len(hub) - common):
+                    keep.append(i)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    return both.select("a", "b", "texts_a", "texts_b").mapInArrow(compare, "a bigint, b bigint")
+
+
 def _needed():
     """The smallest intersection of similar sets of n_a and n_b members."""
     both = F.col("n_a") + F.col("n_b")
@@ -119,14 +164,20 @@ def behind(side: str):
 
 def _asked():
     """How many prefix shingles a pair must share: the level of its document that asks for
-    more, but never more than similar sets of their sizes have in common."""
-    return F.least(F.greatest("level_a", "level_b"), _needed())
+    more, but never more than similar sets of their sizes have in common and still show."""
+    shown = F.greatest(_needed() - F.col("lost_a") - F.col("lost_b"), F.lit(1))
+    return F.least(F.greatest("level_a", "level_b"), shown)
+
+
+def shared_posts(posts: DataFrame) -> DataFrame:
+    """``posts`` of the shingles that several prefixes have, with the smallest document of each."""
+    hubs = posts.groupBy("token").agg(F.min("doc").alias("hub"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    return posts.join(hubs, "token")
 
 
 def hub_pairs(posts: DataFrame) -> DataFrame:
     """For each document one pair: the hub that the most of its prefix shingles name."""
-    hubs = posts.groupBy("token").agg(F.min("doc").alias("hub"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    votes = posts.join(hubs, "token").filter("hub < doc").groupBy("doc", "hub").agg(F.count("*").alias("v"))
+    votes = posts.filter("hub < doc").groupBy("doc", "hub").agg(F.count("*").alias("v"))
     best = votes.groupBy("doc").agg(F.max(F.struct("v", -F.col("hub"))).alias("best"))
     return best.select(F.col("doc").alias("a"), (-F.col("best")["col2"]).alias("b"))
 
@@ -141,7 +192,7 @@ def remaining_pairs(posts: DataFrame, labels: DataFrame) -> DataFrame:
     )
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     open_tokens = mixed.filter("lo < hi").select("token")
-    columns = ["doc", "n", "alone", "bitmap", "level", "at", "component"]
+    columns = ["doc", "n", "alone", "lost", "bitmap", "level", "at", "component"]
     open_posts = written(placed.join(open_tokens, "token").select("token", *columns), "open")
     x, y = (open_posts.select("token", *[F.col(c).alias(f"{c}_{s}") for c in columns]) for s in "ab")
     later = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("doc_a") < F.col("doc_b")))
@@ -160,23 +211,18 @@ def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text")
     """``(doc, n_shingles, component)`` for every id of ``docs``."""
     sets = written(shingle_sets(docs, doc, text), "sets")
     live = sets.filter(F.size("tokens") > 0)
-    # equal sets: no shingle of one's own, equal sizes and equal sorted tokens
-    signed = live.select(
-        "doc", "n", F.xxhash64("tokens").alias("s"), F.xxhash64(F.reverse("tokens")).alias("r"),
-        (F.col("alone") == 0).alias("whole"),
-    )
-    classes = signed.filter("whole").groupBy("n", "s", "r").agg(F.min("doc").alias("class"))
+    signed = live.select("doc", "n", "sign", "sign2")
+    classes = signed.filter("sign IS NOT NULL").groupBy("n", "sign", "sign2").agg(F.min("doc").alias("class"))
     member = written(
-        signed.join(classes, ["n", "s", "r"], "left").select(
-            "doc", F.when(F.col("whole"), F.col("class")).otherwise(F.col("doc")).alias("class")
-        ),
-        "classes",
+        signed.join(classes, ["n", "sign", "sign2"], "left").select("doc", F.coalesce("class", "doc").alias("class")), "classes"
     )
     heads = live.join(member.filter("doc = class").select("doc"), "doc", "left_semi")
-    posts = written(prefixes(heads), "posts")
-    links = written(verified(hub_pairs(posts), heads), "links")
+    posts = written(shared_posts(written(prefixes(heads), "posts")), "shared")
+    likely = written(verified(hub_pairs(posts), heads), "likely")
+    links = written(confirmed(likely, docs, doc, text), "links")
     labels = components(links)
-    more = written(verified(remaining_pairs(posts, labels), heads), "links")
+    likely = written(verified(remaining_pairs(posts, labels), heads), "likely")
+    more = written(confirmed(likely, docs, doc, text), "links")
     labels = components(links.unionByName(more)) if more.limit(1).count() else labels
     # a head is the smallest of its class, so the smallest head is the smallest document
     of_class = member.join(labels, F.col("class") == F.col("node"), "left").select(

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.store import written
-from wardline.llm.words import Prefixes, lower_ascii, slices, text_bytes, words
+from wardline.llm.words import lower_ascii, slices, text_bytes, word_digests, words
 
 ORDERS = 4
 SLOTS = 4_096
@@ -76,7 +76,7 @@ def tokens_of(raw, offsets):
     starts, ends, owner = words(low, offsets)
     if not len(starts):
         return owner, np.zeros(0, np.int64)
-    return owner, Prefixes(low).hashes(starts, ends).view(np.int64)
+    return owner, word_digests(low, starts, ends)[:, 0].view(np.int64)
 
 
 def _summed(keys, counts):

@@ -106,16 +106,36 @@ def words(raw, offsets):
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+def word_digests(raw, starts, ends):
+    """Two 64-bit digests (n, 2) of each word: BLAKE2 of its bytes, once per distinct word."""
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    if not len(starts):
+        return np.zeros((0, 2), np.uint64)
+    step = np.zeros(len(raw) + 1, np.int8)
+    step[starts] += 1
+    step[ends] -= 1
+    flat = raw[np.cumsum(step[:-1], dtype=np.int8) > 0]
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    found = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(flat)]).dictionary_encode()
+    digests = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in found.dictionary.to_pylist())
+    return np.frombuffer(digests, np.uint64).reshape(-1, 2)[found.indices.to_numpy()]
+
+
 def shingles(raw, offsets, width: int = 5):
-    """``(document, hash)`` of the distinct word shingles of every document, sorted by document
-    and hash. A document of fewer words than ``width`` has one shingle, all of them."""
+    """``(document, hash, other)`` of the distinct word shingles of every document, sorted by
+    document and hash; ``other`` is a second, independent hash. A document of fewer words than
+    ``width`` has one shingle, all of them."""
     import numpy as np
 
     raw = lower_ascii(raw)
     starts, ends, owner = words(raw, offsets)
     if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    word = Prefixes(raw).hashes(starts, ends)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    word = word_digests(raw, starts, ends)
     n = len(word)
     count = np.bincount(owner, minlength=len(offsets) - 1)
     end_of = np.cumsum(count)[owner]
@@ -123,23 +143,28 @@ def shingles(raw, offsets, width: int = 5):
     at = np.arange(n)
     whole = at + width <= end_of
     short = (count[owner] < width) & (at == first)
-    total = np.zeros(n, np.uint64)
+    total = np.zeros((2, n), np.uint64)
     for k in range(width):
         factor = scrambled(np.array([k + 1001], np.uint64))[0] | np.uint64(1)
         there = at + k < end_of
-        total += np.where(there, np.roll(word, -k) * factor, np.uint64(0))
+        for lane in (0, 1):
+            total[lane] += np.where(there, np.roll(word[:, lane], -k) * factor, np.uint64(0))
     keep = whole | short
-    return distinct(owner[keep], scrambled(total[keep]), len(offsets) - 1)
+    owner, value, other = owner[keep], scrambled(total[0][keep]), scrambled(total[1][keep])
+    order = np.lexsort((value, owner))
+    owner, value, other = owner[order], value[order], other[order]
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
+    return owner[new], value[new], other[new]
+
 
+def signatures(owner, value, other, documents: int):
+    """Two 64-bit numbers (n, 2) for each document's set: BLAKE2 of all its hashes."""
+    import hashlib
 
-def distinct(owner, value, documents: int):
-    """Sorted distinct (document, hash); the hash keeps as many leading bits as fit beside the
-    number of the document in one 64-bit sorting key, 44 at least."""
     import numpy as np
 
-    bits = np.uint64(max(1, documents.bit_length()))
-    key = np.sort((owner.astype(np.uint64) << (np.uint64(64) - bits)) | (value >> bits))
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    key = key[new]
-    return (key >> (np.uint64(64) - bits)).astype(np.int64), key << bits
+    both = np.ascontiguousarray(np.stack([value, other], axis=1))
+    cuts = np.searchsorted(owner, np.arange(documents + 1)).tolist()
+    digests = [hashlib.blake2b(both[a:b], digest_size=16).digest() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
