@@ -91,6 +91,46 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(pick, streamed), key=str) == sorted(map(pick, batch), key=str)
 
 
+def awkward():
+    """Lines behind the end, errors and other ends behind it, copies, and an end that comes early."""
+    data = renumbered(rows(["ok", "bad", "noise", "fault"]))
+    data += [("ok", 4, delta("too late", "length"), 4), ("ok", 5, 'data: {"error": {"message": "behind"}}', 5)]
+    data += [("fault", 2, delta("more"), 2), ("fault", 3, delta(None, "stop"), 3), ("bad", 6, "data: [DONE]", 6)]
+    return data + data[::3]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_any_order_of_arrival_gives_one_result(spark, tmp_path, seed):
+    data, pick = awkward(), lambda r: tuple(r[c] for c in ("request_id", "content", "finish_reason", "error", "status", "n_lines", "lines", "finish_ts"))
+    batch = sorted(map(pick, G.assemble_batch(frame(spark, data)).collect()), key=str)
+    assert [b[2:5] for b in batch] == [("stop", None, "complete"), (None, "backend down", "error"), ("length", None, "complete"), ("stop", None, "complete")]
+    random.Random(seed).shuffle(data)
+    cut = sorted(random.Random(seed).sample(range(1, len(data)), 2))
+    feed = Feed(spark, tmp_path, lambda s: G.assemble_stream(s))
+    got = feed.run(data[: cut[0]], data[cut[0] : cut[1]], data[cut[1] :])
+    assert sorted(map(pick, got), key=str) == batch
+
+
+def test_dropped_lines_are_told(spark, tmp_path):
+    data = awkward()
+    random.Random(7).shuffle(data)
+    got = Feed(spark, tmp_path, lambda s: G.dropped_lines(s)).run(data[:9], data[9:])
+    end = {"ok": 2, "bad": 2, "noise": 3, "fault": 1}
+    numbers = {}
+    for n, seq, line, _ in data:
+        numbers.setdefault((n, seq), []).append(line)
+    want = []
+    for (n, seq), lines in numbers.items():
+        behind = seq > end[n]
+        want += [(n, seq, "behind")] * len([x for x in lines if x != "data: [DONE]"]) if behind else [(n, seq, "copy")] * (len(lines) - 1)
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_runs_of_numbers():
+    assert G.merged_runs([], [3, 1, 0]) == [0, 1, 3, 3]
+    assert G.merged_runs([0, 1, 3, 3], [2, 2, 9]) == [0, 3, 9, 9]
+
+
 def read_back(lines):
     text, finish = "", None
     for line in lines:

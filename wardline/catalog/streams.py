@@ -19,15 +19,29 @@ from wardline.streaming import runs as R
 FILES = 8
 
 
-def line_files(spark, sf) -> str:
+#: Of these conversations answers end with an error line, or have a line behind their end.
+FAULTY, TRAILING = "conv_id % 5 = 0", "conv_id % 3 = 0"
+BEHIND = 7
+
+
+def line_files(spark, sf, faults: bool = False) -> str:
     """Every assistant message as stream lines; a part of the lines arrives twice, and the
-    files mix requests and positions."""
+    files mix requests and positions. ``faults``: with errors, and lines behind the end."""
     answers = table(spark, sf, "conversations").where("role = 'assistant'").select(
         F.concat_ws("-", "conv_id", "turn").alias("request_id"), "text"
     )
-    rows = L.answer_lines(answers, ["request_id"], "text").withColumn(
-        "ts", F.timestamp_seconds(F.lit(1704067200) + F.col("seq"))
-    )
+    rows = L.answer_lines(answers, ["request_id"], "text")
+    if faults:
+        conv_id = F.split_part("request_id", F.lit("-"), F.lit(1)).cast("bigint").alias("conv_id")
+        rows = rows.select("*", conv_id)
+        ended = F.contains(F.col("line"), F.lit('"finish_reason":"stop"'))
+        failed = L.PREFIX + '{"error": {"message": "backend down"}}'
+        more = rows.where(f"line = '{L.PREFIX + L.DONE}' AND {TRAILING}").withColumns(
+            {"seq": F.col("seq") + BEHIND, "line": F.lit(L.PREFIX + '{"choices": [{"delta": {"content": "late"}}]}')}
+        )
+        rows = rows.withColumn("line", F.when(ended & F.expr(FAULTY), F.lit(failed)).otherwise(F.col("line")))
+        rows = rows.unionByName(more).drop("conv_id")
+    rows = rows.withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("seq")))
     copies = F.when(F.pmod(F.xxhash64("request_id", "seq"), F.lit(5)) == 0, 2).otherwise(1)
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
     path = scratch_path(spark, "lines")
@@ -35,8 +49,8 @@ def line_files(spark, sf) -> str:
     return path
 
 
-def _stream(spark, sf):
-    return R.read_lines(spark, line_files(spark, sf), 4)
+def _stream(spark, sf, faults: bool = False):
+    return R.read_lines(spark, line_files(spark, sf, faults), 4)
 
 
 def _finish(spark, stream, name):
@@ -120,9 +134,32 @@ FROM answers a LEFT JOIN bad ON bad.conv_id = a.conv_id AND bad.turn = a.turn"""
 )
 def stream_completion_log(spark, sf):
     """Finish time is that of the finish line; the end mark may come later."""
-    lines = spark.read.schema("request_id string, seq int, line string, ts timestamp").json(line_files(spark, sf))
-    log = G.completion_log(G.audit_answers(G.assemble_batch(lines), fx.CHAT_SCORER), "finish_ts")
-    return log.select("request_id", "tokens_used", "response_time", "finish_reason")
+    log = G.completion_log(G.stream_gate(_stream(spark, sf), fx.CHAT_SCORER), "finish_ts")
+    return _finish(spark, log, "log").select("request_id", "tokens_used", "response_time", "finish_reason")
+
+
+@query(
+    "stream_fault_log",
+    f"""WITH {POST_SQL}, x AS (SELECT a.conv_id, a.turn, a.text, bad.bad, a.{FAULTY} AS faulty
+ FROM answers a LEFT JOIN bad ON bad.conv_id = a.conv_id AND bad.turn = a.turn)
+SELECT conv_id || '-' || turn AS request_id, CASE WHEN faulty THEN '' ELSE text END AS response_content,
+ CASE WHEN faulty THEN 0 ELSE {tokens_sql('text')} END AS tokens_used, CASE WHEN faulty THEN 'backend down' END AS error,
+ CASE WHEN bad IS NOT NULL THEN 'content_filter' WHEN NOT faulty THEN 'stop' END AS finish_reason FROM x""",
+)
+def stream_fault_log(spark, sf):
+    """The log of a stream in which some answers end with an error and some go on behind their end."""
+    log = G.completion_log(G.stream_gate(_stream(spark, sf, True), fx.CHAT_SCORER), "finish_ts")
+    return _finish(spark, log, "log").select("request_id", "response_content", "tokens_used", "error", "finish_reason")
+
+
+@query(
+    "stream_lines_behind",
+    f"""SELECT {_REQUEST}, CAST({_PIECES} + 1 + {BEHIND} AS INT) AS seq FROM conversations WHERE role = 'assistant' AND {TRAILING}""",
+)
+def stream_lines_behind(spark, sf):
+    """Lines behind the end of their answer, each once, from the stream's side output."""
+    dropped = _finish(spark, G.dropped_lines(_stream(spark, sf, True)), "dropped")
+    return dropped.where("what = 'behind'").select("request_id", "seq").distinct()
 
 
 def _turn_files(spark, df):

@@ -6,13 +6,12 @@ gate expressions serve batch tables and streams.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from wardline.config import AUDIT_ERROR_MESSAGE, POST_THRESHOLD, SERVICE, STANDARD_REFUSAL
 from wardline.functions.rows import explode_positions
@@ -21,132 +20,179 @@ from wardline.operators import moderation as mod
 from wardline.operators.scoring import Scorer
 from wardline.streaming.lines import DONE, PREFIX, parse_lines, replacement_lines
 
-# One answer as the stream job hands it on. Rows and state cross to Python as one JSON string
-# each: converting many narrow columns for every small group would cost more than the work.
-ANSWER = """struct<content:string,finish_reason:string,error:string,status:string,n_lines:int,
-first_ms:bigint,last_ms:bigint,finish_ms:bigint,lines:array<string>>"""
-
-
-class _Answer:
-    """What is known of one answer so far: its lines by number, its end, and its time span."""
-
-    def __init__(self, held: str | None = None):
-        known = json.loads(held) if held else {}
-        self.lines: dict[int, list] = {int(s): x for s, x in known.get("lines", {}).items()}
-        self.end: int | None = known.get("end")
-        self.end_ms: int | None = known.get("end_ms")
-        self.finish: str | None = known.get("finish")
-        self.error: str | None = known.get("error")
-        self.first: int | None = known.get("first")
-        self.last: int | None = known.get("last")
-        self.released: bool = known.get("released", False)
-
-    def add(self, row: dict) -> None:
-        seq, kind, ms = row["seq"], row["kind"], row["ms"]
-        self.first = ms if self.first is None else min(self.first, ms)
-        self.last = ms if self.last is None else max(self.last, ms)
-        if self.released or seq in self.lines:
-            if seq == self.end:
-                self.end_ms = min(ms, self.end_ms or ms)
-            return
-        self.lines[seq] = [row.get("content") or "", row["line"] if kind in ("delta", "error") else ""]
-        if kind in ("done", "error") or row.get("finish_reason"):
-            if self.end is None or seq < self.end:
-                self.end, self.end_ms = seq, ms
-        self.finish = row.get("finish_reason") or self.finish
-        self.error = row.get("error") or self.error
-
-    def complete(self) -> bool:
-        return self.end is not None and all(s in self.lines for s in range(self.end + 1))
-
-    def release(self, status: str) -> str:
-        used = [self.lines[s] for s in sorted(self.lines) if self.end is None or s <= self.end]
-        self.released = True
-        return json.dumps({
-            "content": "".join(content for content, _ in used),
-            "finish_reason": self.finish,
-            "error": self.error,
-            "status": "error" if self.error else status,
-            "n_lines": len(used),
-            "first_ms": self.first,
-            "last_ms": self.last,
-            "finish_ms": self.end_ms,
-            "lines": [line for _, line in used if line],
-        })
-
-    def held(self) -> str:
-        span = {"first": self.first, "last": self.last}
-        if self.released:
-            return json.dumps({"released": True, **span})
-        return json.dumps({"lines": self.lines, "end": self.end, "end_ms": self.end_ms, "finish": self.finish, "error": self.error, **span})
-
-
-def assemble_stream(lines: DataFrame, delay: str = "10 minutes", idle_seconds: int = 600) -> DataFrame:
-    """One row per streamed answer, emitted once: when its end mark and every line before it
-    have arrived - in any order, repeated or not - or as ``incomplete`` after ``idle_seconds``
-    of event time without an end. After that only a marker is kept, until it times out, so
-    stragglers cannot emit an answer again. State per request is bounded by its answer.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+LINE = "seq int, kind string, content string, finish_reason string, error string, line string, ms bigint"
+#: What is kept of an answer beside its lines: where it ends, which lines are there (as first and
+#: last number of each run), the timer that waits for more, and whether it has been given out.
+HEADER = "end int, runs array<int>, due bigint, released boolean"
+EVENT = """request_id string, what string, seq int, content string, finish_reason string, error string, status string,
+n_lines int, first_ms bigint, last_ms bigint, finish_ms bigint, lines array<string>"""
+
+
+def merged_runs(runs: list[int], numbers: list[int]) -> list[int]:
+    """Runs [first, last, first, last, ...] of whole numbers with further numbers in them."""
+    spans = sorted([*zip(runs[::2], runs[1::2], strict=True), *((n, n) for n in numbers)])
+    out: list[int] = []
+    for first, last in spans:
+        if out and first <= out[-1] + 1:
+            out[-1] = max(out[-1], last)
+        else:
+            out += [first, last]
+    return out
+
+
+def put_together(lines: list[tuple], end: int | None, status: str) -> tuple[dict, list[tuple]]:
+    """An answer from its lines (as in ``LINE``) and the lines that are no part of it. Everything is
+    decided by number: of several lines of one number the smallest counts, and none behind the end."""
+    chosen: dict[int, tuple] = {}
+    dropped = []
+    for row in sorted(lines, key=lambda r: (r[0], [(x is not None, x or "") for x in r[1:6]], r[6])):
+        if end is not None and row[0] > end:
+            if row[1] != "done":
+                dropped.append((row[0], "behind"))
+        elif row[0] in chosen:
+            dropped.append((row[0], "copy"))
+        else:
+            chosen[row[0]] = row
+    used = list(chosen.values())
+    last = chosen.get(end)
+    answer = {
+        "content": "".join(r[2] or "" for r in used),
+        "finish_reason": last[3] if last else None,
+        "error": last[4] if last else None,
+        "status": "error" if last and last[4] else status,
+        "n_lines": len(used),
+        "first_ms": min(r[6] for r in used) if used else None,
+        "last_ms": max(r[6] for r in used) if used else None,
+        "finish_ms": last[6] if last else None,
+        "lines": [r[5] for r in used if r[1] in ("delta", "error")],
+    }
+    return answer, dropped
+
+
+def answer_events(lines: DataFrame, delay: str = "10 minutes", idle_seconds: int = 600) -> DataFrame:
+    """The stream's answers and dropped lines, told apart by ``what``: ``answer``, ``behind`` (a line
+    behind the end) and ``copy`` (a further line of one number).
+
+    An answer is emitted once: when its end mark and every line before it have arrived - in any
+    order, repeated or not - or as ``incomplete`` after ``idle_seconds`` of event time without
+    one. Its lines are a list that only grows until then; each batch adds to it and reads nothing
+    but a short header. After that the header alone is kept, until it times out as well, so
+    stragglers cannot emit an answer again. State per request is bounded by its answer. The
+    order in which lines arrive changes nothing but which batch emits them.
     """
+    lines.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     parsed = parse_lines(lines.withWatermark("ts", delay)).where(F.col("kind") != "other")
-    fields = ("seq", "kind", "content", "line", "finish_reason", "error")
-    packed = parsed.select(
-        "request_id", "ts", F.to_json(F.struct(*fields, F.unix_millis("ts").alias("ms"))).alias("row")
-    )
+    fields = [c.split()[0] for c in LINE.split(", ")]
+    rows = parsed.withColumn("ms", F.unix_millis("ts")).select("request_id", "ts", *fields)
+    names = [c.split()[0] for c in EVENT.replace("\n", " ").split(", ")]
+
+    class Assembly(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.lines = handle.getListState("lines", LINE)
+            self.header = handle.getValueState("header", HEADER)
+
+        def close(self) -> None:
+            pass
+
+        def known(self) -> tuple:
+            held = self.header.get()
+            return (held[0], list(held[1]), held[2], held[3]) if held is not None else (None, [], None, False)
+
+        def wait(self, due: int, before: int | None, timers) -> int:
+            due = max(due, before or 0, timers.getCurrentWatermarkInMs() + 1)
+            if due != before:
+                if before is not None:
+                    self.handle.deleteTimer(before)
+                self.handle.registerTimer(due)
+            return due
+
+        def events(self, key: tuple, answer: dict | None, dropped: list[tuple]) -> pd.DataFrame:
+            out = [{"request_id": key[0], "what": "answer", **answer}] if answer else []
+            out += [{"request_id": key[0], "what": why, "seq": seq} for seq, why in dropped]
+            frame = pd.DataFrame(out, columns=names).astype(object)
+            return frame.where(frame.notna(), None)
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            fresh = [
+                tuple(None if x is None or x != x else x for x in row)
+                for batch in rows
+                for row in zip(*(batch[c].tolist() for c in fields), strict=True)
+            ]
+            fresh = [(int(r[0]), *r[1:6], int(r[6])) for r in fresh]
+            if not fresh:
+                return
+            end, runs, due, released = self.known()
+            if released:
+                late = [(r[0], "copy" if end is None or r[0] <= end else "behind") for r in fresh if r[1] != "done" or end is None or r[0] <= end]
+                yield self.events(key, None, late)
+                return
+            ends = [r[0] for r in fresh if r[1] in ("done", "error") or r[3]]
+            end = min([*ends, *([end] if end is not None else [])], default=None)
+            runs = merged_runs(runs, [r[0] for r in fresh])
+            due = self.wait(max(r[6] for r in fresh) + idle_seconds * 1000, due, timerValues)
+            if end is not None and runs[0] == 0 and runs[1] >= end:
+                answer, dropped = put_together([*map(tuple, self.lines.get()), *fresh], end, "complete")
+                self.lines.clear()
+                self.header.update((end, [], due, True))
+                yield self.events(key, answer, dropped)
+            else:
+                self.lines.appendList(fresh)
+                self.header.update((end, runs, due, False))
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            end, _, due, released = self.known()
+            if released:
+                self.header.clear()
+                return
+            answer, dropped = put_together([*map(tuple, self.lines.get())], end, "incomplete")
+            self.lines.clear()
+            self.header.update((end, [], self.wait(due + idle_seconds * 1000, None, timerValues), True))
+            yield self.events(key, answer, dropped)
+
+    return rows.groupBy("request_id").transformWithStateInPandas(Assembly(), EVENT, "Append", "EventTime")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        answer = _Answer(state.get[0] if state.exists else None)
-        out = None
-        if state.hasTimedOut:
-            state.remove()
-            out = None if answer.released else answer.release("incomplete")
-        else:
-            for rows in batches:
-                for row in rows["row"].tolist():
-                    answer.add(json.loads(row))
-            if not answer.released and answer.complete():
-                out = answer.release("complete")
-            state.update((answer.held(),))
-            due = answer.last + idle_seconds * 1000
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        if out is not None:
-            yield pd.DataFrame({"request_id": [key[0]], "answer": [out]})
-
-    found = packed.groupBy("request_id").applyInPandasWithState(
-        step, "request_id string, answer string", "held string", "append", GroupStateTimeout.EventTimeTimeout
-    )
-    answers = found.select("request_id", F.from_json("answer", ANSWER).alias("a")).select("request_id", "a.*")
+
+def assemble_stream(lines: DataFrame, delay: str = "10 minutes", idle_seconds: int = 600) -> DataFrame:
+    """One row per streamed answer. ``last_ts`` is that of the last line that is part of it."""
+    answers = answer_events(lines, delay, idle_seconds).where("what = 'answer'").drop("what", "seq")
     times = {f"{c}_ts": F.timestamp_millis(f"{c}_ms") for c in ("first", "last", "finish")}
     return answers.withColumns(times).drop("first_ms", "last_ms", "finish_ms")
 
 
+def dropped_lines(lines: DataFrame, delay: str = "10 minutes", idle_seconds: int = 600) -> DataFrame:
+    """(request_id, seq, what) of the lines that became no part of an answer."""
+    return answer_events(lines, delay, idle_seconds).where("what <> 'answer'").select("request_id", "seq", "what")
+
+
 def assemble_batch(lines: DataFrame) -> DataFrame:
-    """The same rows from a finished table of lines."""
+    """The same rows from a finished table of lines; ``last_ts`` also counts lines behind the end."""
     once = parse_lines(lines).where(F.col("kind") != "other").groupBy("request_id", "seq").agg(
         F.min(F.struct("kind", "content", "finish_reason", "error", "line")).alias("r"), F.min("ts").alias("ts")
     )
     ends = (F.col("r.kind").isin("done", "error")) | F.col("r.finish_reason").isNotNull()
+    last = F.struct("seq", F.col("r.finish_reason").alias("finish"), F.col("r.error").alias("error"), "ts")
     per = once.groupBy("request_id").agg(
         F.array_sort(F.collect_list(F.struct("seq", "r"))).alias("_all"),
-        F.min(F.when(ends, F.col("seq"))).alias("_end"),
-        F.max("r.finish_reason").alias("finish_reason"),
-        F.max("r.error").alias("error"),
+        F.min(F.when(ends, last)).alias("_end"),
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
-        F.min(F.when(ends, F.struct("seq", "ts")))["ts"].alias("finish_ts"),
     )
-    used = F.filter("_all", lambda x: F.col("_end").isNull() | (x["seq"] <= F.col("_end")))
-    whole = F.col("_end").isNotNull() & (F.size("_used") == F.col("_end") + 1)
+    used = F.filter("_all", lambda x: F.col("_end").isNull() | (x["seq"] <= F.col("_end.seq")))
+    whole = F.col("_end").isNotNull() & (F.size("_used") == F.col("_end.seq") + 1)
     kept = F.filter("_used", lambda x: x["r"]["kind"].isin("delta", "error"))
+    error = F.col("_end.error")
     return per.withColumn("_used", used).select(
         "request_id",
         F.array_join(F.transform("_used", lambda x: F.coalesce(x["r"]["content"], F.lit(""))), "").alias("content"),
-        "finish_reason",
-        "error",
-        F.when(F.col("error").isNotNull(), "error").when(whole, "complete").otherwise("incomplete").alias("status"),
+        F.col("_end.finish").alias("finish_reason"),
+        error.alias("error"),
+        F.when(error.isNotNull(), "error").when(whole, "complete").otherwise("incomplete").alias("status"),
         F.size("_used").alias("n_lines"),
         "first_ts",
         "last_ts",
-        "finish_ts",
+        F.col("_end.ts").alias("finish_ts"),
         F.transform(kept, lambda x: x["r"]["line"]).alias("lines"),
     )
 
