@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,6 @@ from pyspark.sql import functions as F
 from wardline.config import RequestLimits
 
 
-
 def violations(limits: RequestLimits = RequestLimits(), columns: list[str] | None = None) -> Column:
     """Names of the request fields out of range; missing optional fields are fine, but a
     session is required when context is switched on."""
@@ -51,6 +51,37 @@ def duplicates(df: DataFrame, key: list[str], name: str, severity: str = "warnin
     return check(per_key, name, F.col("_n") > 1, severity)
 
 
+@dataclass(frozen=True)
+class Constraint:
+    """A condition that marks a bad row, as SQL; unknown counts as good."""
+
+    name: str
+    bad: str
+    severity: str = "error"
+
+
+def source_checks(df: DataFrame, source: str, constraints: list[Constraint], key: list[str] | None = None) -> DataFrame:
+    """(source, name, n_rows, n_bad, status) for every constraint, from one aggregation over the
+    source. ``key``: also how many keys occur more than once; rows are then summed up by key first,
+    within each task before they are shuffled, so a key of any share of the rows does no harm."""
+    bad = {f"_bad_{i}": F.count_if(F.coalesce(F.expr(c.bad), F.lit(False))) for i, c in enumerate(constraints)}
+    sums = [F.count("*").alias("_rows"), *[c.alias(n) for n, c in bad.items()]]
+    if key:
+        per_key = df.groupBy(*key).agg(*sums)
+        again = [F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("_rows", *bad)]
+        total = per_key.agg(*again, F.count_if(F.col("_rows") > 1).alias("_repeated"))
+        constraints = [*constraints, Constraint("repeated", "false", "warning")]
+    else:
+        total = df.agg(*sums)
+    counts = [*bad, "_repeated"] if key else list(bad)
+    rows = F.array(*[
+        F.struct(F.lit(c.name).alias("name"), F.col("_rows").alias("n_rows"), F.col(n).alias("n_bad"), F.lit(c.severity).alias("_severity"))
+        for c, n in zip(constraints, counts, strict=True)
+    ])
+    status = F.when(F.col("n_bad") > 0, F.col("_severity")).when(F.col("n_rows") == 0, "warning").otherwise("pass")
+    return total.select(F.inline(rows)).select(F.lit(source).alias("source"), "name", "n_rows", "n_bad", status.alias("status"))
+
+
 def all_checks(*checks: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 

@@ -6,6 +6,7 @@ Scoring works on the array inside its row, so no shuffle follows it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Protocol
 
@@ -39,7 +40,9 @@ class LexiconScorer:
 
     @staticmethod
     def _whole(words: Sequence[str]) -> Column:
-        return F.lit(f"(?<!{WORD})(?:{'|'.join(words)})(?!{WORD})")
+        # words are plain text: what means something in a pattern is escaped
+        plain = (re.sub(r"[^\w\s]", lambda m: "\\" + m[0], w) for w in words)
+        return F.lit(f"(?<!{WORD})(?:{'|'.join(plain)})(?!{WORD})")
 
     def weight(self, text: Column) -> Column:
         low = F.lower(text)

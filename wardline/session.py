@@ -28,11 +28,14 @@ def build_session(app: str = "wardline", master: str | None = None, **conf: str)
     return b.getOrCreate()
 
 
+_TEMPORARY: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where neither the setting nor a checkpoint directory exists - single-machine
-    tests - a temporary folder is made and recorded in the session.
+    Only where the setting is absent - single-machine tests - a temporary folder is made, one
+    for each application.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -40,9 +43,10 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    made = tempfile.mkdtemp(prefix="wardline-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _TEMPORARY:  # a core setting cannot be changed in a running session
+        _TEMPORARY[app] = tempfile.mkdtemp(prefix="wardline-")
+    return _TEMPORARY[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
