@@ -234,3 +234,13 @@ def test_registry_is_loaded_again_when_old(spark, tmp_path, refresh, loads):
 
 def test_line_schema_is_the_declared_one():
     assert STREAM_LINE == "request_id string, seq int, line string, ts timestamp"
+
+
+def test_response_time_ends_with_the_finish_line_among_all_lines(spark):
+    lines = ['{"choices": [{"delta": {"content": "Fine."}}]}', '{"choices": [{"delta": {}, "finish_reason": "stop"}]}', "[DONE]"]
+    rows = [("a", seq, f"data: {line}", at) for seq, (line, at) in enumerate(zip(lines, (0, 4, 60), strict=True))]
+    rows += [("a", 1, rows[1][2], 9), ("cut", 0, rows[0][2], 0), ("cut", 1, rows[0][2], 3)]
+    df = spark.createDataFrame(rows, "request_id string, seq int, line string, t int").withColumn("ts", F.timestamp_seconds("t"))
+    audited = G.audit_answers(G.assemble_batch(df), LexiconScorer({"evil": 200}))
+    log = {r["request_id"]: r["response_time"] for r in G.completion_log(audited, "finish_ts").collect()}
+    assert log == {"a": 4.0, "cut": 3.0}
