@@ -10,11 +10,8 @@ import zlib
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from wardline.llm import bpe, features, jaccard, mixlm, pfair, secrets
-from wardline.operators.scoring import LexiconScorer, PandasScorer
-from wardline.streaming import gate
 
 
 def test_mixture_follows_the_weights_of_many_sources(spark):
@@ -96,36 +93,6 @@ def test_bpe_of_long_unbroken_runs():
         assert tokens.tolist() == exact.encode_ordinary(text) and bytes(raw).decode() == text
 
 
-def test_only_the_failing_text_of_a_batch_is_unscored(spark):
-    def fragile_model():
-        def model(texts):
-            if any("poison" in t for t in texts):
-                raise RuntimeError
-            kept = [t for t in texts if t != "short"]  # a result is missing
-            return [("LABEL_0" if "bad" in t else "LABEL_1", len(t) / 100) for t in kept]
-
-        return model
-
-    texts = [["ok", "bad one"], ["poison"], [], ["fine", "poison too", "last"], ["short"], ["x", "short"]] + [[f"t{i}"] for i in range(50)]
-    df = spark.createDataFrame(list(enumerate(texts)), "id int, parts array<string>").coalesce(1)
-    got = PandasScorer(fragile_model).attach(df, "parts", "s", ["id"]).select("id", F.col("s")).collect()
-    want = {
-        i: [(None, None) if "poison" in t or t == "short" else ("LABEL_0" if "bad" in t else "LABEL_1", len(t) / 100) for t in row]
-        for i, row in enumerate(texts)
-    }
-    assert {r["id"]: [tuple(x) for x in r["s"]] for r in got} == want
-
-
-def test_response_time_ends_with_the_finish_line_among_all_lines(spark):
-    lines = ['{"choices": [{"delta": {"content": "Fine."}}]}', '{"choices": [{"delta": {}, "finish_reason": "stop"}]}', "[DONE]"]
-    rows = [("a", seq, f"data: {line}", at) for seq, (line, at) in enumerate(zip(lines, (0, 4, 60), strict=True))]
-    rows += [("a", 1, rows[1][2], 9), ("cut", 0, rows[0][2], 0), ("cut", 1, rows[0][2], 3)]
-    df = spark.createDataFrame(rows, "request_id string, seq int, line string, t int").withColumn("ts", F.timestamp_seconds("t"))
-    audited = gate.audit_answers(gate.assemble_batch(df), LexiconScorer({"evil": 200}))
-    log = {r["request_id"]: r["response_time"] for r in gate.completion_log(audited, "finish_ts").collect()}
-    assert log == {"a": 4.0, "cut": 3.0}
-
-
 def linked(docs, want_pairs=()):
     got = {r["doc_id"]: r["component_id"] for r in jaccard.digests(docs, jaccard.jaccard_components(docs)).collect()}
     return [got[a] == got[b] for a, b in want_pairs]
