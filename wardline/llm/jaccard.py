@@ -70,21 +70,28 @@ def shingle_sets(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
     )
 
 
-def prefixes(sets: DataFrame) -> DataFrame:
-    """``(doc, n, alone, lost, bitmap, level, at, token)``: the shared shingles of each document's longest
-    prefix with their place among its shared ones, and the level the document asks for."""
-    free = F.col("n") - _overlap(F.col("n")) - F.col("alone")
-    room = lambda level: F.greatest(free + level, F.lit(0)).cast("int")
-    cost = lambda k: F.aggregate(F.slice("documents", 1, room(k)), F.lit(0).cast("bigint"), lambda a, d: a + d)
+def profiles(sets: DataFrame) -> DataFrame:
+    """``(doc, n, alone, lost, bitmap, level, longest)``: the level that each document asks for and the
+    shared shingles of its longest prefix."""
+    cost = lambda k: F.aggregate(F.slice("documents", 1, _room(k)), F.lit(0).cast("bigint"), lambda a, d: a + d)
     level = F.lit(LEVELS[-1])
     for k in LEVELS[-2::-1]:
         level = F.when(cost(k) <= COSTLY, F.lit(k)).otherwise(level)
-    longest = F.slice("tokens", 1, room(LEVELS[-1]))
-    # a projection of its own: beside the explosion its columns would be worked out for each shingle
-    once = sets.filter(F.size("tokens") > 0).select(
+    longest = F.slice("tokens", 1, _room(LEVELS[-1]))
+    return sets.filter(F.size("tokens") > 0).select(
         "doc", "n", "alone", "lost", bitmap(), level.alias("level"), longest.alias("longest")
     )
-    return once.select("doc", "n", "alone", "lost", "bitmap", "level", F.posexplode("longest").alias("at", "token"))
+
+
+def _room(level: int):
+    """How many shared shingles a prefix of that level has."""
+    return F.greatest(F.col("n") - _overlap(F.col("n")) - F.col("alone") + level, F.lit(0)).cast("int")
+
+
+def prefixes(known: DataFrame) -> DataFrame:
+    """``(doc, at, token)``: the shingles of the longest prefixes with their place among the shared
+    ones. What belongs to the document stays in ``profiles`` and does not travel with them."""
+    return known.select("doc", F.posexplode("longest").alias("at", "token"))
 
 
 def bitmap():
@@ -147,14 +154,26 @@ def _needed():
     return F.floor((both * THRESHOLD + 99 + THRESHOLD) / (100 + THRESHOLD))
 
 
-def _may_link():
-    """Whether the documents can have enough in common: at most what lies before the met shingle
-    in the one and in the other, and from it on; and they differ in the shingles each has
-    alone and at least in as many others as bits of the bitmaps."""
-    most = F.least("at_a", "at_b") + F.least(behind("a"), behind("b"))
+def _differ_little():
+    """Whether the documents can have enough in common: they differ in the shingles each has alone
+    and at least in as many others as bits of the bitmaps."""
     bits = sum((F.bit_count(F.col("bitmap_a")[k].bitwiseXOR(F.col("bitmap_b")[k])) for k in range(BITMAP)), F.lit(0))
     differ = F.col("alone_a") + F.col("alone_b") + bits
-    return (most >= _needed()) & (F.col("n_a") + F.col("n_b") - differ >= 2 * _needed())
+    return F.col("n_a") + F.col("n_b") - differ >= 2 * _needed()
+
+
+def _may_link():
+    """As ``_differ_little``; and in common is at most what lies before the met shingle in the one
+    and in the other, and from it on."""
+    most = F.least("at_a", "at_b") + F.least(behind("a"), behind("b"))
+    return (most >= _needed()) & _differ_little()
+
+
+def possible(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Of pairs (a, b) those that sizes and bitmaps allow to be similar."""
+    columns = ["n", "alone", "bitmap"]
+    side = lambda x: known.select(F.col("doc").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+    return pairs.join(side("a"), "a").join(side("b"), "b").filter(_differ_little()).select("a", "b")
 
 
 def behind(side: str):
@@ -182,18 +201,18 @@ def hub_pairs(posts: DataFrame) -> DataFrame:
     return best.select(F.col("doc").alias("a"), (-F.col("best")["col2"]).alias("b"))
 
 
-def remaining_pairs(posts: DataFrame, labels: DataFrame) -> DataFrame:
+def remaining_pairs(posts: DataFrame, known: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs of different components that share as many shingles of the pair's prefixes as
     they must. Of two documents, the l-prefix of one is its first n - o + l shingles, where o
     is the intersection that their two sizes need. A pair also goes where what lies behind the
     last shared prefix shingle is too little to reach o."""
-    placed = posts.join(labels, F.col("doc") == F.col("node"), "left").withColumn(
-        "component", F.coalesce("component", "doc")
+    placed = posts.join(labels, F.col("doc") == F.col("node"), "left").select(
+        "token", "doc", "at", F.coalesce("component", "doc").alias("component")
     )
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     open_tokens = mixed.filter("lo < hi").select("token")
     columns = ["doc", "n", "alone", "lost", "bitmap", "level", "at", "component"]
-    open_posts = written(placed.join(open_tokens, "token").select("token", *columns), "open")
+    open_posts = written(placed.join(open_tokens, "token").join(known.drop("longest"), "doc").select("token", *columns), "open")
     x, y = (open_posts.select("token", *[F.col(c).alias(f"{c}_{s}") for c in columns]) for s in "ab")
     later = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("doc_a") < F.col("doc_b")))
     inside = lambda s: behind(s) > _needed() - _asked()
@@ -217,11 +236,14 @@ def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text")
         signed.join(classes, ["n", "sign", "sign2"], "left").select("doc", F.coalesce("class", "doc").alias("class")), "classes"
     )
     heads = live.join(member.filter("doc = class").select("doc"), "doc", "left_semi")
-    posts = written(shared_posts(written(prefixes(heads), "posts")), "shared")
-    likely = written(verified(hub_pairs(posts), heads), "likely")
+    known = written(profiles(heads), "profiles")
+    posts = written(shared_posts(prefixes(known)), "shared")
+    few = written(possible(hub_pairs(posts), known), "possible")
+    likely = written(verified(few, heads), "likely")
     links = written(confirmed(likely, docs, doc, text), "links")
     labels = components(links)
-    likely = written(verified(remaining_pairs(posts, labels), heads), "likely")
+    few = written(remaining_pairs(posts, known, labels), "possible")
+    likely = written(verified(few, heads), "likely")
     more = written(confirmed(likely, docs, doc, text), "links")
     labels = components(links.unionByName(more)) if more.limit(1).count() else labels
     # a head is the smallest of its class, so the smallest head is the smallest document
