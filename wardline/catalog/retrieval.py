@@ -232,14 +232,14 @@ def cell_quality(spark, sf):
     centres = cells.fit_centres(lines, FINE_CELLS)
     exact = R.cosine_topk(asked, lines, 3).groupBy("query_id").agg(F.min("score").alias("bar"), F.count("*").alias("k"))
     near = cells.cell_topk(asked, lines, 3, centres, FINE_PROBES).select("query_id", "score")
-    pairs = cells.candidate_pairs(asked, lines, centres, FINE_PROBES).agg(F.sum("n").alias("pairs"))
-    total = asked.agg(F.count("*").alias("q")).crossJoin(lines.agg(F.count("*").alias("c")))  # a row each
+    pairs = cells.candidate_pairs(asked, lines, centres, FINE_PROBES).agg(F.sum("n").alias("n"))
     # a line as close as the last of the exact hits is as good as that one
-    found = near.join(exact, "query_id").where("score >= bar").agg(F.count("*").alias("found"))
-    met = exact.agg(F.count("*").alias("n_queries"), F.sum("k").alias("n_hits")).crossJoin(found)
-    return met.crossJoin(pairs).crossJoin(total).select(
-        "n_queries", "n_hits", (F.col("found") >= 0.9 * F.col("n_hits")).alias("recall_reached"),
-        (F.col("pairs") < 0.1 * F.col("q") * F.col("c")).alias("few_candidates"),
+    found = near.join(exact, "query_id").where("score >= bar").agg(F.count("*").alias("n"))
+    counts = (asked.agg(F.count("*").alias("n")), lines.agg(F.count("*").alias("n")))
+    all_pairs = counts[0].scalar() * counts[1].scalar()
+    return exact.agg(F.count("*").alias("n_queries"), F.sum("k").alias("n_hits")).select(
+        "n_queries", "n_hits", (found.scalar() >= 0.9 * F.col("n_hits")).alias("recall_reached"),
+        (pairs.scalar() < 0.1 * all_pairs).alias("few_candidates"),
     )
 
 

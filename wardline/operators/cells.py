@@ -176,9 +176,10 @@ def exact_topk(queries: DataFrame, corpus: DataFrame, k: int, centres: np.ndarra
     placed = materialise(in_cells(corpus, "chunk_id", centres), "cells")
     looked = materialise(probes(queries, centres, len(centres)), "probes")
     zeros = placed.where(F.col("cell") == ZERO_CELL).select("chunk_id").orderBy("chunk_id").limit(k)
+    zeros = zeros.agg(F.collect_list("chunk_id").alias("ids")).scalar()  # k ids at most
     asked = _probed(looked, ["query_id", "vector"], 0, n_probes).drop("angle")
     first = ranked_within(asked, placed.where(F.col("cell") != ZERO_CELL).drop("angle"), k)
-    blank = looked.select("query_id").join(F.broadcast(zeros)).select("query_id", "chunk_id", F.lit(0.0).alias("score"))
+    blank = looked.select("query_id", F.explode(zeros).alias("chunk_id")).withColumn("score", F.lit(0.0))
     first = materialise(top_k(first.unionByName(blank), k).drop("rank"), "first")
     bars = first.groupBy("query_id").agg(F.min("score").alias("score"), F.count("*").alias("n"))
     bars = bars.select("query_id", F.when(F.col("n") == k, F.col("score") - SLACK).otherwise(F.lit(-2.0)).alias("bar"))

@@ -203,14 +203,14 @@ def _score_postings(k: int, params: RetrievalParams):
 def _scored(weighed: DataFrame, rows: DataFrame, size: DataFrame, score) -> DataFrame:
     """(query_id, chunk_id, score) of all shards of the corpus against all blocks of queries.
     ``size`` has one row (n): how many words or postings there are to score."""
-    ceil = lambda n, most: F.greatest(F.ceil(n / most).cast("int"), F.lit(1))
-    shards = size.select(F.coalesce(ceil(F.col("n"), SHARD_WORDS), F.lit(1)).alias("_shards"))
-    parts = weighed.agg(ceil(F.count_distinct("query_id"), PART_QUERIES).alias("_parts"))
-    grid = F.broadcast(shards.crossJoin(parts))  # one row
+    ceil = lambda n, most: F.greatest(F.ceil(F.coalesce(n, F.lit(0)) / most).cast("int"), F.lit(1))
+    shards = size.select(ceil(F.col("n"), SHARD_WORDS).alias("n")).scalar()
+    parts = weighed.agg(ceil(F.count_distinct("query_id"), PART_QUERIES).alias("n")).scalar()
+    grid = {"_shards": shards, "_parts": parts}
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     one = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    left = weighed.crossJoin(grid).withColumn("_part", one("query_id", "_parts")).withColumn("_shard", every("_shards"))
-    right = rows.crossJoin(grid).withColumn("_shard", one("chunk_id", "_shards")).withColumn("_part", every("_parts"))
+    left = weighed.withColumns(grid).withColumn("_part", one("query_id", "_parts")).withColumn("_shard", every("_shards"))
+    right = rows.withColumns(grid).withColumn("_shard", one("chunk_id", "_shards")).withColumn("_part", every("_parts"))
     left, right = (df.drop("_shards", "_parts") for df in (left, right))
     # columns of their own: both sides may come from one table
     right = right.select(*[F.col(c).alias(c) for c in right.columns])
@@ -223,7 +223,9 @@ def search_index(
 ) -> DataFrame:
     """BM25 top-k of (query_id, term) over the tables of an index, as ``top_k`` gives it."""
     terms, blocks, stats = index["term_stats"], index["postings"], index["corpus_stats"]
-    placed = asked.crossJoin(F.broadcast(stats)).withColumn("bucket", F.pmod(F.xxhash64("term"), "buckets").cast("int"))
+    placed = asked.withColumn("stats", stats.select(F.struct("n_chunks", "avg_length", "buckets").alias("s")).scalar())
+    placed = placed.select("query_id", "term", "stats.*")
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("term"), "buckets").cast("int"))
     average, one = F.col("average"), idf(F.col("n_chunks"), F.col("df"))
     weighed = placed.join(terms, ["bucket", "term"]).select(
         "query_id", "bucket", "term", one.alias("idf"), F.col("avg_length").alias("average"), "max_tf", "min_length"
@@ -259,9 +261,10 @@ def search_words(
     stats = words.agg(F.count("*").alias("n_chunks"), F.avg(size).alias("average"), F.sum(size).alias("n"))
     known = asked.select("term").distinct()
     distinct = explode_values(words, [], F.array_distinct("words"), "term").join(known, "term", "left_semi")
-    counted = distinct.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
+    counted = distinct.groupBy("term").agg(F.count("*").alias("df"))
+    counted = counted.withColumn("stats", stats.select(F.struct("n_chunks", "average").alias("s")).scalar())
     weighed = asked.join(counted, "term").select(
-        "query_id", "term", idf(F.col("n_chunks"), F.col("df")).alias("idf"), "average"
+        "query_id", "term", idf(F.col("stats.n_chunks"), F.col("df")).alias("idf"), F.col("stats.average").alias("average")
     )
     scores = _scored(weighed, words.select("chunk_id", "words"), stats.select("n"), _score_words(k, params))
     return top_k(scores, k).select("query_id", "chunk_id", "score", "rank")
