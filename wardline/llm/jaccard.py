@@ -53,8 +53,9 @@ def _overlap(n):
 
 
 def shingle_sets(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc, n, alone, lost, sign, sign2, tokens, documents)``: set size, the number of shingles that
-    no other document has, and the others in joining order - rarest first - with their documents."""
+    """``(doc, n, alone, lost, sign, sign2, level, tokens)``: set size, the number of shingles that no
+    other document has, the level that the document asks for, and the others in joining order -
+    rarest first."""
     rows = shared_features(docs, doc, text, shingles)
     alone = (F.col("size") - F.col("lost") - F.size("features")).alias("alone")
     sets = rows.select(
@@ -62,25 +63,18 @@ def shingle_sets(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
     )
     reach = F.col("n") - _overlap(F.col("n")) + max(LEVELS)
     near = (F.col("alone") < reach) & (F.size("tokens") > 0)
-    return sets.withColumns(
-        {
-            "tokens": F.when(near, F.col("tokens")).otherwise(F.array().cast("array<bigint>")),
-            "documents": F.when(near, F.col("documents")).otherwise(F.array().cast("array<int>")),
-        }
-    )
-
-
-def profiles(sets: DataFrame) -> DataFrame:
-    """``(doc, n, alone, lost, bitmap, level, longest)``: the level that each document asks for and the
-    shared shingles of its longest prefix."""
+    kept = F.when(near, F.col("tokens")).otherwise(F.array().cast("array<bigint>"))
     cost = lambda k: F.aggregate(F.slice("documents", 1, _room(k)), F.lit(0).cast("bigint"), lambda a, d: a + d)
     level = F.lit(LEVELS[-1])
     for k in LEVELS[-2::-1]:
         level = F.when(cost(k) <= COSTLY, F.lit(k)).otherwise(level)
+    return sets.select("doc", "n", "alone", "lost", "sign", "sign2", F.when(near, level).alias("level"), kept.alias("tokens"))
+
+
+def profiles(sets: DataFrame) -> DataFrame:
+    """``(doc, n, alone, lost, bitmap, level, longest)``: with the shared shingles of the longest prefix."""
     longest = F.slice("tokens", 1, _room(LEVELS[-1]))
-    return sets.filter(F.size("tokens") > 0).select(
-        "doc", "n", "alone", "lost", bitmap(), level.alias("level"), longest.alias("longest")
-    )
+    return sets.filter(F.size("tokens") > 0).select("doc", "n", "alone", "lost", bitmap(), "level", longest.alias("longest"))
 
 
 def _room(level: int):
