@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardline.llm.words import give_back
+
 CACHE_PIECES = 1_200_000
 LONG_PIECE = 48
 BATCH_ROWS = 250_000

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.words import scrambled, signatures, slices, text_bytes
+from wardline.llm.words import give_back, scrambled, signatures, slices, text_bytes
 
 BLOCKS = "bucket int, ids binary, counts binary, features binary, codes binary"
 SHARED = "doc bigint, size int, lost int, sign bigint, sign2 bigint, features array<bigint>, documents array<int>"
@@ -77,6 +77,7 @@ class Bucket:
     def __init__(self, key, table, bits: int):
         import numpy as np
 
+        give_back()
         self.number, self.bits = key[0].as_py(), bits
         self.ids, counts = self.joined(table, "ids", np.int64), self.joined(table, "counts", np.int32)
         if self.number < 0:
@@ -145,6 +146,7 @@ def gathered(found: DataFrame, bits: int, marked: bool = False) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        give_back()
         kind = table.column("kind").to_numpy()
         one = lambda k, name, t: np.concatenate(
             [np.zeros(0, t), *[np.frombuffer(x, t) for x in table.column(name).filter(pa.array(kind == k)).to_pylist()]]

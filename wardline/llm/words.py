@@ -25,6 +25,19 @@ def slices(batches, column: str, most: int = SLICE_BYTES) -> Iterator:
                 yield batch.slice(a, b - a)
 
 
+def give_back() -> None:
+    """Give freed memory back to the system. A Python worker lives on for tasks of other stages, and
+    what large arrays of one leave in its heap would add to what the next one needs."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def text_bytes(column):
     """``(bytes, offsets)`` of a string column as arrays; nulls are empty."""
     import numpy as np
