@@ -1,3 +1,5 @@
+import hashlib
+import hashlib
 import math
 import random
 import re
@@ -263,3 +265,19 @@ def test_embedders(spark, chunks):
     assert ModelEmbedder(load).attach(chunks, "text", "v").where("chunk_id = 'c000'").first()["v"] == [float(len(DOCS[0])), 1.0]
     tfidf = TfIdfEmbedder(32).fit(chunks, "text").attach(chunks, "text", "v").where("length(text) > 0").first()["v"]
     assert abs(sum(x * x for x in tfidf) - 1) < 1e-9
+
+
+def test_hashed_words_stay_in_arrow(spark):
+    """Batches of any cut, with texts that are missing or without words, and no vocabulary kept."""
+    texts = ["a b a C", "", None, "x y z", "é a"] * 5
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {r["i"]: r["v"] for r in HashingEmbedder(8).attach(df, "text", "v").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for i, text in enumerate(texts):
+        want = [0.0] * 8
+        for w in (text or "").lower().split():
+            want[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 8] += 1
+        assert got[i] == want

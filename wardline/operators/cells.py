@@ -19,10 +19,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardline.operators.embedding import vector_array
 from wardline.operators.ranking import DIGITS, Best, top_k
 from wardline.session import materialise
 
@@ -45,6 +48,15 @@ def matrix(batch: pd.Series) -> np.ndarray:
     return unit_rows(np.stack(batch.to_numpy()).astype("float64"))
 
 
+def dense(lists: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """An Arrow column of lists of one length as a matrix; no row becomes an object."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    lengths = np.unique(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    if len(lengths) > 1:
+        raise ValueError("vectors of several lengths")
+    return lists.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(lists), int(lengths[0]) if len(lengths) else 0)
+
+
 def fit_centres(vectors: DataFrame, cells: int, sample_rows: int = SAMPLE_ROWS, rounds: int = 12) -> np.ndarray:
     """Unit centres by k-means on directions, of the ``sample_rows`` vectors of smallest digest. The
     sample is bounded, so it is worked on here; it begins with the first distinct vectors."""
@@ -85,17 +97,17 @@ def in_cells(vectors: DataFrame, key: str, centres: np.ndarray) -> DataFrame:
 
     def place(batches):
         for batch in batches:
-            for low in range(0, len(batch), 4_096):
-                part = batch.iloc[low : low + 4_096]
-                rows = matrix(part["vector"])
+            for low in range(0, batch.num_rows, 4_096):
+                part = batch.slice(low, 4_096)
+                rows = unit_rows(dense(part.column(1)))
                 order, angle = _nearest(rows, centres, 1)
                 zero = ~rows.any(axis=1)
-                yield pd.DataFrame({
-                    key: part[key].to_numpy(), "vector": list(rows), "cell": np.where(zero, ZERO_CELL, order[:, 0]),
-                    "angle": np.where(zero, 0.0, angle[:, 0]),
-                })
+                cell = np.where(zero, ZERO_CELL, order[:, 0]).astype(np.int32)
+                found = [part.column(0), vector_array(rows), pa.array(cell), pa.array(np.where(zero, 0.0, angle[:, 0]))]
+                yield pa.RecordBatch.from_arrays(found, names=[key, "vector", "cell", "angle"])
 
-    return vectors.select(key, "vector").where(F.col("vector").isNotNull()).mapInPandas(place, schema)
+    known = vectors.select(key, F.col("vector").cast(VECTOR)).where(F.col("vector").isNotNull())
+    return known.mapInArrow(place, schema)
 
 
 def probes(queries: DataFrame, centres: np.ndarray, some: int) -> DataFrame:
@@ -136,19 +148,23 @@ def ranked_within(asked: DataFrame, placed: DataFrame, k: int) -> DataFrame:
     schema = T.StructType([asked.schema["query_id"], placed.schema["chunk_id"]]).add("score", "double")
     keys = ["cell", "pq", "pv"]
 
-    def rank(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        if not len(queries) or not len(vectors):
-            return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
-        known, ids = np.stack(vectors["vector"].to_numpy()), vectors["chunk_id"].to_numpy()
-        asked_rows, names = np.stack(queries["vector"].to_numpy()), queries["query_id"].to_numpy()
-        out, step = [], max(1, BLOCK_CELLS // len(ids))
-        for low in range(0, len(names), step):
+    def rank(queries: pa.Table, vectors: pa.Table) -> pa.Table:
+        ids = vectors.column("chunk_id").combine_chunks()
+        names = queries.column("query_id").combine_chunks()
+        known, asked_rows = dense(vectors.column("vector")), dense(queries.column("vector"))
+        order = pc.sort_indices(ids)  # ties then go by place, and ids stay in Arrow
+        ids, known = ids.take(order), known[order.to_numpy()]
+        out, step = [], max(1, BLOCK_CELLS // max(1, len(ids)))
+        for low in range(0, len(names) if len(ids) else 0, step):
             best = Best(k)
-            best.add(np.round(asked_rows[low : low + step] @ known.T, DIGITS) + 0.0, ids)
-            out.append(pd.DataFrame({"query_id": names[low + best.q], "chunk_id": best.ids, "score": best.score}))
-        return pd.concat(out)
-
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(rank, schema)
+            best.add(np.round(asked_rows[low : low + step] @ known.T, DIGITS) + 0.0, np.arange(len(ids)))
+            hits = [names.take(pa.array(low + best.q)), ids.take(pa.array(best.ids)), pa.array(best.score)]
+            out.append(pa.Table.from_arrays(hits, names=["query_id", "chunk_id", "score"]))
+        if not out:
+            return pa.table({"query_id": names[:0], "chunk_id": ids[:0], "score": pa.array([], pa.float64())})
+        return pa.concat_tables(out)
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(rank, schema)
 
 
 def _probed(looked: DataFrame, columns: list[str], start: int, some: int | None) -> DataFrame:

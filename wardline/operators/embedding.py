@@ -8,12 +8,20 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions.text import lower_tokens
 
 
+def vector_array(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as an Arrow column of lists."""
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.astype("float64").ravel()))
+
+
 class Embedder(Protocol):
     def attach(self, df: DataFrame, text: str, out: str) -> DataFrame: ...
 
@@ -37,25 +45,16 @@ class HashingEmbedder:
     def attach(self, df: DataFrame, text: str, out: str) -> DataFrame:
         dims = self.dims
 
-        @F.pandas_udf("array<double>")
-        def count_buckets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            known: dict[str, int] = {}  # words recur, so each is hashed once per task
-
-            def bucket(word: str) -> int:
-                at = known.get(word)
-                if at is None:
-                    at = known[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dims
-                return at
-
+        @F.arrow_udf("array<double>")
+        def count_buckets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in batches:
-                yield pd.Series(
-                    [
-                        np.bincount([bucket(w) for w in words], minlength=dims).astype("float64")
-                        if len(words)
-                        else np.zeros(dims)
-                        for words in batch
-                    ]
-                )
+                # each distinct word of a batch is hashed once; nothing is kept from batch to batch
+                coded = batch.flatten().dictionary_encode()
+                places = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dims for w in coded.dictionary.to_pylist()]
+                bucket = np.array(places, dtype=np.int64)[coded.indices.to_numpy()]
+                sizes = pc.fill_null(pc.list_value_length(batch), 0).to_numpy()
+                row = np.repeat(np.arange(len(batch)), sizes)
+                yield vector_array(np.bincount(row * dims + bucket, minlength=len(batch) * dims).reshape(-1, dims))
 
         return df.withColumn(out, count_buckets(lower_tokens(F.col(text))))
 
