@@ -116,3 +116,22 @@ def test_categories(spark, frames):
     local = texts.withColumn("c", K.matched_categories_column(F.col("text"), blacklist)).collect()
     assert hits == {(r["id"], c) for r in local for c in r["c"]}
     assert (6, "arms") in hits and (11, "code") in hits
+
+
+def test_settled_keywords_never_meet_the_text_again(spark):
+    """Keywords that a token settles are joined on narrow rows, without patterns and texts."""
+    body = spark.createDataFrame([(1, "one Two three"), (2, "two twofold"), (3, None), (4, "TWO one one")], "id int, text string")
+    words = spark.createDataFrame([("one",), ("Two",), ("three",), ("absent",)], "keyword string")
+    for limit in (100, 0):
+        hits = K.keyword_hits(body, words, ["id"], inline_limit=0, broadcast_rows=limit, use_automaton=False)
+        plan = hits._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search(r"RLIKE pattern#|Contains\(_folded", plan)
+        assert sorted(map(tuple, hits.collect())) == [(1, "Two"), (1, "one"), (1, "three"), (4, "one")]
+
+
+def test_automaton_takes_few_texts_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(K, "TEXTS_AT_ONCE", 2)
+    body = spark.createDataFrame([(i, f"one w{i % 3} x") for i in range(9)] + [(9, None)], "id int, text string").coalesce(1)
+    words = spark.createDataFrame([("one",), ("w1",), ("none",)], "keyword string")
+    hits = K.keyword_hits(body, words, ["id"], inline_limit=0)
+    assert sorted(map(tuple, hits.collect())) == sorted([(i, "one") for i in range(9)] + [(i, "w1") for i in (1, 4, 7)])

@@ -14,14 +14,15 @@ No text is compared with every keyword of a long list. Three exact ways, by list
 The last two yield candidates, which the keyword's pattern then verifies - unless the candidate
 settles it: a keyword of one word matches the texts that have it as a token, and one of word
 characters, noise and case aside, those whose folded form contains it. Either way a
-(text, keyword) pair arises once and needs no de-duplication.
+(text, keyword) pair arises once and needs no de-duplication. A keyword that a token settles has
+the token itself as its anchor, so its hits come from narrow rows and never meet the text again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ GRAM = 4
 #: Texts whose anchors are counted to choose each keyword's, and parts of an anchor that all have.
 SKETCH_TEXTS = 2_000
 HOT_PARTS = 64
+#: Texts of a batch that are Python objects at the same time.
+TEXTS_AT_ONCE = 128
 
 
 def keyword_frame(spark: SparkSession, keywords: Sequence[str], list_name: str = "keywords") -> DataFrame:
@@ -71,7 +74,8 @@ def compile_keywords(keywords: DataFrame, style: str = "auto", ignore_case: bool
         .dropDuplicates([c for c in keywords.columns if c != "list_name"])
         .withColumn("pattern", keyword_pattern(k, style, ignore_case))
         .where(F.col("pattern").isNotNull())
-        .withColumns({"core": core, "anchors": F.array_distinct(anchors), "settled": settled})
+        .withColumns({"core": core, "settled": settled})
+        .withColumn("anchors", F.when(F.col("settled") == "token", F.array(F.concat(F.lit("t:"), k))).otherwise(F.array_distinct(anchors)))
     )
 
 
@@ -91,7 +95,9 @@ def text_anchors(text: Column, folded_text: Column, kinds: Sequence[tuple[str, i
 
     parts = []
     for kind, size in kinds:
-        if kind == "w":
+        if kind == "t":
+            parts.append(tagged("t:", tokens(text)))
+        elif kind == "w":
             parts.append(tagged("w:", F.transform(tokens(text), fold_case)))
         elif kind == "s":
             parts.append(tagged("s:", F.regexp_extract_all(text, F.lit(f"({NON_WORD})"), F.lit(1))))
@@ -113,8 +119,10 @@ def _candidates(rows: Sequence) -> Callable[[Column, Column, Column], Column]:
             by_core.setdefault(r["core"], []).append((open_one, sure))
     always = [c for c, _ in by_core.pop("", [])]
 
-    @F.pandas_udf("array<struct<keyword:string,pattern:string>>")
-    def find(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    candidate = pa.struct([("keyword", pa.string()), ("pattern", pa.string())])
+
+    @F.arrow_udf("array<struct<keyword:string,pattern:string>>")
+    def find(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         search = ahocorasick.Automaton()
         for core in by_core:
             search.add_word(core, core)
@@ -122,11 +130,15 @@ def _candidates(rows: Sequence) -> Callable[[Column, Column, Column], Column]:
             search.make_automaton()
         for texts, same_length, tokens_of in batches:
             found = []
-            for text, same, own in zip(texts, same_length, tokens_of, strict=True):
-                cores = {core for _, core in search.iter(text)} if by_core and text else ()
-                of_cores = [c[1 if same else 0] for core in sorted(cores) for c in by_core[core]]
-                found.append(always + of_cores + [{"keyword": w, "pattern": None} for w in sorted(words.intersection(own))])
-            yield pd.Series(found)
+            for low in range(0, len(texts), TEXTS_AT_ONCE):  # few texts at a time leave Arrow
+                part = [c.slice(low, TEXTS_AT_ONCE).to_pylist() for c in (texts, same_length, tokens_of)]
+                rows = []
+                for text, same, own in zip(*part, strict=True):
+                    cores = {core for _, core in search.iter(text)} if by_core and text else ()
+                    of_cores = [c[1 if same else 0] for core in sorted(cores) for c in by_core[core]]
+                    rows.append(always + of_cores + [{"keyword": w, "pattern": None} for w in sorted(words.intersection(own))])
+                found.append(pa.array(rows, pa.list_(candidate)))
+            yield pa.concat_arrays(found) if found else pa.array([], pa.list_(candidate))
 
     return find
 
@@ -168,18 +180,34 @@ def _filed(compiled: DataFrame, body: DataFrame, anchors: Column) -> DataFrame:
 
 
 def _by_anchors(body: DataFrame, compiled: DataFrame, ids: Sequence[str], small: bool) -> DataFrame:
-    anchors = text_anchors(F.col("_text"), F.col("_folded"), _anchor_kinds(compiled))
+    """Hits by anchor. Keywords that a token settles are found on narrow rows alone; only for the
+    others candidates meet the text again."""
+    found = []
+    for sure in (True, False):
+        some = compiled.where((F.coalesce("settled", F.lit("")) == "token") == sure)
+        kinds = _anchor_kinds(some)
+        if kinds:
+            found.append(_anchored(body, some, ids, text_anchors(F.col("_text"), F.col("_folded"), kinds), small, sure))
+    if not found:
+        found = [_anchored(body, compiled, ids, F.array().cast("array<string>"), small, True)]
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1])
+
+
+def _anchored(body: DataFrame, compiled: DataFrame, ids: Sequence[str], anchors: Column, small: bool, sure: bool) -> DataFrame:
     filed = _filed(compiled, body, anchors)
+    texts = [] if sure else ["_text", "_folded"]
     if small:
-        hits = explode_values(body, [*ids, "_text", "_folded"], anchors, "anchor").join(F.broadcast(filed), "anchor")
+        hits = explode_values(body, [*ids, *texts], anchors, "anchor").join(F.broadcast(filed), "anchor")
     else:  # shuffle narrow rows only, fetch the text again for the candidates
         filed = materialise(filed, "filed")
         hot = filed.where("parts > 1").select("anchor", F.col("parts").alias("_parts")).distinct()
         rows = explode_values(body, ids, anchors, "anchor").join(broadcast_within(hot, BROADCAST_KEYWORDS), "anchor", "left")
         dealt = F.pmod(F.xxhash64(*ids), F.coalesce("_parts", F.lit(1))).cast("int")
         every = filed.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        hits = rows.withColumn("_part", dealt).drop("_parts").join(every, ["anchor", "_part"]).join(body, list(ids))
-    return hits.where(F.contains(F.col("_folded"), F.col("core")) & F.expr("_text rlike pattern"))
+        hits = rows.withColumn("_part", dealt).drop("_parts").join(every, ["anchor", "_part"]).join(body.select(*ids, *texts), list(ids))
+    if not sure:
+        hits = hits.where(F.contains(F.col("_folded"), F.col("core")) & F.expr("_text rlike pattern"))
+    return hits.drop("_text", "_folded")
 
 
 def _rows_within(compiled: DataFrame, limit: int) -> list | None:
