@@ -99,3 +99,21 @@ def test_held_out_accuracy(spark):
 def test_plan_has_no_python_and_one_scan(spark, sf_dir):
     plan = QUERIES["op12_url_filters"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "html" not in plan
+
+
+def test_rare_keys_have_their_statistics(spark, monkeypatch):
+    """Keys that are not broadcast are joined: no key counts as average for being rare."""
+    monkeypatch.setattr(urls, "FREQUENT", 2)
+    rows = [(f"http://h{i % 7}.t{i % 3}/d{i % 5}/{i}.e{i % 4}", int(i % 3 == 0 or i % 7 == 0)) for i in range(60)]
+    frame = spark.createDataFrame(rows, "url string, blocked bigint")
+    frame = frame.select("url", urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path"), "blocked")
+    statistics, average = urls.suffix_statistics(frame)
+    keyed = frame.select("*", urls.fold().alias("f"), *[c.alias(f"k_{k}") for k, c in urls.keys().items()]).collect()
+    for own in (False, True):
+        got = {r["url"]: r for r in urls.with_statistics(frame, statistics, average, own).collect()}
+        assert len(got) == len(rows)
+        for kind in urls.keys():
+            for r in keyed:
+                of = [x for x in keyed if x[f"k_{kind}"] == r[f"k_{kind}"] and not (own and x["f"] == r["f"])]
+                want = (sum(x["blocked"] for x in of) + urls.SMOOTHING * average) / (len(of) + urls.SMOOTHING)
+                assert abs(got[r["url"]][kind] - want) < 1e-12

@@ -8,8 +8,9 @@ labelled URLs of the same top-level label, domain, file ending and directory. Fo
 are fitted to they are taken of the other ``FOLDS - 1`` folds of labelled URLs, so they tell the
 trees nothing of its own label.
 
-Statistics cover all labelled URLs; a key with less than one in ``FREQUENT`` of them counts as
-average, so at most ``FREQUENT`` keys of each kind are broadcast. Trees are fitted to the
+Statistics cover all labelled URLs and every key of them. Keys with one in ``FREQUENT`` of them or
+more, so at most ``FREQUENT`` of each kind, are broadcast; URLs with any other key are joined
+with theirs, dealt over ``SALTS`` tasks a key. Trees are fitted to the
 ``FIT_ROWS`` labelled URLs of smallest digest, in one task, so results repeat exactly.
 
 A URL that is null or has no ``://`` has an empty host and path and fits no rule; like an empty
@@ -33,7 +34,9 @@ RULES = (
 )
 #: Labelled URLs that the trees are fitted to, at most.
 FIT_ROWS = 10_000
+#: Keys with a smaller share of the labelled URLs are joined, others broadcast.
 FREQUENT = 4_096
+SALTS = 16
 FOLDS = 5
 #: Labelled URLs of average label that each statistic is mixed with.
 SMOOTHING = 4.0
@@ -118,17 +121,19 @@ def fold() -> Column:
 
 
 def suffix_statistics(labelled: DataFrame) -> tuple[DataFrame, float]:
-    """``(kind, key, fold, n, blocked)`` of all frequent keys - each fold's sums, and those of all
-    under the fold null - and the blocked share of all labelled URLs."""
+    """``(kind, key, fold, n, blocked, common)`` of all keys - each fold's sums, and those of all
+    under the fold null; ``common`` marks the keys to broadcast - and the blocked share of all
+    labelled URLs."""
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in keys().items()]))
     sums = [F.sum(c).alias(c) for c in ("n", "blocked")]
     folds = labelled.select(each.alias("of"), fold().alias("fold"), F.lit(1).alias("n"), "blocked")
     folds = written(folds.groupBy("of.kind", "of.key", "fold").agg(*sums), "suffixes")
     total, blocked = folds.filter(F.col("kind") == next(iter(keys()))).agg(*sums).first()
-    whole = folds.groupBy("kind", "key").agg(*sums).filter(F.col("n") * FREQUENT >= (total or 0))
-    parts = folds.join(whole.select("kind", "key"), ["kind", "key"], "left_semi")
-    every = whole.select("kind", "key", F.lit(None).cast("int").alias("fold"), "n", "blocked")
-    return written(every.unionByName(parts), "frequent"), blocked / total if total else 0.0
+    whole = folds.groupBy("kind", "key").agg(*sums)
+    common = F.col("n") * FREQUENT >= (total or 0)
+    parts = folds.join(whole.select("kind", "key", common.alias("common")), ["kind", "key"])
+    every = whole.select("kind", "key", F.lit(None).cast("int").alias("fold"), "n", "blocked", common.alias("common"))
+    return written(every.unionByName(parts), "statistics"), blocked / total if total else 0.0
 
 
 def with_statistics(urls: DataFrame, statistics: DataFrame, average: float, own: bool) -> DataFrame:
@@ -136,17 +141,29 @@ def with_statistics(urls: DataFrame, statistics: DataFrame, average: float, own:
     which then are taken of the other folds."""
     for kind, key in keys().items():
         mine = statistics.filter(F.col("kind") == kind)
-        all_of = mine.filter("fold IS NULL").select(
-            F.col("key").alias("of"), F.col("n").alias("of_n"), F.col("blocked").alias("of_blocked")
+        # a row a key: its sums, and those of each fold
+        per_key = mine.groupBy("key", "common").agg(
+            F.sum(F.when(F.col("fold").isNull(), F.col("n"))).alias("n"),
+            F.sum(F.when(F.col("fold").isNull(), F.col("blocked"))).alias("blocked"),
+            *[F.sum(F.when(F.col("fold") == i, F.col(c))).alias(f"{c}_{i}") for i in range(FOLDS) for c in ("n", "blocked")],
         )
-        joined = urls.join(F.broadcast(all_of), key == F.col("of"), "left")
-        n, blocked = F.col("of_n"), F.col("of_blocked")
+        values = F.struct("n", "blocked", *[f"{c}_{i}" for i in range(FOLDS) for c in ("n", "blocked")])
+        frequent = per_key.filter("common").select(F.col("key").alias("of"), values.alias("of_common"))
+        rare = per_key.filter("NOT common").select(
+            F.col("key").alias("in"), values.alias("of_rare"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("in_salt")
+        )
+        joined = urls.join(F.broadcast(frequent), key == F.col("of"), "left")
+        # URLs that have their values already find no match, so they may go anywhere
+        spread = F.when(F.col("of").isNull(), F.pmod(F.xxhash64("url"), F.lit(SALTS))).otherwise(SALTS + F.abs(F.xxhash64("url") % (1 << 40)))
+        joined = joined.withColumns({"_key": key, "_salt": spread.cast("bigint")})
+        joined = joined.join(rare, (F.col("_key") == F.col("in")) & (F.col("_salt") == F.col("in_salt")), "left")
+        found = F.coalesce("of_common", "of_rare")
+        n, blocked = found["n"], found["blocked"]
         if own:
-            fold_of = mine.filter("fold IS NOT NULL").select(
-                F.col("key").alias("in"), F.col("fold").alias("in_fold"), F.col("n").alias("in_n"), F.col("blocked").alias("in_blocked")
+            of_fold = lambda c: F.coalesce(
+                *[F.when(fold() == i, found[f"{c}_{i}"]) for i in range(FOLDS)], F.lit(0)
             )
-            joined = joined.join(F.broadcast(fold_of), (key == F.col("in")) & (fold() == F.col("in_fold")), "left")
-            n, blocked = n - F.coalesce("in_n", F.lit(0)), blocked - F.coalesce("in_blocked", F.lit(0))
+            n, blocked = n - of_fold("n"), blocked - of_fold("blocked")
         share = (blocked + SMOOTHING * average) / (n + SMOOTHING)
         urls = joined.select(*urls.columns, F.coalesce(share, F.lit(average)).alias(kind))
     return urls
