@@ -21,6 +21,8 @@ well, so the hits are exact. All of it is one lazy plan; nothing is collected.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,8 +45,10 @@ def bucket_of(term: Column, buckets: int) -> Column:
 
 
 def posting_rows(words: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf, length) from (chunk_id, words), one row per term of a chunk."""
-    rows = explode_values(words.withColumn("length", F.size("words")), ["chunk_id", "length"], F.col("words"), "term")
+    """(term, chunk_id, tf, length) from (chunk_id, words), one row per term of a chunk. Whole chunks
+    are dealt by id, so their words are counted where they are exploded."""
+    dealt = words.withColumn("length", F.size("words")).repartition("chunk_id")
+    rows = explode_values(dealt, ["chunk_id", "length"], F.col("words"), "term")
     return rows.groupBy("chunk_id", "length", "term").agg(F.count("*").cast("int").alias("tf"))
 
 
@@ -63,37 +67,71 @@ def posting_blocks(
     block: int = BLOCK_POSTINGS, buckets: int = BUCKETS,
 ) -> DataFrame:
     """Blocks of (term, chunk_id, tf, length). Rows are placed by range on (bucket, term, weight),
-    which spreads a frequent term over partitions; runs of ``block`` rows make a block of each
-    term they have."""
+    which spreads a frequent term over partitions, and cut there into blocks of at most ``block``;
+    ``first`` marks the one that begins a term's run in its partition."""
     rows = postings.withColumns({
         "bucket": bucket_of(F.col("term"), buckets),
         "minus": -weight(F.col("tf"), F.col("length"), average, params),
     })
     order = ["bucket", "term", "minus", "chunk_id"]
+    rows = rows.select("bucket", "term", "chunk_id", "tf", "length", "minus")
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = placed.withColumn("block", F.floor(F.monotonically_increasing_id() / block))
-    one = F.collect_list(F.struct("chunk_id", "tf", "length"))
-    return numbered.groupBy("bucket", "term", "block").agg(
-        F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length"),
-        F.min("minus").alias("minus"), one.alias("rows"),
-    )
+    held = T.StructType([rows.schema[c] for c in ("chunk_id", "tf", "length")])
+    schema = T.StructType([rows.schema["bucket"], rows.schema["term"]]).add("block", T.LongType()).add("n", T.LongType())
+    schema = schema.add("max_tf", rows.schema["tf"].dataType).add("min_length", rows.schema["length"].dataType)
+    schema = schema.add("minus", T.DoubleType()).add("first", T.BooleanType()).add("rows", T.ArrayType(held))
+
+    def cut(batches):
+        number, before = TaskContext.get().partitionId() << 33, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            terms = batch.column("term")
+            coded = terms.dictionary_encode()
+            # a term has one bucket, so it alone tells where a run of postings begins
+            begins = np.flatnonzero(np.diff(coded.indices.to_numpy(), prepend=-1))
+            of_run = np.arange(batch.num_rows) - np.repeat(begins, np.diff(np.append(begins, batch.num_rows)))
+            starts = np.flatnonzero(of_run % block == 0)
+            first = of_run[starts] == 0
+            first[0] = first[0] and terms[0].as_py() != before
+            before = terms[-1].as_py()
+            at, tf, length, minus = pa.array(starts), *(batch.column(c).to_numpy() for c in ("tf", "length", "minus"))
+            offsets = pa.array(np.append(starts, batch.num_rows).astype(np.int32))
+            fields = [batch.column(c) for c in ("chunk_id", "tf", "length")]
+            packed = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, ["chunk_id", "tf", "length"]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("bucket").take(at), terms.take(at), pa.array(number + np.arange(len(starts))),
+                    pa.array(np.diff(np.append(starts, batch.num_rows))), pa.array(np.maximum.reduceat(tf, starts)),
+                    pa.array(np.minimum.reduceat(length, starts)), pa.array(np.minimum.reduceat(minus, starts)), pa.array(first), packed,
+                ],
+                names=schema.names,
+            )
+            number += len(starts)
+
+    return placed.mapInArrow(cut, schema)
 
 
 def term_table(blocks: DataFrame) -> DataFrame:
-    """(bucket, term, df, cf, head): document and corpus frequency and the heaviest block."""
+    """(bucket, term, df, cf, head_block, max_tf, min_length): document and corpus frequency and the
+    heaviest block."""
     cf = F.sum(F.aggregate("rows", F.lit(0).cast("bigint"), lambda s, r: s + r["tf"]))
     return blocks.groupBy("bucket", "term").agg(
-        F.sum("n").alias("df"), cf.alias("cf"), F.min(F.struct("minus", "block", "max_tf", "min_length")).alias("heaviest"),
+        F.sum("n").alias("df"), cf.alias("cf"), F.min(F.struct("minus", "block")).alias("heaviest"),
         F.max("max_tf").alias("max_tf"), F.min("min_length").alias("min_length"),
     ).select("bucket", "term", "df", "cf", F.col("heaviest.block").alias("head_block"), "max_tf", "min_length")
 
 
 def stored_blocks(blocks: DataFrame, terms: DataFrame) -> DataFrame:
-    """Blocks as they are stored: packed columns and the mark of the heaviest."""
-    heads = terms.select("bucket", "term", F.col("head_block").alias("block"), F.lit(True).alias("head"))
-    marked = blocks.join(heads, ["bucket", "term", "block"], "left")
+    """Blocks as they are stored: packed columns and the mark of the heaviest. That is the first one
+    of the term's run; only terms whose run goes over from one partition to others - fewer than
+    there are partitions - are looked up in ``terms``."""
+    cut = blocks.where("first").groupBy("bucket", "term").agg(F.count("*").alias("runs")).where("runs > 1")
+    heads = terms.join(F.broadcast(cut), ["bucket", "term"]).select("bucket", "term", "head_block")
+    marked = blocks.join(F.broadcast(heads), ["bucket", "term"], "left")
     return marked.select(
-        "bucket", "term", "block", "n", "max_tf", "min_length", F.coalesce("head", F.lit(False)).alias("head"),
+        "bucket", "term", "block", "n", "max_tf", "min_length",
+        (F.col("first") & (F.coalesce("head_block", "block") == F.col("block"))).alias("head"),
         *[F.col(f"rows.{c}").alias(name) for c, name in (("chunk_id", "chunk_ids"), ("tf", "tfs"), ("length", "lengths"))],
     )
 
@@ -110,8 +148,6 @@ def query_terms(queries: DataFrame, words: Column) -> DataFrame:
 def _rank(asked, ids, doc, term, part, k: int):
     """The k best (query_id, chunk_id, score). ``asked``: table (query_id, term, idf) of which the
     codes ``term`` count distinct terms; ``part[i]``: weight of a term in ``ids[doc[i]]``, by doc."""
-    import pyarrow as pa
-
     names = asked.column("query_id").combine_chunks().dictionary_encode()
     terms = asked.column("term").combine_chunks().dictionary_encode()
     who, what = names.indices.to_numpy(), terms.indices.to_numpy()
@@ -139,16 +175,12 @@ def _rank(asked, ids, doc, term, part, k: int):
 
 
 def _none(asked, rows):
-    import pyarrow as pa
-
     kinds = {"query_id": asked.schema.field("query_id").type, "chunk_id": rows.schema.field("chunk_id").type, "score": pa.float64()}
     return pa.table({name: pa.array([], kind) for name, kind in kinds.items()})
 
 
 def _sorted_ids(ids):
     """Distinct ids in order, and for each row its place among them: ties then go by place."""
-    import pyarrow as pa
-
     coded = ids.combine_chunks().dictionary_encode()
     order = pa.compute.sort_indices(coded.dictionary)
     place = np.empty(len(order), np.int64)

@@ -63,7 +63,8 @@ def build_index(
     order = ["bucket", "term"]
     terms = save(terms.repartitionByRange(*order).sortWithinPartitions(*order), "term_stats", ("bucket",))
     order = ["bucket", "term", "block"]
-    save(stored_blocks(blocks, terms).repartitionByRange(*order).sortWithinPartitions(*order), "postings", ("bucket",))
+    # blocks have been written in order of their terms, so they need no further shuffle
+    save(stored_blocks(blocks, terms).sortWithinPartitions(*order), "postings", ("bucket",))
     save(embedder.attach(stored, "text", "vector").select("chunk_id", "vector"), "vectors")
     done = spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("built_at"))
     done.write.mode("append").parquet(os.path.join(path, MANIFEST))
