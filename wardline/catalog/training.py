@@ -12,6 +12,7 @@ from wardline.functions import text as TX
 from wardline.operators import conversations as conv
 from wardline.operators import training as T
 from wardline.plans.training import prepare_classifier, prepare_sft
+from wardline.session import materialise
 
 IDS = ["conv_id", "turn"]
 _RENDER = (
@@ -176,5 +177,7 @@ def fixed_tokens(spark, sf):
 def classifier_metrics(spark, sf):
     """A classifier trained on the prepared rows, measured on every split."""
     rows = prepare_classifier(*_classifier_sets(spark, sf, "text"), "doc_id", TX.drop_leading_pair)
+    # read by every pass of the training and by the measure, prepared once
+    rows = materialise(rows.select("text", "label", "split"), "classifier")
     model = T.train_classifier(rows.where("split = 'train'"))
     return T.classifier_metrics(model, rows)
