@@ -56,6 +56,9 @@ def file_jsonl_corpus(spark, sf):
     return R.jsonl_corpus(spark, path).groupBy("text", known.alias("metadata")).agg(F.count("*").alias("n"))
 
 
+LINES_PER_FILE = 20_000
+
+
 @query(
     "file_line_numbers",
     "SELECT count(*) AS n_lines, 0 AS files_with_gaps FROM documents",
@@ -64,7 +67,8 @@ def file_line_numbers(spark, sf):
     """Line numbers of every file run from 1 without gaps."""
     path = scratch_path(spark, "numbered")
     lines = table(spark, sf, "documents").select("doc_id", F.to_json(F.struct("text")).alias("value"))
-    lines.repartition(4, "doc_id").select("value").write.text(path)
+    files = max(4, -(-lines.count() // LINES_PER_FILE))  # one task numbers a file
+    lines.repartition(files, "doc_id").select("value").write.text(path)
     per_file = R.jsonl_corpus(spark, path).groupBy("source").agg(
         F.count("*").alias("n"), F.max("line_number").alias("last"), F.sum("line_number").alias("total")
     )
