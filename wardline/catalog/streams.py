@@ -16,7 +16,13 @@ from wardline.streaming import gate as G
 from wardline.streaming import lines as L
 from wardline.streaming import runs as R
 
-FILES = 8
+#: Files of a stream's input: at least ``FILES``, and more when they would have over ``FILE_ROWS``
+#: table rows, so that a batch - half of the files - has work for all cores at any size.
+FILES, FILE_ROWS = 8, 10_000
+
+
+def file_count(rows) -> int:
+    return max(FILES, -(-rows.count() // FILE_ROWS))
 
 
 #: Of these conversations answers end with an error line, or have a line behind their end.
@@ -24,9 +30,10 @@ FAULTY, TRAILING = "conv_id % 5 = 0", "conv_id % 3 = 0"
 BEHIND = 7
 
 
-def line_files(spark, sf, faults: bool = False) -> str:
+def line_files(spark, sf, faults: bool = False) -> tuple[str, int]:
     """Every assistant message as stream lines; a part of the lines arrives twice, and the
-    files mix requests and positions. ``faults``: with errors, and lines behind the end."""
+    files mix requests and positions. ``faults``: with errors, and lines behind the end. The folder
+    and how many files it has."""
     answers = table(spark, sf, "conversations").where("role = 'assistant'").select(
         F.concat_ws("-", "conv_id", "turn").alias("request_id"), "text"
     )
@@ -45,12 +52,14 @@ def line_files(spark, sf, faults: bool = False) -> str:
     copies = F.when(F.pmod(F.xxhash64("request_id", "seq"), F.lit(5)) == 0, 2).otherwise(1)
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
     path = scratch_path(spark, "lines")
-    rows.repartition(FILES, F.xxhash64("request_id", "seq", "_copy")).drop("_copy").write.json(path)
-    return path
+    files = file_count(answers)
+    rows.repartition(files, F.xxhash64("request_id", "seq", "_copy")).drop("_copy").write.json(path)
+    return path, files
 
 
 def _stream(spark, sf, faults: bool = False):
-    return R.read_lines(spark, line_files(spark, sf, faults), 4)
+    path, files = line_files(spark, sf, faults)
+    return R.read_lines(spark, path, files // 2)
 
 
 def _finish(spark, stream, name):
@@ -94,7 +103,7 @@ def stream_assemble(spark, sf):
 FROM conversations WHERE role = 'assistant'""",
 )
 def batch_assemble(spark, sf):
-    rows = G.assemble_batch(spark.read.schema("request_id string, seq int, line string, ts timestamp").json(line_files(spark, sf)))
+    rows = G.assemble_batch(spark.read.schema("request_id string, seq int, line string, ts timestamp").json(line_files(spark, sf)[0]))
     return rows.select("request_id", "content", "finish_reason", "status", F.col("n_lines").cast("bigint").alias("n_lines"))
 
 
@@ -201,8 +210,9 @@ def stream_front_gate(spark, sf):
     """The prompt gate on a stream of texts: the same expressions, no state."""
     docs = table(spark, sf, "documents").select("doc_id", "text")
     path = scratch_path(spark, "prompts")
-    docs.repartition(FILES).write.parquet(path)
-    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    files = file_count(docs)
+    docs.repartition(files).write.parquet(path)
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", files // 2).parquet(path)
     gated = gates.front_gate(stream, ["doc_id"], "text", fx.DOC_SERVICE, fx.DOC_SCORER)
     return _finish(spark, gated.select("doc_id", "stage"), "prompts-gated")
 
