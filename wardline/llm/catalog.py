@@ -87,7 +87,9 @@ def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")).drop("url")
+    path = f"{sf_dir}/pages.parquet"
+    named = spark.read.parquet(path).select("page_id", "url").schema
+    return urls.url_filter(spark.read.schema(named).parquet(path)).drop("url")
 
 
 @query
