@@ -281,3 +281,25 @@ def test_hashed_words_stay_in_arrow(spark):
         for w in (text or "").lower().split():
             want[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 8] += 1
         assert got[i] == want
+
+
+def test_blocks_are_cut_without_another_shuffle(spark):
+    """A term that spans range partitions has one head; blocks are dealt by chunk and by range only."""
+    docs = spark.createDataFrame([(f"c{i:03d}", "all " * (1 + i % 3) + f"w{i % 5}") for i in range(90)], "chunk_id string, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    try:
+        found = P.posting_blocks(P.posting_rows(R.word_rows(docs)), F.lit(2.0), block=4)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Exchange rangepartitioning") == 1
+        blocks = found.cache()
+        assert blocks.where("first AND term = 'all'").count() > 1
+        rows = P.stored_blocks(blocks, P.term_table(blocks)).collect()
+        blocks.unpersist()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert Counter(r["term"] for r in rows if r["head"]) == Counter({r["term"] for r in rows})
+    weights = [(max(P.weight(t, n, 2.0, RetrievalParams()) for t, n in zip(r["tfs"], r["lengths"], strict=True)), r["head"]) for r in rows if r["term"] == "all"]
+    assert max(weights)[0] == next(w for w, head in weights if head) and sum(len(r["chunk_ids"]) for r in rows) == 180
