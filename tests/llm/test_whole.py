@@ -11,7 +11,7 @@ import zlib
 import numpy as np
 import pytest
 
-from wardline.llm import bpe, features, jaccard, mixlm, pfair, secrets
+from wardline.llm import bpe, features, jaccard, mixlm, pfair, secrets, words
 
 
 def test_mixture_follows_the_weights_of_many_sources(spark):
@@ -93,6 +93,32 @@ def test_bpe_of_long_unbroken_runs():
         assert tokens.tolist() == exact.encode_ordinary(text) and bytes(raw).decode() == text
 
 
+def test_bpe_cache_stays_bounded_in_pieces_and_bytes(monkeypatch):
+    """Texts of new and of recurring pieces; the cache a worker keeps is cut again and again."""
+    import public_tokenizers as P
+    import tiktoken
+
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 300)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 6_000)
+    path = P.path("byte_bpe_50k.tiktoken")
+    coder = bpe.worker_coder(path, P.PATTERN)
+    exact = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    rng = random.Random(4)
+    often = ["oftenmet", "Éléphantes", "x" * 60]
+    for k in range(30):
+        size = 900 if k % 10 == 9 else rng.randrange(4, 12)
+        fresh = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzé", k=size)) for _ in range(5 if size == 900 else 60)]
+        text = " ".join([*often, *fresh, *often, *often])
+        _, tokens, _, raw = coder.code([text])
+        assert tokens.tolist() == exact.encode_ordinary(text) and bytes(raw).decode() == text
+        assert len(coder.known) <= 300 + 70 and len(coder.raw) <= 6_000 + 5_500
+        assert len(coder.known) == len(coder.uses) == len(coder.n_raw) and coder.n_raw.sum() == len(coder.raw)
+    words.give_back(everything=False)
+    assert bpe.worker_coder(path, P.PATTERN) is coder
+    words.give_back()  # what tasks of other kinds call
+    assert not hasattr(words.kept_by_worker(), "coder")
+
+
 def linked(docs, want_pairs=()):
     got = {r["doc_id"]: r["component_id"] for r in jaccard.digests(docs, jaccard.jaccard_components(docs)).collect()}
     return [got[a] == got[b] for a, b in want_pairs]

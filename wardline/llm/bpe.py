@@ -15,16 +15,16 @@ one round; the recursive query, which holds all rounds, gets short parts only, `
 at a time. So an unbroken run of any length needs memory for one round; beyond the limit DuckDB
 spills to a folder of the task.
 
-The piece cache is bounded and only saves work. Null texts count as empty: no tokens.
-Lone surrogates cannot occur in Spark strings.
+The piece cache only saves work. It is bounded in pieces and in bytes, as a worker keeps it from task
+to task: when it is full, pieces met once are dropped and of the others the most used stay. A worker
+lets it go when a task of another kind asks for memory (``words.give_back``). Null texts count as
+empty: no tokens. Lone surrogates cannot occur in Spark strings.
 """
 
 from __future__ import annotations
 
 import base64
-import sys
 import tempfile
-import types
 from collections.abc import Iterator
 from itertools import islice
 
@@ -32,9 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardline.llm.words import give_back
+from wardline.llm.words import give_back, kept_by_worker
 
-CACHE_PIECES = 1_200_000
+#: A cached piece takes some 300 bytes besides its own.
+CACHE_PIECES = 400_000
+CACHE_BYTES = 16_000_000
 LONG_PIECE = 48
 BATCH_ROWS = 250_000
 SLAB_BYTES = 3_000_000
@@ -233,15 +235,33 @@ class TextCoder:
 
         self.known: dict[str, int] = {}
         self.tokens, self.raw = np.zeros(0, np.int32), np.zeros(0, np.uint8)
-        self.n_tokens, self.n_raw = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.n_tokens, self.n_raw, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def drop_rare(self) -> None:
+        """Of a full cache the pieces met more than once, at most half as many as it holds."""
+        import numpy as np
+
+        often = np.argsort(-self.uses, kind="stable")[: CACHE_PIECES // 2]
+        often = np.sort(often[self.uses[often] > 1])
+        if self.n_raw[often].sum() > CACHE_BYTES // 2:
+            self.clear()
+        else:
+            pieces = list(self.known)
+            self.known = {pieces[k]: i for i, k in enumerate(often.tolist())}
+            del pieces
+            self.tokens = _take(self.tokens, self.at_token[often], self.n_tokens[often])
+            self.raw = _take(self.raw, self.at_raw[often], self.n_raw[often])
+            self.n_tokens, self.n_raw, self.uses = self.n_tokens[often], self.n_raw[often], self.uses[often] // 2
+        give_back(everything=False)
 
     def codes(self, found: list[str]) -> list[int]:
         """The numbers of pieces in the cache; those not met before are worked out first."""
         codes = list(map(self.known.get, found))
         if None in codes:
-            if len(self.known) > CACHE_PIECES:
-                self.clear()
-            self.learn(list(dict.fromkeys(p for p in found if p not in self.known)))
+            if len(self.known) > CACHE_PIECES or len(self.raw) > CACHE_BYTES:
+                self.drop_rare()
+                codes = list(map(self.known.get, found))
+            self.learn(list(dict.fromkeys(p for p, c in zip(found, codes, strict=True) if c is None)))
             codes = list(map(self.known.get, found))
         return codes
 
@@ -254,6 +274,7 @@ class TextCoder:
         self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(raw), np.uint8)])
         self.n_tokens = np.concatenate([self.n_tokens, counts])
         self.n_raw = np.concatenate([self.n_raw, [len(r) for r in raw]])
+        self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int64)])
         self.at_token = np.cumsum(self.n_tokens) - self.n_tokens
         self.at_raw = np.cumsum(self.n_raw) - self.n_raw
 
@@ -265,6 +286,7 @@ class TextCoder:
         n_tokens, n_raw = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         for owner, found in self._slabs(texts):
             codes = np.array(self.codes(found), np.int64)
+            self.uses += np.bincount(codes, minlength=len(self.uses))
             n_tokens += np.bincount(owner, self.n_tokens[codes], len(texts)).astype(np.int64)
             n_raw += np.bincount(owner, self.n_raw[codes], len(texts)).astype(np.int64)
             outs.append((_take(self.tokens, self.at_token[codes], self.n_tokens[codes]),
@@ -292,8 +314,9 @@ class TextCoder:
 
 def worker_coder(ranks_path: str, pattern: str) -> TextCoder:
     """One coder for all tasks of a Python worker, so its cache outlives a task."""
-    store = sys.modules.setdefault("_wardline_worker", types.ModuleType("_wardline_worker"))
+    store = kept_by_worker()
     if getattr(store, "coder_of", None) != (ranks_path, pattern):
+        give_back()
         store.coder, store.coder_of = TextCoder(ranks_path, pattern), (ranks_path, pattern)
     return store.coder
 

@@ -41,6 +41,7 @@ def packed(docs: DataFrame, doc: str, text: str, features: Callable, sized: bool
         import numpy as np
         import pyarrow as pa
 
+        give_back()
         names, kinds = ["bucket", "ids", "counts", "features", "codes"], [pa.int32(), *[pa.binary()] * 4]
         for batch in slices(batches, "text"):
             ids = batch.column("doc").to_numpy(zero_copy_only=False).astype(np.int64)

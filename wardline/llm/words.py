@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import gc
+import sys
+import types
 from collections.abc import Iterator
 
 SLICE_BYTES = 1_000_000
@@ -25,13 +28,22 @@ def slices(batches, column: str, most: int = SLICE_BYTES) -> Iterator:
                 yield batch.slice(a, b - a)
 
 
-def give_back() -> None:
-    """Give freed memory back to the system. A Python worker lives on for tasks of other stages, and
-    what large arrays of one leave in its heap would add to what the next one needs."""
+def kept_by_worker() -> types.ModuleType:
+    """What tasks of one kind leave in their Python worker for the next of that kind."""
+    return sys.modules.setdefault("_wardline_worker", types.ModuleType("_wardline_worker"))
+
+
+def give_back(everything: bool = True) -> None:
+    """Give freed memory back to the system, with what the worker keeps for tasks of one kind if
+    ``everything`` goes. A Python worker lives on for tasks of other stages, and what earlier ones
+    leave in it would add to what the next one needs."""
     import ctypes
 
     import pyarrow as pa
 
+    if everything and vars(kept_by_worker()).pop("coder_of", None) is not None:
+        del kept_by_worker().coder
+        gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
     if trim:
