@@ -139,6 +139,43 @@ def test_words_whose_short_hashes_meet_are_not_linked(spark, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_blocks_of_many_buckets_are_mostly_features(spark):
+    """What a block says of its documents grew with the number of buckets beyond the features themselves."""
+    rng = random.Random(8)
+    rows = [(10**12 + 7 * i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(100))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "128")
+    try:
+        blocks = features.packed(docs, "doc_id", "text", words.shingles, True).filter("bucket >= 0").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(len(b["features"]) for b in blocks) == 4 * 96 * len(rows)
+    assert sum(len(b["ids"]) + len(b["counts"]) for b in blocks) < sum(len(b["features"]) for b in blocks)
+    for values in ([], [5], [-(2**63), 2**63 - 1, 0], [2**40, 2**40 + 127, 2**40 - 2], list(range(300, 0, -1))):
+        packs = [features.stepped(np.array(values, np.int64)), b"", features.stepped([3, 3])]
+        assert features.unstepped(packs, np.int64).tolist() == [*values, 3, 3]
+
+
+def test_whole_sets_do_not_travel_to_find_heads_and_pairs(spark, monkeypatch):
+    """Joins took the shared shingles of all documents along, though profiles are short and few documents are in pairs."""
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, f"{long} end{i % 9}") for i in range(40)]
+    plans = {}
+    write = jaccard.written
+
+    def seen(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(jaccard, "written", seen)
+    found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["component"] for r in found} == {0}
+    above, below = plans["profiles"].split("Join", 1)
+    assert "Join Inner" in plans["profiles"] and "slice(" not in above and "slice(" in below
+    assert "Join LeftSemi" in plans["likely"]
+
+
 def test_words_alone_decide_where_all_hashes_meet(spark, monkeypatch):
     """With sent features cut to a few bits nearly all shingles look shared; links stay exact."""
     rng = random.Random(5)

@@ -1,7 +1,7 @@
 """Which features of a document occur in other documents too - without a row per feature.
 
 Every task turns its texts into hashed features and packs them, by leading bits, into one
-block per bucket: four bytes a feature plus a short table of documents. A bucket's task
+block per bucket: four bytes a feature plus a short table of documents, as steps of a byte or two. A bucket's task
 sorts the features of all documents that begin with its bits, and hands back only those that
 more than one document has, packed again, by parts of the documents. The four bytes
 and the bucket's bits make a shared feature a candidate only: different features may meet, so
@@ -57,14 +57,14 @@ def packed(docs: DataFrame, doc: str, text: str, features: Callable, sized: bool
                 mine = order[cuts[b] : cuts[b + 1]]
                 who, counts = np.unique(owner[mine], return_counts=True)
                 more = b"" if code is None else code[mine].tobytes()
-                rows.append((int(b), ids[who].tobytes(), counts.astype(np.int32).tobytes(), low[mine].tobytes(), more))
+                rows.append((int(b), stepped(ids[who]), stepped(counts), low[mine].tobytes(), more))
             if sized:
                 size = np.bincount(owner, minlength=len(ids)).astype(np.int32)
                 sent = value >> np.uint64(32 - bits)  # sorted within a document, as the hashes are
                 same = (sent[1:] == sent[:-1]) & (owner[1:] == owner[:-1])
                 lost = np.bincount(owner[1:][same], minlength=len(ids))
                 more = np.column_stack([lost, signatures(owner, value, other, len(ids))]).astype(np.int64)
-                rows.append((-1 - int(ids[0] % 2**bits), ids.tobytes(), size.tobytes(), more.tobytes(), b""))
+                rows.append((-1 - int(ids[0] % 2**bits), stepped(ids), stepped(size), more.tobytes(), b""))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
@@ -72,6 +72,34 @@ def packed(docs: DataFrame, doc: str, text: str, features: Callable, sized: bool
     return given.mapInArrow(pack, BLOCKS)
 
 
+def stepped(values) -> bytes:
+    """Whole numbers as the first one and the steps between them, in as few bytes as the largest step
+    needs. A document has few features in a bucket once there are many buckets, so plain ids and
+    counts would take more than the features."""
+    import numpy as np
+
+    if not len(values):
+        return b""
+    values = np.asarray(values, np.int64)
+    steps = np.diff(values)  # modulo 2**64, as is adding them up
+    most, least = (int(steps.max()), int(steps.min())) if len(steps) else (0, 0)
+    kind = next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= least and most <= np.iinfo(t).max)
+    return bytes([np.dtype(kind).itemsize]) + values[:1].tobytes() + steps.astype(kind).tobytes()
+
+
+def unstepped(packs, kind):
+    """The numbers of several ``stepped`` one after another."""
+    import numpy as np
+
+    parts = [np.zeros(0, kind)]
+    for raw in packs:
+        if raw:
+            steps = np.frombuffer(raw, f"i{raw[0]}", offset=9)
+            first = np.frombuffer(raw, np.int64, 1, 1)
+            parts.append(np.cumsum(np.concatenate([first, steps]), dtype=np.int64).astype(kind))
+    return np.concatenate(parts)
+
+
 class Bucket:
     """All features of a bucket, equal ones side by side in the order of arrival."""
 
@@ -80,7 +108,8 @@ class Bucket:
 
         give_back()
         self.number, self.bits = key[0].as_py(), bits
-        self.ids, counts = self.joined(table, "ids", np.int64), self.joined(table, "counts", np.int32)
+        self.ids = unstepped(table.column("ids").to_pylist(), np.int64)
+        counts = unstepped(table.column("counts").to_pylist(), np.int32)
         if self.number < 0:
             self.sizes, self.signs = counts, self.joined(table, "features", np.int64).reshape(-1, 3)
             return
@@ -131,8 +160,8 @@ def dealt(bits: int, doc, features, more=None, kind: int = 0, top: int = 0):
     for p in np.flatnonzero(np.diff(cuts)):
         a, b = cuts[p], cuts[p + 1]
         who, counts = np.unique(doc[a:b], return_counts=True)
-        extra = b"" if more is None else more[a:b].tobytes()
-        rows.append((int(p), kind, top, who.tobytes(), counts.astype(np.int32).tobytes(), features[a:b].tobytes(), extra))
+        extra = b"" if more is None else stepped(more[a:b])
+        rows.append((int(p), kind, top, stepped(who), stepped(counts), features[a:b].tobytes(), extra))
     columns = list(zip(*rows, strict=True)) or [[]] * 7
     kinds = [*[pa.int32()] * 3, *[pa.binary()] * 4]
     names = ["part", "kind", "top", "ids", "counts", "features", "more"]
@@ -140,8 +169,8 @@ def dealt(bits: int, doc, features, more=None, kind: int = 0, top: int = 0):
 
 
 def gathered(found: DataFrame, bits: int, marked: bool = False) -> DataFrame:
-    """One row per document from the packed rows of all buckets. ``marked``: ``more`` is a byte
-    for the lowest bit of a feature, else the four bytes of a count."""
+    """One row per document from the packed rows of all buckets. ``marked``: ``more`` is the lowest
+    bit of a feature, else a count."""
 
     def gather(table):
         import numpy as np
@@ -149,9 +178,7 @@ def gathered(found: DataFrame, bits: int, marked: bool = False) -> DataFrame:
 
         give_back()
         kind = table.column("kind").to_numpy()
-        one = lambda k, name, t: np.concatenate(
-            [np.zeros(0, t), *[np.frombuffer(x, t) for x in table.column(name).filter(pa.array(kind == k)).to_pylist()]]
-        )
+        one = lambda k, name, t: unstepped(table.column(name).filter(pa.array(kind == k)).to_pylist(), t)
         doc = np.repeat(one(0, "ids", np.int64), one(0, "counts", np.int32))
         sent = table.filter(pa.array(kind == 0))
         lows = [np.frombuffer(x, np.uint32) for x in sent.column("features").to_pylist()]
@@ -172,7 +199,8 @@ def gathered(found: DataFrame, bits: int, marked: bool = False) -> DataFrame:
         offsets = pa.array(np.append(np.searchsorted(doc, every), len(doc)).astype(np.int32))
         at, sizes = np.searchsorted(every, sized), np.zeros(len(every), np.int32)
         np.maximum.at(sizes, at, one(1, "more", np.int32))  # rows that share an id: the largest
-        told, said = np.zeros((len(every), 3), np.int64), one(1, "features", np.int64).reshape(-1, 3)
+        signs = table.column("features").filter(pa.array(kind == 1)).to_pylist()
+        told, said = np.zeros((len(every), 3), np.int64), np.frombuffer(b"".join(signs), np.int64).reshape(-1, 3)
         told[at] = said
         several = np.zeros(len(every), bool)  # rows of one id, but different texts: no signature
         several[at[(said[:, 1:] != told[at, 1:]).any(axis=1)]] = True

@@ -100,7 +100,9 @@ def bitmap():
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (a, b) those that their shared shingles allow to be similar."""
     columns = {"n": "n", "lost": "lost", "t": "tokens"}
-    side = lambda x: sets.select(F.col("doc").alias(x), *[F.col(c).alias(f"{k}_{x}") for k, c in columns.items()])
+    ids = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+    met = sets.join(ids, "doc", "left_semi")  # most documents are in no pair: theirs need not travel
+    side = lambda x: met.select(F.col("doc").alias(x), *[F.col(c).alias(f"{k}_{x}") for k, c in columns.items()])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("t_a", "t_b")) + F.least("lost_a", "lost_b")
     return both.filter(100 * common >= THRESHOLD * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
@@ -229,15 +231,16 @@ def jaccard_components(docs: DataFrame, doc: str = "doc_id", text: str = "text")
     member = written(
         signed.join(classes, ["n", "sign", "sign2"], "left").select("doc", F.coalesce("class", "doc").alias("class")), "classes"
     )
-    heads = live.join(member.filter("doc = class").select("doc"), "doc", "left_semi")
-    known = written(profiles(heads), "profiles")
+    heads = member.filter("doc = class").select("doc")
+    # made narrow before the join, which is not a semi-join as Spark would move that below
+    known = written(profiles(live).join(heads, "doc"), "profiles")
     posts = written(shared_posts(prefixes(known)), "shared")
     few = written(possible(hub_pairs(posts), known), "possible")
-    likely = written(verified(few, heads), "likely")
+    likely = written(verified(few, live), "likely")
     links = written(confirmed(likely, docs, doc, text), "links")
     labels = components(links)
     few = written(remaining_pairs(posts, known, labels), "possible")
-    likely = written(verified(few, heads), "likely")
+    likely = written(verified(few, live), "likely")
     more = written(confirmed(likely, docs, doc, text), "links")
     labels = components(links.unionByName(more)) if more.limit(1).count() else labels
     # a head is the smallest of its class, so the smallest head is the smallest document
