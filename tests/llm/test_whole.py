@@ -119,6 +119,53 @@ def test_bpe_cache_stays_bounded_in_pieces_and_bytes(monkeypatch):
     assert not hasattr(words.kept_by_worker(), "coder")
 
 
+def test_bpe_cache_is_no_python_object_a_piece():
+    """What a worker keeps of 60,000 pieces: before, strings in a dictionary, over 250 bytes a piece."""
+    import gc
+    import tracemalloc
+
+    import public_tokenizers as P
+    import pyarrow as pa
+
+    coder, rng = bpe.TextCoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN), random.Random(9)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(20_000)) for _ in range(3)]
+    coder.code(["first words"])
+    gc.collect()
+    tracemalloc.start()
+    try:
+        arrow = pa.total_allocated_bytes()
+        for text in texts:
+            coder.code([text])
+        gc.collect()
+        grown = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    finally:
+        tracemalloc.stop()
+    assert len(coder.known) > 59_000 and grown < 120 * len(coder.known)
+
+
+def test_bpe_works_on_texts_by_their_own_size(spark, monkeypatch):
+    """Long texts behind many short ones were cut by the average row, so all of them were one slab."""
+    import public_tokenizers as P
+    import pyarrow as pa
+    import tiktoken
+
+    monkeypatch.setattr(bpe, "SLAB_BYTES", 10_000)
+    path, rng, steps = P.path("byte_bpe_50k.tiktoken"), random.Random(2), []
+    texts = ["few words", None, "", "Éé 漢字\n"] * 100 + [" ".join(f"w{rng.randrange(10**6)}" for _ in range(500)) for _ in range(20)]
+    docs = spark.createDataFrame([(0, "")], "doc_id bigint, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, step, schema: steps.append(step))
+    bpe.encode_decode(docs, path, P.PATTERN)
+    given = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "_text"])
+    found = list(steps[0](iter([given, given.slice(0, 0), given.slice(390, 15)])))
+    assert max(sum(len(x) for x in b.column("decoded").to_pylist()) for b in found) < 2 * 10_000
+    exact = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    rows = [r for b in found for r in b.to_pylist()]
+    assert [r["doc_id"] for r in rows] == [*range(len(texts)), *range(390, 405)]
+    for r in rows:
+        text = texts[r["doc_id"]] or ""
+        assert r["token_ids"] == exact.encode_ordinary(text) and r["decoded"].decode() == text
+
+
 def linked(docs, want_pairs=()):
     got = {r["doc_id"]: r["component_id"] for r in jaccard.digests(docs, jaccard.jaccard_components(docs)).collect()}
     return [got[a] == got[b] for a, b in want_pairs]

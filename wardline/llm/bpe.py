@@ -16,9 +16,12 @@ at a time. So an unbroken run of any length needs memory for one round; beyond t
 spills to a folder of the task.
 
 The piece cache only saves work. It is bounded in pieces and in bytes, as a worker keeps it from task
-to task: when it is full, pieces met once are dropped and of the others the most used stay. A worker
-lets it go when a task of another kind asks for memory (``words.give_back``). Null texts count as
-empty: no tokens. Lone surrogates cannot occur in Spark strings.
+to task: when it is full, pieces met once are dropped and of the others the most used stay. It is kept
+in Arrow and numpy arrays, some 50 bytes a piece, where a Python object a piece took 300 and, scattered
+among dropped ones, kept their memory from being given back. A worker lets it go when a task of another
+kind asks for memory (``words.give_back``). Texts are worked on a slab of ``SLAB_BYTES`` at a time, and
+what a slab needed is given back before the next. Null texts count as empty: no tokens. Lone surrogates
+cannot occur in Spark strings.
 """
 
 from __future__ import annotations
@@ -32,15 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardline.llm.words import give_back, kept_by_worker
+from wardline.llm.words import give_back, kept_by_worker, slices
 
-#: A cached piece takes some 300 bytes besides its own.
 CACHE_PIECES = 400_000
 CACHE_BYTES = 16_000_000
 LONG_PIECE = 48
-BATCH_ROWS = 250_000
-SLAB_BYTES = 3_000_000
-SLAB_PIECES = 500_000
+BATCH_ROWS = 125_000
+SLAB_BYTES = 1_000_000
+SLAB_PIECES = 200_000
 
 #: Rows carry their right neighbour, so a round is two joins and a grouping.
 CONTRACT = """
@@ -174,6 +176,7 @@ class PieceCoder:
         tokens = pa.table({"piece": of, "pos": np.arange(len(of)), "token": merged.column("token")})
         self.con.register("tokens", tokens)
         digits = self.con.sql(DECODE).to_arrow_table().column("digits").to_pylist()
+        self.con.unregister("tokens")
         counts = np.bincount(of, minlength=len(pieces))
         return counts, tokens.column("token").to_numpy(), [bytes.fromhex(d) for d in digits]
 
@@ -210,14 +213,18 @@ def _batches(begun) -> Iterator:
         at = end
 
 
-def _take(values, starts, lengths):
-    """The runs ``values[start : start + length]`` one after another."""
+def _runs(values, lengths, which):
+    """Of the runs that ``lengths`` cut ``values`` into, those numbered ``which``, one after another."""
     import numpy as np
+    import pyarrow as pa
 
-    ends = np.cumsum(lengths)
-    if not len(ends) or not ends[-1]:
-        return values[:0]
-    return values[np.arange(ends[-1]) + np.repeat(starts - (ends - lengths), lengths)]
+    ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    which = pa.array(which)
+    if values.dtype == np.uint8:  # copied run by run
+        runs = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(values)]).take(which)
+        _, ends, data = runs.buffers()
+        return np.frombuffer(data or b"", np.uint8)[: np.frombuffer(ends, np.int64)[len(runs)]]
+    return pa.LargeListArray.from_arrays(pa.array(ends), pa.array(values)).take(which).flatten().to_numpy()
 
 
 class TextCoder:
@@ -232,51 +239,56 @@ class TextCoder:
 
     def clear(self) -> None:
         import numpy as np
+        import pyarrow as pa
 
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.large_string())
         self.tokens, self.raw = np.zeros(0, np.int32), np.zeros(0, np.uint8)
-        self.n_tokens, self.n_raw, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.n_tokens, self.n_raw, self.uses = (np.zeros(0, np.int32) for _ in range(3))
 
     def drop_rare(self) -> None:
         """Of a full cache the pieces met more than once, at most half as many as it holds."""
         import numpy as np
+        import pyarrow as pa
 
         often = np.argsort(-self.uses, kind="stable")[: CACHE_PIECES // 2]
         often = np.sort(often[self.uses[often] > 1])
         if self.n_raw[often].sum() > CACHE_BYTES // 2:
             self.clear()
         else:
-            pieces = list(self.known)
-            self.known = {pieces[k]: i for i, k in enumerate(often.tolist())}
-            del pieces
-            self.tokens = _take(self.tokens, self.at_token[often], self.n_tokens[often])
-            self.raw = _take(self.raw, self.at_raw[often], self.n_raw[often])
+            self.known = self.known.take(pa.array(often))
+            self.tokens, self.raw = _runs(self.tokens, self.n_tokens, often), _runs(self.raw, self.n_raw, often)
             self.n_tokens, self.n_raw, self.uses = self.n_tokens[often], self.n_raw[often], self.uses[often] // 2
         give_back(everything=False)
 
-    def codes(self, found: list[str]) -> list[int]:
+    def codes(self, found: list[str]):
         """The numbers of pieces in the cache; those not met before are worked out first."""
-        codes = list(map(self.known.get, found))
-        if None in codes:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        met = pa.array(found, pa.large_string()).dictionary_encode()
+        codes = pc.index_in(met.dictionary, self.known)
+        if codes.null_count:
             if len(self.known) > CACHE_PIECES or len(self.raw) > CACHE_BYTES:
                 self.drop_rare()
-                codes = list(map(self.known.get, found))
-            self.learn(list(dict.fromkeys(p for p, c in zip(found, codes, strict=True) if c is None)))
-            codes = list(map(self.known.get, found))
-        return codes
-
-    def learn(self, fresh: list[str]) -> None:
+                codes = pc.index_in(met.dictionary, self.known)
+            fresh = met.dictionary.filter(codes.is_null())
+            numbers = pa.array(np.arange(len(self.known), len(self.known) + len(fresh), dtype=np.int32))
+            codes = pc.replace_with_mask(codes, codes.is_null(), numbers)
+            self.learn(fresh)
+        return codes.to_numpy()[met.indices.to_numpy()]
+
+    def learn(self, fresh) -> None:
         import numpy as np
+        import pyarrow as pa
 
-        counts, tokens, raw = self.pieces.code([p.encode() for p in fresh])
-        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh)), strict=True))
+        counts, tokens, raw = self.pieces.code(fresh.cast(pa.large_binary()).to_pylist())
+        self.known = pa.concat_arrays([self.known, fresh])
         self.tokens = np.concatenate([self.tokens, tokens])
         self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(raw), np.uint8)])
-        self.n_tokens = np.concatenate([self.n_tokens, counts])
-        self.n_raw = np.concatenate([self.n_raw, [len(r) for r in raw]])
-        self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int64)])
-        self.at_token = np.cumsum(self.n_tokens) - self.n_tokens
-        self.at_raw = np.cumsum(self.n_raw) - self.n_raw
+        self.n_tokens = np.concatenate([self.n_tokens, counts.astype(np.int32)])
+        self.n_raw = np.concatenate([self.n_raw, np.array([len(r) for r in raw], np.int32)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int32)])
 
     def code(self, texts: list[str]):
         """``(token counts, tokens, decoded lengths, decoded bytes)`` of the texts."""
@@ -285,12 +297,12 @@ class TextCoder:
         outs: list[tuple] = []
         n_tokens, n_raw = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         for owner, found in self._slabs(texts):
-            codes = np.array(self.codes(found), np.int64)
-            self.uses += np.bincount(codes, minlength=len(self.uses))
+            codes = self.codes(found)
+            found.clear()  # the numbers stand for them from here on
+            self.uses += np.bincount(codes, minlength=len(self.uses)).astype(np.int32)
             n_tokens += np.bincount(owner, self.n_tokens[codes], len(texts)).astype(np.int64)
             n_raw += np.bincount(owner, self.n_raw[codes], len(texts)).astype(np.int64)
-            outs.append((_take(self.tokens, self.at_token[codes], self.n_tokens[codes]),
-                         _take(self.raw, self.at_raw[codes], self.n_raw[codes])))
+            outs.append((_runs(self.tokens, self.n_tokens, codes), _runs(self.raw, self.n_raw, codes)))
         if not outs:
             return n_tokens, np.zeros(0, np.int32), n_raw, np.zeros(0, np.uint8)
         return n_tokens, np.concatenate([o[0] for o in outs]), n_raw, np.concatenate([o[1] for o in outs])
@@ -338,19 +350,17 @@ def encode_decode(
         import pyarrow as pa
 
         coder = worker_coder(ranks_path, pattern)
-        for whole in batches:
-            size = max(1, whole.num_rows * SLAB_BYTES // max(1, whole.nbytes))
-            for at in range(0, whole.num_rows, size):
-                batch = whole.slice(at, size)
-                texts = [t or "" for t in batch.column("_text").to_pylist()]
-                n_tokens, tokens, n_raw, raw = coder.code(texts)
-                offsets = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
-                ids = pa.ListArray.from_arrays(offsets(n_tokens), pa.array(tokens, pa.int32()))
-                decoded = pa.BinaryArray.from_buffers(
-                    pa.binary(), len(texts), [None, offsets(n_raw).buffers()[1], pa.py_buffer(raw.tobytes())]
-                )
-                columns = [batch.column(n) for n in names]
-                yield pa.RecordBatch.from_arrays([*columns, ids, decoded], names=[*names, "token_ids", "decoded"])
+        for batch in slices(batches, "_text", SLAB_BYTES):
+            texts = [t or "" for t in batch.column("_text").to_pylist()]
+            n_tokens, tokens, n_raw, raw = coder.code(texts)
+            offsets = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+            ids = pa.ListArray.from_arrays(offsets(n_tokens), pa.array(tokens, pa.int32()))
+            decoded = pa.BinaryArray.from_buffers(
+                pa.binary(), len(texts), [None, offsets(n_raw).buffers()[1], pa.py_buffer(raw.tobytes())]
+            )
+            columns = [batch.column(n) for n in names]
+            yield pa.RecordBatch.from_arrays([*columns, ids, decoded], names=[*names, "token_ids", "decoded"])
+            give_back(everything=False)
 
     return given.mapInArrow(run, schema)
 
