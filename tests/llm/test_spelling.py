@@ -74,6 +74,8 @@ def test_dense_words_at_any_cut_of_the_trie(spark, monkeypatch, shard_words):
     words = ["".join(rng.choice("abÉé") for _ in range(rng.randrange(5, 9))) for _ in range(70)]
     words += ["abcdefgh", "abcdefg", "abcdefghi", "bbcdefgh", "×÷×÷×÷", "×÷×÷××"]
     rows = [(i % 7, " ".join(f"{w}, {w.upper() if w.isascii() else w}" for _ in range(5 ** rng.randrange(1, 4)))) for i, w in enumerate(words)]
+    # the random words alone have no chain
+    rows.append((7, " ".join(["chainab"] * 5 + ["chainabc"] * 25 + ["chainabcd"] * 125)))
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     want = brute(rows)
     chains = {r[0]: r[1] for r in want if r[1]}
