@@ -20,7 +20,7 @@ to task: when it is full, pieces met once are dropped and of the others the most
 in Arrow and numpy arrays, some 50 bytes a piece, where a Python object a piece took 300 and, scattered
 among dropped ones, kept their memory from being given back. A worker lets it go when a task of another
 kind asks for memory (``words.give_back``). Texts are worked on a slab of ``SLAB_BYTES`` at a time, and
-what a slab needed is given back before the next. Null texts count as empty: no tokens. Lone surrogates
+what a slab needed is given back before the next, also by DuckDB, and after the last. Null texts count as empty: no tokens. Lone surrogates
 cannot occur in Spark strings.
 """
 
@@ -40,9 +40,9 @@ from wardline.llm.words import give_back, kept_by_worker, slices
 CACHE_PIECES = 400_000
 CACHE_BYTES = 16_000_000
 LONG_PIECE = 48
-BATCH_ROWS = 125_000
-SLAB_BYTES = 1_000_000
-SLAB_PIECES = 200_000
+BATCH_ROWS = 60_000
+SLAB_BYTES = 500_000
+SLAB_PIECES = 100_000
 
 #: Rows carry their right neighbour, so a round is two joins and a grouping.
 CONTRACT = """
@@ -136,7 +136,9 @@ class PieceCoder:
             raw = np.frombuffer(token, np.uint8).astype(np.int32)
             self.joined[raw[:-1] << 8 | raw[1:]] = True
         self.spill = tempfile.TemporaryDirectory(prefix="wardline-bpe-")
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": self.spill.name})
+        # DuckDB's allocator keeps 128 MB of freed memory unless told to give it back
+        settings = {"threads": 1, "memory_limit": "400MB", "allocator_flush_threshold": "1MB", "allocator_bulk_deallocation_flush_threshold": "1MB"}
+        self.con = duckdb.connect(config={**settings, "temp_directory": self.spill.name})
         head, tail, merged, single = zip(*merge_rows(ranks), strict=True)
         merges = pa.table({"head": pa.array(head, pa.int32()), "tail": pa.array(tail, pa.int32()),
                            "merged": pa.array(merged, pa.int32()), "single": pa.array(single)})
@@ -264,19 +266,30 @@ class TextCoder:
         """The numbers of pieces in the cache; those not met before are worked out first."""
         import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
 
         met = pa.array(found, pa.large_string()).dictionary_encode()
-        codes = pc.index_in(met.dictionary, self.known)
-        if codes.null_count:
+        found.clear()  # the numbers stand for them from here on
+        codes = self.places(met.dictionary)
+        if (codes < 0).any():
             if len(self.known) > CACHE_PIECES or len(self.raw) > CACHE_BYTES:
                 self.drop_rare()
-                codes = pc.index_in(met.dictionary, self.known)
-            fresh = met.dictionary.filter(codes.is_null())
-            numbers = pa.array(np.arange(len(self.known), len(self.known) + len(fresh), dtype=np.int32))
-            codes = pc.replace_with_mask(codes, codes.is_null(), numbers)
-            self.learn(fresh)
-        return codes.to_numpy()[met.indices.to_numpy()]
+                codes = self.places(met.dictionary)
+            new = codes < 0
+            codes[new] = np.arange(len(self.known), len(self.known) + new.sum(), dtype=np.int32)
+            self.learn(met.dictionary.filter(pa.array(new)))
+        return codes[met.indices.to_numpy()]
+
+    def places(self, pieces):
+        """The numbers of distinct pieces in the cache, -1 for those not in it. The cache is looked up
+        in the pieces, as a hash table of the cache would take more memory than the cache."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        codes = np.full(len(pieces), -1, np.int32)
+        at = pc.index_in(self.known, value_set=pieces)
+        here = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False)).astype(np.int32)
+        codes[at.drop_null().to_numpy()] = here
+        return codes
 
     def learn(self, fresh) -> None:
         import numpy as np
@@ -298,7 +311,6 @@ class TextCoder:
         n_tokens, n_raw = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         for owner, found in self._slabs(texts):
             codes = self.codes(found)
-            found.clear()  # the numbers stand for them from here on
             self.uses += np.bincount(codes, minlength=len(self.uses)).astype(np.int32)
             n_tokens += np.bincount(owner, self.n_tokens[codes], len(texts)).astype(np.int64)
             n_raw += np.bincount(owner, self.n_raw[codes], len(texts)).astype(np.int64)
@@ -350,7 +362,8 @@ def encode_decode(
         import pyarrow as pa
 
         coder = worker_coder(ranks_path, pattern)
-        for batch in slices(batches, "_text", SLAB_BYTES):
+
+        def coded(batch):
             texts = [t or "" for t in batch.column("_text").to_pylist()]
             n_tokens, tokens, n_raw, raw = coder.code(texts)
             offsets = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
@@ -359,8 +372,13 @@ def encode_decode(
                 pa.binary(), len(texts), [None, offsets(n_raw).buffers()[1], pa.py_buffer(raw.tobytes())]
             )
             columns = [batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*columns, ids, decoded], names=[*names, "token_ids", "decoded"])
+            return pa.RecordBatch.from_arrays([*columns, ids, decoded], names=[*names, "token_ids", "decoded"])
+
+        for out in map(coded, slices(batches, "_text", SLAB_BYTES)):
+            yield out
+            del out
             give_back(everything=False)
+        give_back(everything=False)  # the input too: the worker may stay idle through other steps
 
     return given.mapInArrow(run, schema)
 

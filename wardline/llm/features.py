@@ -41,9 +41,9 @@ def packed(docs: DataFrame, doc: str, text: str, features: Callable, sized: bool
         import numpy as np
         import pyarrow as pa
 
-        give_back()
         names, kinds = ["bucket", "ids", "counts", "features", "codes"], [pa.int32(), *[pa.binary()] * 4]
-        for batch in slices(batches, "text"):
+
+        def blocks(batch):
             ids = batch.column("doc").to_numpy(zero_copy_only=False).astype(np.int64)
             raw, offsets = text_bytes(batch.column("text"))
             owner, value, code = features(raw, offsets)
@@ -66,7 +66,11 @@ def packed(docs: DataFrame, doc: str, text: str, features: Callable, sized: bool
                 more = np.column_stack([lost, signatures(owner, value, other, len(ids))]).astype(np.int64)
                 rows.append((-1 - int(ids[0] % 2**bits), stepped(ids), stepped(size), more.tobytes(), b""))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+        give_back()
+        yield from map(blocks, slices(batches, "text"))
+        give_back(everything=False)  # the worker may stay idle through other steps
 
     given = docs.filter(F.col(doc).isNotNull()).select(F.col(doc).cast("bigint").alias("doc"), F.col(text).alias("text"))
     return given.mapInArrow(pack, BLOCKS)
@@ -230,7 +234,10 @@ def shared_features(docs: DataFrame, doc: str, text: str, features: Callable) ->
             return dealt(bits, b.ids, b.signs, b.sizes, 1)
         documents = np.bincount(b.group, b.other).astype(np.int32)[b.group]
         keep = (documents > 1) & b.other
-        return dealt(bits, b.doc[keep], b.low[keep], documents[keep], top=b.number)
+        doc, low, documents, top = b.doc[keep], b.low[keep], documents[keep], b.number
+        del b, keep
+        give_back(everything=False)
+        return dealt(bits, doc, low, documents, top=top)
 
     return gathered(packed(docs, doc, text, features, True).groupBy("bucket").applyInArrow(meet, MET), bits)
 
@@ -250,7 +257,10 @@ def met_features(docs: DataFrame, doc: str, text: str, features: Callable) -> Da
         mixed = np.maximum.reduceat(code, b.first) != np.minimum.reduceat(code, b.first)
         least = np.minimum.reduceat(b.doc, b.first)
         keep = shared[b.group] & b.other & (mixed[b.group] | (b.doc > least[b.group]))
-        return dealt(bits, b.doc[keep], b.low[keep], mixed[b.group[keep]].astype(np.int8), top=b.number)
+        doc, low, mixed, top = b.doc[keep], b.low[keep], mixed[b.group[keep]].astype(np.int8), b.number
+        del b, code, shared, least, keep
+        give_back(everything=False)
+        return dealt(bits, doc, low, mixed, top=top)
 
     met = packed(docs, doc, text, features, False).groupBy("bucket").applyInArrow(meet, MET)
     return gathered(met, bits, True).select("doc", "features")

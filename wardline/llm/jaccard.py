@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from wardline.llm.features import shared_features
 from wardline.llm.graph import components
 from wardline.llm.store import written
-from wardline.llm.words import shingles
+from wardline.llm.words import give_back, shingles
 
 THRESHOLD = 80
 WIDTH = 5
@@ -129,6 +129,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, doc: str, text: str) -> DataFra
     def compare(batches):
         import pyarrow as pa
 
+        give_back()
         last, hub = None, set()
         for batch in batches:
             keep = []
@@ -140,6 +141,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, doc: str, text: str) -> DataFra
                 if 100 * common >= THRESHOLD * (len(own) + len(hub) - common):
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            del batch
+        hub = None
+        give_back(everything=False)
 
     return both.select("a", "b", "texts_a", "texts_b").mapInArrow(compare, "a bigint, b bigint")
 
